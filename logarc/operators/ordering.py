@@ -40,12 +40,16 @@ def dense_ids(df: DataFrame, order_cols: list[str], id_col: str = "id", start: i
     )
 
 
-def running_total(df: DataFrame, keys: list[str], seq: str, value: Column, out: str) -> DataFrame:
+def running_total(
+    df: DataFrame, keys: list[str], seq: str, value: Column, out: str, per_key: DataFrame | None = None
+) -> DataFrame:
     """Sum of ``value`` over the rows of the same keys up to and including this one.
 
     ``seq`` is an integer, unique per key. Rows are summed in chunks of 65,536
     sequence numbers and the chunks in chunks again, so no window sorts more
-    than one chunk of rows however many rows one key has.
+    than one chunk of rows however many rows one key has. ``per_key`` (one row
+    per key) adds its columns to every row; it is joined to the chunks, so a key
+    with most of the rows does not gather them in one task.
     """
     chunked = df.withColumns(
         {"_v": value, "_c1": F.shiftright(seq, _CHUNK_BITS), "_c2": F.shiftright(seq, 2 * _CHUNK_BITS)}
@@ -63,6 +67,8 @@ def running_total(df: DataFrame, keys: list[str], seq: str, value: Column, out:
     small_base = small.join(large_base, [*keys, "_c2"]).select(
         *keys, "_c1", (F.col("_b2") + sum_before("_s1", [*keys, "_c2"], "_c1")).alias("_b1")
     )
+    if per_key is not None:
+        small_base = small_base.join(per_key, keys)
     inside = (
         Window.partitionBy(*keys, "_c1").orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )

@@ -144,8 +144,10 @@ def record_dictionaries(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         "digest", F.coalesce("digest", digest(F.col("literal")))
     )
     literals = keyed.where("literal is not null").groupBy("digest", "literal").agg(F.count("*").alias("_sent"))
+    # A logtype counts from its event, wherever its record is, as in an archive made directly.
+    place = F.when(F.col("op") == OP_LOGTYPE, 0).otherwise(F.col("pos"))
     uses = keyed.groupBy("op", "digest").agg(
-        F.min(first_seen(F.col("seq"), F.col("pos"))).alias("first"), F.count("*").alias("n")
+        F.min(first_seen(F.col("seq"), place)).alias("first"), F.count("*").alias("n")
     )
     values = uses.join(literals, "digest", "left").select(
         "op", F.coalesce("literal", F.raise_error(F.lit("digest without a literal"))).alias("value"), "first", "n"
