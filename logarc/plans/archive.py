@@ -63,17 +63,19 @@ def inline_form(encoded: DataFrame) -> DataFrame:
     return encoded.withColumn("vars", slim)
 
 
-def build_archive(
-    encoded: DataFrame, compact: bool = False, broadcast_bytes: int = BROADCAST_BYTES
-) -> Archive:
+def build_archive(encoded: DataFrame, compact: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> Archive:
     """Columnar form of encoded events.
 
     The encoded events are written once and read three times: for each
     dictionary only its own column, and once for the ids.
     """
     base = materialize(inline_form(encoded), "encoded")
-    logtypes = materialize(logtype_dictionary(base), "logtypes")
-    variables = materialize(variable_dictionary(base), "variables")
+    return _with_dictionaries(base, lambda df, name: materialize(df, name), compact, broadcast_bytes)
+
+
+def _with_dictionaries(base: DataFrame, keep, compact: bool, broadcast_bytes: int) -> Archive:
+    logtypes = keep(logtype_dictionary(base), "logtypes")
+    variables = keep(variable_dictionary(base), "variables")
     if compact:
         check_compact(logtypes, "logtypes")
         check_compact(variables, "variables")
@@ -84,25 +86,37 @@ def build_archive(
 
 
 def write_archive(
-    archive: Archive, path: str, codec: str = "zstd", level: int = 3, by_date: bool = False
-) -> None:
-    """Write an archive as Parquet; the ``info`` table comes last and marks it whole.
+    encoded: DataFrame,
+    path: str,
+    compact: bool = False,
+    codec: str = "zstd",
+    level: int = 3,
+    by_date: bool = False,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> Archive:
+    """Write encoded events as a columnar Parquet archive and open it.
 
-    Level 0 writes uncompressed files. Events are range partitioned by
-    ``(source, seq)``, so a source that holds most events still spreads out.
+    Level 0 writes uncompressed files. The dictionaries are written first and
+    joined from there; the ``info`` table comes last and marks the archive
+    whole. Events are range partitioned by ``(source, seq)``, so a source that
+    holds most events still spreads out.
     """
-    options = codec_options(codec, level)
-    archive.logtypes.write.options(**options).parquet(f"{path}/logtypes")
-    archive.variables.write.options(**options).parquet(f"{path}/variables")
+    spark, options = encoded.sparkSession, codec_options(codec, level)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.options(**options).parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    base = materialize(inline_form(encoded), "encoded")
+    archive = _with_dictionaries(base, keep, compact, broadcast_bytes)
     events, order = archive.events, ["source", "seq"]
     if by_date:
         events, order = events.withColumn("date", F.to_date("ts")), ["date", "source", "seq"]
     writer = events.repartitionByRange(*order).sortWithinPartitions(*order).write.options(**options)
     (writer.partitionBy("date") if by_date else writer).parquet(f"{path}/events")
-    info = archive.events.sparkSession.range(1).select(
-        F.lit(ARCHIVE_VERSION).alias("version"), F.lit(archive.compact).alias("compact")
-    )
+    info = spark.range(1).select(F.lit(ARCHIVE_VERSION).alias("version"), F.lit(compact).alias("compact"))
     info.coalesce(1).write.parquet(f"{path}/info")
+    return read_archive(spark, path)
 
 
 def codec_options(codec: str = "zstd", level: int = 3) -> dict[str, str]:

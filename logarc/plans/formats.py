@@ -27,7 +27,7 @@ def compare_all_formats(events: DataFrame, level: int = 3) -> DataFrame:
         "plain": lambda p: write_plain_text(lines, p),
         "gzip": lambda p: write_gzip_text(lines, p),
         "zstd": lambda p: write_zstd_text(lines, p),
-        "columnar": lambda p: write_archive(archive, p, level=level),
+        "columnar": lambda p: write_archive(encoded, p, level=level),
         "row_major": lambda p: write_row_major(archive, p, level=level),
         "inline": lambda p: write_inline(encoded, p, level=level),
         **{

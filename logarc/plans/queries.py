@@ -376,7 +376,7 @@ def _archive_round_trip(table: str, mode: str, by_date: bool = False) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         path = scratch_path(spark, "archive")
         encoded = encode(messages(spark, folder, table), mode=mode)
-        write_archive(build_archive(encoded, compact=mode == "compact"), path, level=3, by_date=by_date)
+        write_archive(encoded, path, compact=mode == "compact", by_date=by_date)
         decoded = read_archive(spark, path).decode()
         return decoded.select("source", "seq", F.unix_millis("ts").alias("ts_ms"), "msg")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
+from ..session import configure, spread_small
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,16 +54,17 @@ def messages(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the text tables as messages."""
     df = read_table(spark, folder, name)
     if name == "events":
-        return event_logs(df).select("source", "seq", "ts", "msg")
+        return spread_small(event_logs(df).select("source", "seq", "ts", "msg"), "source", "seq")
     source, seq, msg = {
         "documents": (F.lit("documents"), "doc_id", "text"),
         "pages": (F.lit("pages"), "page_id", "html"),
         "conversations": (F.concat(F.lit("conv-"), F.col("conv_id").cast("string")), "turn", "text"),
         "benchmark": (F.lit("benchmark"), "item_id", "text"),
     }[name]
-    return df.select(
+    rows = df.select(
         source.alias("source"), F.col(seq).alias("seq"), F.timestamp_seconds(F.col(seq)).alias("ts"), F.col(msg).alias("msg")
     )
+    return spread_small(rows, "source", "seq")
 
 
 def log_file_lines(events: DataFrame) -> DataFrame:
