@@ -10,6 +10,7 @@ from ..functions.digests import from_big_endian
 from ..functions.numbers import decode_decimal32, decode_decimal64, decode_int
 from ..functions.tokens import unescape
 from ..session import BROADCAST_BYTES
+from .explode import explode_each
 from .lookup import lookup
 
 _PLACEHOLDERS = "[\x11-\x13]"
@@ -75,7 +76,7 @@ def decode_events(
         ),
     ).drop("vars", "logtype_id")
     references = (
-        typed.select("source", "seq", F.posexplode("_typed").alias("pos", "v"))
+        explode_each(typed, F.col("_typed"), "source", "seq")
         .where(F.col("v.kind") == DICT_KIND)
         .select("source", "seq", "pos", F.col("v.enc").alias("_ref"))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import COMPACT_MAX_ID, DICT_KIND, ENTRY_MAX_BYTES
 from ..functions.digests import digest, entry_bytes
 from ..session import BROADCAST_BYTES
+from .explode import explode_each
 from .lookup import lookup
 from .ordering import dense_ids
 
@@ -31,9 +32,9 @@ def distinct_values(occurrences: DataFrame) -> DataFrame:
 def variable_occurrences(encoded: DataFrame) -> DataFrame:
     """One row per dictionary variable of the encoded events."""
     return (
-        encoded.select("seq", F.posexplode("vars").alias("pos", "var"))
-        .where(F.col("var.kind") == DICT_KIND)
-        .select(F.col("var.text").alias("value"), first_seen(F.col("seq"), F.col("pos")).alias("first"))
+        explode_each(encoded, F.col("vars"), "seq")
+        .where(F.col("v.kind") == DICT_KIND)
+        .select(F.col("v.text").alias("value"), first_seen(F.col("seq"), F.col("pos")).alias("first"))
     )
 
 

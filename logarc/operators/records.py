@@ -24,6 +24,7 @@ from ..constants import (
 from ..functions.digests import digest
 from ..session import BROADCAST_BYTES, materialize
 from .dictionary import first_seen, number_values
+from .explode import explode_each
 from .lookup import lookup
 
 RECORD_KEY = ("source", "seq", "pos")
@@ -53,7 +54,7 @@ def to_records(encoded: DataFrame, compact: bool = False) -> DataFrame:
     tail = F.array(
         record(OP_LOGTYPE, F.col("logtype"), nothing), record(OP_TIMESTAMP, nothing, F.unix_millis("ts"))
     )
-    rows = encoded.select("source", "seq", F.posexplode(F.concat(of_variable, tail)).alias("pos", "rec"))
+    rows = explode_each(encoded, F.concat(of_variable, tail), "source", "seq", item="rec")
     return rows.select(
         *RECORD_KEY,
         "rec.op",

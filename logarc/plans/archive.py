@@ -11,6 +11,7 @@ from ..constants import ARCHIVE_VERSION, COMPACT_MAX_ID, DICT_KIND
 from ..functions.digests import big_endian
 from ..operators.decode import decode_encoded, decode_events
 from ..operators.dictionary import check_compact, logtype_dictionary, lookup_ids, variable_dictionary
+from ..operators.explode import explode_each
 from ..session import BROADCAST_BYTES, materialize
 
 
@@ -34,7 +35,7 @@ def attach_ids(
 ) -> DataFrame:
     """``(source, seq, ts, logtype_id, vars)``: texts replaced by dictionary ids."""
     references = (
-        encoded.select("source", "seq", F.posexplode("vars").alias("pos", "v"))
+        explode_each(encoded, F.col("vars"), "source", "seq")
         .where(F.col("v.kind") == DICT_KIND)
         .select("source", "seq", "pos", F.col("v.text").alias("text"))
     )

@@ -23,6 +23,7 @@ from ..operators.dictionary import (
     variable_occurrences,
 )
 from ..operators.encode import count_kinds, encode, filter_level, with_error_policy
+from ..operators.explode import explode_each
 from ..operators.ordering import running_total
 from ..operators.records import (
     dedup_records,
@@ -34,7 +35,7 @@ from ..operators.records import (
 )
 from ..operators.report import ir_compressed_report, ir_size_report, logtype_stats
 from ..operators.stitch import split_timestamp, stitch_events, strip_trailing
-from ..session import materialize, scratch_path
+from ..session import materialize, scratch_path, spread_small
 from ..sources.logs import parse_lines_fixed, parse_logs
 from ..sources.records import read_records, stream_records, write_records
 from ..sources.synthetic import synthetic_message, synthetic_vars
@@ -76,7 +77,7 @@ def stitch_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Document lines, eight to a split, put together again as multi-line events."""
     docs = read_table(spark, folder, "documents")
     text = F.concat(F.lit("24/01/01 00:00:00 "), F.col("text"))
-    lines = docs.select("source", "doc_id", F.posexplode(F.split(text, "\n")).alias("pos", "value")).select(
+    lines = explode_each(docs, F.split(text, "\n"), "source", "doc_id", item="value").select(
         F.col("source").alias("file_path"),
         (F.col("doc_id") * 1_000_000 + F.floor(F.col("pos") / 8)).cast("bigint").alias("block"),
         F.col("pos").cast("bigint").alias("mid"),
@@ -172,7 +173,7 @@ def tokenize_documents(spark: SparkSession, folder: str) -> DataFrame:
 def _variables_of(table: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         rows = messages(spark, folder, table)
-        found = rows.select("source", "seq", F.posexplode(tokens.variables(F.col("msg"))).alias("pos", "token"))
+        found = explode_each(rows, tokens.variables(F.col("msg")), "source", "seq", item="token")
         return found.select("source", "seq", _long("pos"), "token")
 
     return query
@@ -183,7 +184,7 @@ def _token_rows(spark: SparkSession, folder: str, table: str) -> DataFrame:
     delimited = F.concat(F.lit("\n"), F.col("msg"))
     pattern = f"[^{tokens.TOKEN_REGEX[1:]}"[: -len("]++")]
     found = F.regexp_extract_all(delimited, F.lit(f"({pattern}])({tokens.TOKEN_REGEX})"), F.lit(0))
-    rows = messages(spark, folder, table).select("seq", F.explode(found).alias("pair"))
+    rows = explode_each(messages(spark, folder, table), found, "seq", item="pair")
     return rows.select("seq", F.left("pair", F.lit(1)).alias("before"), F.substr("pair", F.lit(2)).alias("token"))
 
 
@@ -206,7 +207,7 @@ def variable_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def _classified(mode: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        rows = messages(spark, folder, "pages").select("seq", F.explode(tokens.variables(F.col("msg"))).alias("token"))
+        rows = explode_each(messages(spark, folder, "pages"), tokens.variables(F.col("msg")), "seq", item="token")
         return rows.select("seq", "token", tokens.classify_variable(F.col("token"), mode).cast("bigint").alias("kind"))
 
     return query
@@ -223,7 +224,7 @@ def _logtypes_of(table: str, mode: str) -> Query:
 def _encoded_variables(table: str, mode: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         rows = encode(messages(spark, folder, table), mode=mode)
-        return rows.select("source", "seq", F.posexplode("vars").alias("pos", "v")).select(
+        return explode_each(rows, F.col("vars"), "source", "seq").select(
             "source", "seq", _long("pos"), F.col("v.kind").cast("bigint").alias("kind"), "v.text", "v.enc"
         )
 
@@ -251,14 +252,10 @@ def number_token(kind: str) -> Column:
 def _number_query(kind: str, encoder, decoder=None) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         token = F.col("token")
-        rows = read_table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", number_token(kind).alias("token"))
-        value = encoder(token)
-        return rows.select(
-            "l_orderkey",
-            _long("l_linenumber"),
-            "token",
-            value.alias("enc") if decoder is None else decoder(value).alias("decoded"),
-        )
+        items = spread_small(read_table(spark, folder, "lineitem"), "l_orderkey", "l_linenumber")
+        rows = items.select("l_orderkey", _long("l_linenumber"), number_token(kind).alias("token"))
+        coded = rows.withColumn("enc", encoder(token))
+        return coded if decoder is None else coded.withColumn("decoded", decoder(F.col("enc"))).drop("enc")
 
     return query
 
@@ -329,7 +326,7 @@ def looked_up_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Dictionary id of every dictionary variable of the events, by shuffle join with hot values apart."""
     encoded = materialize(encode(messages(spark, folder, "events")), "encoded")
     dictionary = materialize(variable_dictionary(encoded), "variables")
-    uses = encoded.select("source", "seq", F.posexplode("vars").alias("pos", "v")).where("v.kind = 18")
+    uses = explode_each(encoded, F.col("vars"), "source", "seq").where("v.kind = 18")
     rows = uses.select("source", "seq", _long("pos"), F.col("v.text").alias("text"))
     return lookup_ids(rows, dictionary, "text", "id", F.xxhash64("source", "seq", "pos"), broadcast_bytes=0)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import LINE_HEAD, LINE_HEAD_CHARS, LINE_TIME_FORMAT
+from ..operators.explode import explode_each
 from ..operators.stitch import split_file_text, split_timestamp, stitch_events, strip_trailing
 
 
@@ -38,9 +39,8 @@ def read_whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _events_of_files(files: DataFrame, head_regex: str = LINE_HEAD) -> DataFrame:
-    return files.select("source", F.posexplode(split_file_text(F.col("value"), head_regex)).alias("seq", "value")).select(
-        "source", F.col("seq").cast("bigint").alias("seq"), "value"
-    )
+    events = explode_each(files, split_file_text(F.col("value"), head_regex), "source", pos="seq", item="value")
+    return events.select("source", F.col("seq").cast("bigint").alias("seq"), "value")
 
 
 def parse_logs(
