@@ -58,7 +58,7 @@ def test_lookup_paths_agree(spark):
 
 def test_dictionary_upsert_keeps_ids(spark, events):
     known = materialize(variable_dictionary(encode(events.where("seq < 300"))), "known")
-    batch = spark.createDataFrame([("main", 1, 5), ("zeta1", 9, 2), ("alpha2", 9, 1)], "value string, first decimal(38,0), n bigint")
+    batch = spark.createDataFrame([("main", 1, 5), ("zeta1", 9, 2), ("alpha2", 9, 1)], "value string, first bigint, n bigint")
     merged = {r.value: (r.id, r.n) for r in upsert_dictionary(batch, known).collect()}
     old = {r.value: (r.id, r.n) for r in known.collect()}
     assert merged["main"] == (old["main"][0], old["main"][1] + 5)
