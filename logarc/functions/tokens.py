@@ -103,11 +103,15 @@ def _encoders(mode: str):
 def message_parts(text: Column, mode: str = "standard") -> Column:
     """The message cut before each variable.
 
-    ``ARRAY<STRUCT<kind, text, enc, tail>>``: the first element has no variable
-    and holds the constant text in front; each later one is a variable and the
-    constant text that follows it.
+    ``ARRAY<STRUCT<text, tail, enc>>``: the first element has no variable and
+    holds the constant text in front; each later one is a variable, the constant
+    text that follows it and its number, if it has one.
     """
     number, decimal = _encoders(mode)
+
+    def encoded(token: Column) -> Column:
+        return number(token) if decimal is None else F.coalesce(number(token), decimal(token))
+
     marked = F.regexp_replace(F.concat(F.lit("\n"), escape(text)), VARIABLE_REGEX, f"$1{_BEGIN}$2{_END}")
     pieces = F.split(F.substr(marked, F.lit(2)), _BEGIN)
     cut = F.transform(
@@ -117,38 +121,30 @@ def message_parts(text: Column, mode: str = "standard") -> Column:
             F.substring_index(piece, _END, -1).alias("tail"),
         ),
     )
-    with_int = F.transform(
-        cut, lambda p: F.struct(p["text"].alias("text"), p["tail"].alias("tail"), number(p["text"]).alias("num"))
+    return F.transform(
+        cut,
+        lambda p: F.struct(p["text"].alias("text"), p["tail"].alias("tail"), encoded(p["text"]).alias("enc")),
     )
 
-    def typed(p: Column) -> Column:
-        packed = F.lit(None).cast("bigint")
-        if decimal is not None:
-            packed = F.when(p["num"].isNull(), decimal(p["text"]))
-        return F.struct(p["text"].alias("text"), p["tail"].alias("tail"), p["num"].alias("num"), packed.alias("dec"))
-
-    def final(p: Column) -> Column:
-        kind = (
-            F.when(p["text"].isNull(), F.lit(None))
-            .when(p["num"].isNotNull(), F.lit(INT_KIND))
-            .when(p["dec"].isNotNull(), F.lit(DECIMAL_KIND))
-            .otherwise(F.lit(DICT_KIND))
-        )
-        return F.struct(
-            kind.cast("tinyint").alias("kind"),
-            p["text"].alias("text"),
-            F.coalesce(p["num"], p["dec"]).alias("enc"),
-            p["tail"].alias("tail"),
-        )
-
-    return F.transform(F.transform(with_int, typed), final)
+
+def _kind(part: Column) -> Column:
+    """Kind of an encoded variable: of the two numeric ones, only a decimal has a point."""
+    return (
+        F.when(part["enc"].isNull(), F.lit(DICT_KIND))
+        .when(part["text"].contains("."), F.lit(DECIMAL_KIND))
+        .otherwise(F.lit(INT_KIND))
+    )
 
 
 def parts_logtype(parts: Column) -> Column:
     """Template text of :func:`message_parts`."""
+    mark = {kind: F.lit(chr(kind)) for kind in (INT_KIND, DICT_KIND, DECIMAL_KIND)}
     pieces = F.transform(
         parts,
-        lambda p: F.when(p["kind"].isNull(), p["tail"]).otherwise(F.concat(F.char(p["kind"].cast("int")), p["tail"])),
+        lambda p: F.when(p["text"].isNull(), p["tail"])
+        .when(p["enc"].isNull(), F.concat(mark[DICT_KIND], p["tail"]))
+        .when(p["text"].contains("."), F.concat(mark[DECIMAL_KIND], p["tail"]))
+        .otherwise(F.concat(mark[INT_KIND], p["tail"])),
     )
     return F.array_join(pieces, "")
 
@@ -156,8 +152,8 @@ def parts_logtype(parts: Column) -> Column:
 def parts_variables(parts: Column) -> Column:
     """``ARRAY<STRUCT<kind, text, enc>>`` of :func:`message_parts`."""
     return F.transform(
-        F.filter(parts, lambda p: p["kind"].isNotNull()),
-        lambda p: F.struct(p["kind"].alias("kind"), p["text"].alias("text"), p["enc"].alias("enc")),
+        F.slice(parts, 2, F.size(parts)),
+        lambda p: F.struct(_kind(p).cast("tinyint").alias("kind"), p["text"].alias("text"), p["enc"].alias("enc")),
     )
 
 
