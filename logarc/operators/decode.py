@@ -22,9 +22,9 @@ def placeholder_kinds(logtype: Column) -> Column:
 
 
 def constant_parts(logtype: Column) -> Column:
-    """Constant text around the variables: one more part than variables."""
+    """Constant text around the variables, unescaped: one more part than variables."""
     same = F.translate(logtype, chr(INT_KIND) + chr(DECIMAL_KIND), chr(DICT_KIND) * 2)
-    return F.split(same, chr(DICT_KIND))
+    return F.transform(F.split(same, chr(DICT_KIND)), unescape)
 
 
 def decode_variable(kind: Column, enc: Column, text: Column, compact: bool = False) -> Column:
@@ -37,19 +37,16 @@ def decode_variable(kind: Column, enc: Column, text: Column, compact: bool = Fal
     )
 
 
-def assemble(logtype: Column, texts: Column) -> Column:
+def assemble(parts: Column, texts: Column) -> Column:
     """Constant parts and variable texts, interleaved."""
     # Both arrays are arguments: neither is computed again per element.
-    pieces = F.zip_with(
-        constant_parts(logtype), texts, lambda part, text: F.concat(unescape(part), F.coalesce(text, F.lit("")))
-    )
-    return F.array_join(pieces, "")
+    return F.array_join(F.zip_with(parts, texts, lambda part, text: F.concat(part, F.coalesce(text, F.lit("")))), "")
 
 
 def decode_encoded(encoded: DataFrame, compact: bool = False, out: str = "msg") -> DataFrame:
     """Message text of events that still hold ``vars`` with their text."""
     texts = F.transform("vars", lambda v: decode_variable(v["kind"], v["enc"], v["text"], compact))
-    return encoded.withColumn(out, assemble(F.col("logtype"), texts)).drop("logtype", "vars")
+    return encoded.withColumn(out, assemble(constant_parts(F.col("logtype")), texts)).drop("logtype", "vars")
 
 
 def decode_events(
@@ -63,18 +60,26 @@ def decode_events(
     """Message text of archive events ``(source, seq, ts, logtype_id, vars)``.
 
     Only dictionary variables are exploded and looked up; the rest of an event
-    never leaves its row.
+    never leaves its row. Templates are taken apart once per dictionary entry,
+    not once per event.
     """
     spread = F.xxhash64("source", "seq")
-    named = lookup(events, logtypes, "logtype_id", "id", {"value": "logtype"}, spread, broadcast_bytes)
+    templates = logtypes.withColumns(
+        {
+            "kinds": F.transform(placeholder_kinds(F.col("value")), lambda kind: F.ascii(kind).cast("tinyint")),
+            "parts": constant_parts(F.col("value")),
+        }
+    )
+    take = {"kinds": "_kinds", "parts": "_parts"}
+    named = lookup(events, templates, "logtype_id", "id", take, spread, broadcast_bytes)
     typed = named.withColumn(
         "_typed",
         F.zip_with(
-            placeholder_kinds(F.col("logtype")),
+            F.col("_kinds"),
             F.col("vars"),
-            lambda kind, enc: F.struct(F.ascii(kind).alias("kind"), enc.cast("bigint").alias("enc")),
+            lambda kind, enc: F.struct(kind.alias("kind"), enc.cast("bigint").alias("enc")),
         ),
-    ).drop("vars", "logtype_id")
+    ).drop("vars", "logtype_id", "_kinds")
     references = (
         explode_each(typed, F.col("_typed"), "source", "seq")
         .where(F.col("v.kind") == DICT_KIND)
@@ -98,8 +103,8 @@ def decode_events(
     return (
         typed.join(per_event, ["source", "seq"], "left")
         .withColumn("_texts", F.transform(in_order, lambda p: p["text"]))
-        .withColumn(out, assemble(F.col("logtype"), F.col("_texts")))
-        .drop("logtype", "_typed", "_found", "_texts")
+        .withColumn(out, assemble(F.col("_parts"), F.col("_texts")))
+        .drop("_parts", "_typed", "_found", "_texts")
     )
 
 

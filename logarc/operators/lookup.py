@@ -34,7 +34,9 @@ def lookup(
     well spread BIGINT of the row.
     """
     renamed = {new: F.col(name) for name, new in take.items()}
-    carried = F.octet_length("value").cast("bigint") if "value" in take else F.lit(0).cast("bigint")
+    # Ids and counts have a fixed width; anything else is about as long as the text.
+    fixed = set(take) <= {"id", "n"}
+    carried = F.lit(0).cast("bigint") if fixed else F.octet_length("value").cast("bigint") * 2
     entry_bytes = carried + 64
     total = dictionary.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences"), F.coalesce(F.sum(entry_bytes), F.lit(0)).alias("bytes")

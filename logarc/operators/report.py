@@ -24,7 +24,8 @@ def ir_size_report(encoded: DataFrame, original_bytes: Column | int, prefix_byte
 
     Times take 8 bytes, variables 8, logtype ids 2 (least) to 8 (most). A
     ``prefix_bytes`` of 1 counts dictionary entries as the size report of the
-    original format does; 2 is what its dictionary files hold.
+    original format does; 2 is what its dictionary files hold. ``encoded`` is
+    read three times: pass a written table.
     """
     original = F.lit(original_bytes) if isinstance(original_bytes, int) else original_bytes
     columns = encoded.agg(

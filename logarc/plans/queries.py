@@ -473,7 +473,7 @@ def merged_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def size_report(spark: SparkSession, folder: str) -> DataFrame:
-    encoded = encode(messages(spark, folder, "events"), mode="int_only", keep_message=True)
+    encoded = materialize(encode(messages(spark, folder, "events"), mode="int_only", keep_message=True), "encoded")
     original = F.sum(F.octet_length("msg").cast("bigint") + 1)
     report = ir_size_report(encoded, original)
     return report.select(*[_long(n) for n, t in report.dtypes if t != "double"], "ratio_max", "ratio_min")

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from ..operators.records import dedup_records
 from ..plans.archive import codec_options
+from ..session import materialize
 
 RECORD_SCHEMA = T.StructType(
     [
@@ -25,6 +26,9 @@ RECORD_SCHEMA = T.StructType(
 def write_records(records: DataFrame, path: str, mode: str = "separate", codec: str = "zstd", level: int = 3) -> None:
     """Deduplicate a record stream and write it in stream order."""
     order = ["source", "seq", "pos"]
+    if mode != "none":
+        # Finding first places reads the records a second time.
+        records = materialize(records, "records")
     stream = dedup_records(records, mode).repartitionByRange(*order).sortWithinPartitions(*order)
     stream.write.options(**codec_options(codec, level)).parquet(path)
 
