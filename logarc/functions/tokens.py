@@ -29,6 +29,7 @@ _TOKEN = TOKEN_PUNCTUATION + LETTERS + DIGITS
 _NOT_DIGIT = TOKEN_PUNCTUATION + LETTERS
 
 TOKEN_REGEX = f"[{_TOKEN}]++"
+DELIMITED_TOKEN_REGEX = f"([^{_TOKEN}])([{_TOKEN}]++)"
 _HAS_DIGIT = f"[{_NOT_DIGIT}]*+[{DIGITS}][{_TOKEN}]*+"
 _HEX_WORD = f"[{HEX_LETTERS}]{{2,}}+(?![{_TOKEN}])"
 _AFTER_EQUALS = f"(?<==)[{TOKEN_PUNCTUATION}]*+[{LETTERS}][{_TOKEN}]*+"

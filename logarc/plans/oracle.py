@@ -259,6 +259,9 @@ _MARKERS = f"""WITH {typed('documents')}, {records('marked')}
 SELECT CAST(op + CASE WHEN literal IS NULL THEN 0 ELSE CASE WHEN strlen(literal) <= 127 THEN 1 WHEN strlen(literal) <= 32767 THEN 2 ELSE 3 END
   + CASE WHEN first = 1 THEN 3 ELSE 0 END END AS BIGINT) AS marker, count(*) AS n FROM rec GROUP BY 1"""
 
+_SENT_LITERALS = f"""WITH {typed('events')}, {records('separate')}
+SELECT source, op, digest, literal FROM rec WHERE literal IS NOT NULL"""
+
 _SYNTHETIC = (
     "'This is a log message with one spark unique app id per line: app-20201119' || event_id % 1000 || '-'"
     " || event_id % 20000 || ' from spark-node-' || event_id % 1000"
@@ -377,6 +380,6 @@ SELECT source, seq, pos, id FROM vars JOIN variable_dict ON tok = value WHERE ki
     "stream_encode": f"WITH {typed('events')} SELECT source, seq, logtype, n_vars FROM logtypes",
     "stream_logs": _STRIPPED,
     "stream_dictionary": _dictionary("events", "variable", shown="id, value, n"),
-    "stream_literals": f"""WITH {typed('events')}, {records('separate')}
-SELECT source, op, digest, literal FROM rec WHERE literal IS NOT NULL""",
+    "stream_literals": _SENT_LITERALS,
+    "stream_new_literals": _SENT_LITERALS,
 }

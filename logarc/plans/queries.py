@@ -42,7 +42,7 @@ from ..sources.synthetic import synthetic_message, synthetic_vars
 from ..sources.text_sinks import read_text, rolling_files, write_rolling_text, write_text
 from ..streaming.dictionary import read_stream_dictionary, stream_dictionary
 from ..streaming.ingest import stream_encode, stream_logs
-from ..streaming.records import stream_literals, write_stream
+from ..streaming.records import read_sent_literals, stream_literals, stream_new_literals, write_stream
 from .archive import (
     build_archive,
     read_archive,
@@ -182,8 +182,7 @@ def _variables_of(table: str) -> Query:
 def _token_rows(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """Every token with the character in front of it."""
     delimited = F.concat(F.lit("\n"), F.col("msg"))
-    pattern = f"[^{tokens.TOKEN_REGEX[1:]}"[: -len("]++")]
-    found = F.regexp_extract_all(delimited, F.lit(f"({pattern}])({tokens.TOKEN_REGEX})"), F.lit(0))
+    found = F.regexp_extract_all(delimited, F.lit(tokens.DELIMITED_TOKEN_REGEX), F.lit(0))
     rows = explode_each(messages(spark, folder, table), found, "seq", item="pair")
     return rows.select("seq", F.left("pair", F.lit(1)).alias("before"), F.substr("pair", F.lit(2)).alias("token"))
 
@@ -533,6 +532,14 @@ def streamed_literals(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(out).select("source", _long("op"), _hex("digest"), "literal")
 
 
+def streamed_new_literals(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, told apart batch by batch against the literals already sent."""
+    path = scratch_path(spark, "stream-new")
+    records = to_records(encode(_event_stream(spark, folder)))
+    stream_new_literals(records, path, f"{path}-progress").awaitTermination()
+    return read_sent_literals(spark, path).select("source", _long("op"), _hex("digest"), "literal")
+
+
 QUERIES: dict[str, Query] = {
     "stitch_events": stitch_documents,
     "parse_logs": parse_log_files,
@@ -627,4 +634,5 @@ QUERIES: dict[str, Query] = {
     "stream_logs": streamed_logs,
     "stream_dictionary": streamed_dictionary,
     "stream_literals": streamed_literals,
+    "stream_new_literals": streamed_new_literals,
 }

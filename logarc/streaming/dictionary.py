@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dictionary import distinct_values, new_entries
+from .batches import read_batches, write_batch
 
 ENTRY_SCHEMA = T.StructType(
     [
@@ -22,13 +21,7 @@ ENTRY_SCHEMA = T.StructType(
 
 def read_stream_dictionary(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame:
     """Entries written so far, or by batches before a given one."""
-    try:
-        entries = spark.read.schema(T.StructType([*ENTRY_SCHEMA.fields, T.StructField("batch", T.LongType())])).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], ENTRY_SCHEMA)
-    if before_batch is not None:
-        entries = entries.where(F.col("batch") < before_batch)
-    return entries.drop("batch")
+    return read_batches(spark, ENTRY_SCHEMA, path, before_batch)
 
 
 def upsert_batch(values: DataFrame, batch_id: int, path: str) -> None:
@@ -38,7 +31,7 @@ def upsert_batch(values: DataFrame, batch_id: int, path: str) -> None:
     its own that a replay overwrites: running it twice gives the same table.
     """
     known = read_stream_dictionary(values.sparkSession, path, before_batch=batch_id)
-    new_entries(distinct_values(values), known).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    write_batch(new_entries(distinct_values(values), known), batch_id, path)
 
 
 def stream_dictionary(occurrences: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

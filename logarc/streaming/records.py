@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from .batches import read_batches, write_batch
+
 
 def stream_literals(records: DataFrame, shared: bool = False, expiry: str | None = None, time: str = "ts") -> DataFrame:
     """Literals of a stream, each once per source.
 
     State is one row per ``(source, kind, digest)`` and is kept for ever, or for
     ``expiry`` of event time in column ``time``; a literal seen again after that
-    is sent again. References need no state: they are all the other records.
+    is sent again. References need no state: they are all the other records. All
+    records of one literal go to one state partition; where a literal may be in
+    most records, use :func:`stream_new_literals`.
     """
     keys = ["source", "digest"] if shared else ["source", "op", "digest"]
     literals = records.where("literal is not null")
@@ -21,6 +26,48 @@ def stream_literals(records: DataFrame, shared: bool = False, expiry: str | None
     return literals.withWatermark(time, expiry).dropDuplicatesWithinWatermark(keys)
 
 
+LITERAL_SCHEMA = T.StructType(
+    [
+        T.StructField("source", T.StringType()),
+        T.StructField("op", T.ByteType()),
+        T.StructField("digest", T.BinaryType()),
+        T.StructField("literal", T.StringType()),
+    ]
+)
+
+
+def read_sent_literals(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame:
+    """Literals sent so far, or by batches before a given one."""
+    return read_batches(spark, LITERAL_SCHEMA, path, before_batch)
+
+
+def send_batch(records: DataFrame, batch_id: int, path: str) -> None:
+    """Write the literals of a micro-batch that no batch before it has sent.
+
+    The batch is reduced to distinct literals before its rows are shuffled, so
+    one literal in most records does not load one task. A replay overwrites the
+    folder of its batch with the same rows.
+    """
+    keys = ["source", "op", "digest"]
+    sent = read_sent_literals(records.sparkSession, path, before_batch=batch_id).select(*keys)
+    distinct = records.where("literal is not null").select(*keys, "literal").distinct()
+    write_batch(distinct.join(sent, keys, "left_anti"), batch_id, path)
+
+
+def stream_new_literals(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Literals of a stream, each once per source and kind, for skewed streams.
+
+    Like :func:`stream_literals`, with the table of sent literals in place of
+    operator state.
+    """
+    return (
+        records.writeStream.foreachBatch(lambda batch, batch_id: send_batch(batch, batch_id, path))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def stream_references(records: DataFrame) -> DataFrame:
     """The record stream with digests in place of literals."""
     return records.withColumn("literal", F.lit(None).cast("string"))

@@ -7,7 +7,7 @@ from logarc.plans.archive import inline_form
 from logarc.sources.logs import parse_logs
 from logarc.streaming.dictionary import read_stream_dictionary, stream_dictionary, upsert_batch
 from logarc.streaming.ingest import stream_console, stream_encode, stream_logs
-from logarc.streaming.records import stream_literals, stream_references, write_stream
+from logarc.streaming.records import read_sent_literals, stream_literals, stream_new_literals, stream_references, write_stream
 
 FIRST = "21/10/11 06:15:00 INFO X: user=ann 1\n\tat frame 7\n21/10/11 06:15:01 WARN X: user=bob 0.5\n"
 SECOND = "21/10/11 06:16:00 INFO X: user=bob 2\n21/10/11 06:16:01 INFO X: user=cy 3"
@@ -55,6 +55,14 @@ def test_stream_literals(spark, tmp_path):
     write_stream(stream_references(records), refs, str(tmp_path / "p2")).awaitTermination()
     assert spark.read.parquet(refs).where("literal is not null").count() == 0
 
+    sent, progress = str(tmp_path / "sent"), str(tmp_path / "p4")
+    stream_new_literals(records, sent, progress).awaitTermination()
+    (logs / "b.log").write_text(SECOND + "\n21/10/11 06:17:00 INFO X: user=ann 9")
+    stream_new_literals(records, sent, progress).awaitTermination()
+    by_source = [(r.source[-5:], r.literal) for r in read_sent_literals(spark, sent).where("op = 48").collect()]
+    assert sorted(by_source) == [("a.log", n) for n in ("ann", "bob", "cy")] + [("b.log", n) for n in ("ann", "bob", "cy")]
+    (logs / "b.log").unlink()
+
     timed = encode(stream_logs(spark, str(logs)))
     timed = to_records(timed).withColumn("ts", F.current_timestamp())
     bounded = str(tmp_path / "bounded")
