@@ -50,7 +50,7 @@ HEADLINE = [
     "stream_encode",
     "stream_dictionary",
 ]
-SYNTHETIC_MESSAGES = 10_000_000
+SYNTHETIC_MESSAGES = 2_000_000
 
 
 def run(df: DataFrame) -> None:
@@ -64,7 +64,7 @@ def seconds(job) -> float:
 
 
 def rates(spark: SparkSession, folder: str) -> dict[str, float]:
-    """Events per second of the main steps, on the events table and the 10 M message workload."""
+    """Events per second of the main steps, on the events table and on synthetic messages."""
     rows = messages(spark, folder, "events")
     n = rows.count()
     path = scratch_path(spark, "bench")
