@@ -201,7 +201,7 @@ def score_texts(
     rows = docs.select(block, docs[doc_id].alias("doc_id"), held, docs[text].alias("text"))
     counted = (
         rows.repartition("block")
-        .select("block", (~F.col("held_out")).cast("long").alias("train"), F.explode(_word_column("text")).alias("word"))
+        .select("block", (~F.col("held_out")).cast("long").alias("train"), F.explode_outer(_word_column("text")).alias("word"))
         .filter("word != ''")
         .groupBy("block", "word")
         .agg(F.sum("train").alias("c"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.explode import explode_each
 from .common import text_key
 
 # Labels and the wording they are known by, as lower-case words.
@@ -55,7 +56,7 @@ def _grams(docs: DataFrame, text: str) -> DataFrame:
     """One row per word of each text: its place and the words that begin there (null beyond the end)."""
     words = docs.select(*text_key(text), license_words(F.col(text)).alias("words"))
     shifted = F.arrays_zip(F.col("words").alias("w0"), *[F.slice("words", i + 1, F.size("words")).alias(f"w{i}") for i in range(1, K)])
-    rows = words.select("h1", "h2", F.posexplode(shifted).alias("pos", "gram"))
+    rows = explode_each(words, shifted, "h1", "h2", item="gram")
     return rows.select("h1", "h2", "pos", *[F.col(f"gram.w{i}").alias(f"w{i}") for i in range(K)])
 
 

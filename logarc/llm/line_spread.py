@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.explode import explode_each
 from .common import hinted, stored, text_key
 
 # Relative error of the sketches: 32 registers, 32 bytes a line. Lines within NEAR errors of the limit are counted exactly.
@@ -19,7 +20,7 @@ def _line_key(line: Column) -> list[Column]:
 def _lines(docs: DataFrame, text: str, site: str) -> DataFrame:
     """One row per line that holds a character besides blanks."""
     split = docs.select(*text_key(text), docs[site].alias("site"), F.split(F.col(text), "\n", -1).alias("lines"))
-    rows = split.select("h1", "h2", "site", F.posexplode("lines").alias("pos", "line"))
+    rows = explode_each(split, F.col("lines"), "h1", "h2", "site", item="line")
     return rows.select("h1", "h2", "site", "pos", F.trim("line").alias("line")).filter("line != ''").select(
         "h1", "h2", "site", "pos", *_line_key(F.col("line"))
     )
