@@ -28,6 +28,9 @@ TOKEN_PUNCTUATION = r"+\-./\\_"
 ESCAPE = "\x10"
 ESCAPED = {"\x10": "\x10\x14", "\x11": "\x10\x15", "\x12": "\x10\x16", "\x13": "\x10\x17"}
 
+# In front of a logtype whose message isn't UTF-8: its text is the bytes, one character each.
+RAW_MARK = "\x10\x18"
+
 # Limits of the compact form and of one dictionary entry (fixed values).
 COMPACT_MAX_ID = 65535
 ENTRY_MAX_BYTES = 65535

@@ -18,7 +18,7 @@ CONVERSIONS = {
 DEFAULT_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss,SSS"
 
 _CONVERSION = re.compile(r"%(?P<left>-)?(?P<least>\d+)?(?:\.(?P<most>\d+))?(?P<word>[A-Za-z]+|%)(?:\{(?P<option>[^}]*)\})?")
-_TIME = re.compile(r"%d\{(\S+)\}")
+_TIME = re.compile(r"%d\{([^}]+)\}")
 
 
 def strip_layout_timestamp(pattern: str) -> tuple[str, str]:

@@ -21,6 +21,7 @@ from ..constants import (
     HEX_LETTERS,
     INT_KIND,
     LETTERS,
+    RAW_MARK,
     TOKEN_PUNCTUATION,
 )
 from .numbers import encode_decimal32, encode_decimal64, encode_int32, encode_int64
@@ -77,6 +78,22 @@ def unescape(text: Column) -> Column:
     return F.when(text.contains("\x10"), plain).otherwise(text)
 
 
+def as_text(message: Column) -> Column:
+    """Message text with the raw bytes of variables' places escaped.
+
+    A message that isn't UTF-8 is taken as its bytes, one character each, behind
+    ``RAW_MARK``; tokens are ASCII, so they are the same either way.
+    """
+    text = message.cast("string")
+    view = F.decode(text.cast("binary"), "ISO-8859-1")
+    return F.when(F.is_valid_utf8(text), escape(text)).otherwise(F.concat(F.lit(RAW_MARK), escape(view)))
+
+
+def as_message(text: Column, raw: Column) -> Column:
+    """Inverse of :func:`as_text` once the mark is taken off; ``raw`` says whether there was one."""
+    return F.when(raw, F.encode(text, "ISO-8859-1").cast("string")).otherwise(text)
+
+
 def variables(text: Column) -> Column:
     """The variable tokens of a message, in order."""
     return F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(VARIABLE_REGEX), F.lit(2))
@@ -113,7 +130,7 @@ def message_parts(text: Column, mode: str = "standard") -> Column:
     def encoded(token: Column) -> Column:
         return number(token) if decimal is None else F.coalesce(number(token), decimal(token))
 
-    marked = F.regexp_replace(F.concat(F.lit("\n"), escape(text)), VARIABLE_REGEX, f"$1{_BEGIN}$2{_END}")
+    marked = F.regexp_replace(F.concat(F.lit("\n"), as_text(text)), VARIABLE_REGEX, f"$1{_BEGIN}$2{_END}")
     pieces = F.split(F.substr(marked, F.lit(2)), _BEGIN)
     cut = F.transform(
         pieces,

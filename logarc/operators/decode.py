@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import DECIMAL_KIND, DICT_KIND, INT_KIND, LINE_TIME_FORMAT
+from ..constants import DECIMAL_KIND, DICT_KIND, INT_KIND, LINE_TIME_FORMAT, RAW_MARK
 from ..functions.digests import from_big_endian
 from ..functions.numbers import decode_decimal32, decode_decimal64, decode_int
-from ..functions.tokens import unescape
+from ..functions.tokens import as_message, unescape
 from ..session import BROADCAST_BYTES
 from .explode import explode_each
 from .lookup import lookup
@@ -21,9 +21,15 @@ def placeholder_kinds(logtype: Column) -> Column:
     return F.regexp_extract_all(logtype, F.lit(_PLACEHOLDERS), F.lit(0))
 
 
+def is_raw(logtype: Column) -> Column:
+    """Whether the message was not UTF-8."""
+    return logtype.startswith(RAW_MARK)
+
+
 def constant_parts(logtype: Column) -> Column:
     """Constant text around the variables, unescaped: one more part than variables."""
-    same = F.translate(logtype, chr(INT_KIND) + chr(DECIMAL_KIND), chr(DICT_KIND) * 2)
+    text = F.when(is_raw(logtype), F.substr(logtype, F.lit(len(RAW_MARK) + 1))).otherwise(logtype)
+    same = F.translate(text, chr(INT_KIND) + chr(DECIMAL_KIND), chr(DICT_KIND) * 2)
     return F.transform(F.split(same, chr(DICT_KIND)), unescape)
 
 
@@ -38,15 +44,18 @@ def decode_variable(kind: Column, enc: Column, text: Column, compact: bool = Fal
 
 
 def assemble(parts: Column, texts: Column) -> Column:
-    """Constant parts and variable texts, interleaved."""
+    """Constant parts and variable texts, interleaved. A variable without text raises."""
     # Both arrays are arguments: neither is computed again per element.
-    return F.array_join(F.zip_with(parts, texts, lambda part, text: F.concat(part, F.coalesce(text, F.lit("")))), "")
+    ends = F.concat(texts, F.array(F.lit("")))
+    lost = F.raise_error(F.lit("a variable of this template has no text"))
+    return F.array_join(F.zip_with(parts, ends, lambda part, text: F.coalesce(F.concat(part, text), lost)), "")
 
 
 def decode_encoded(encoded: DataFrame, compact: bool = False, out: str = "msg") -> DataFrame:
     """Message text of events that still hold ``vars`` with their text."""
     texts = F.transform("vars", lambda v: decode_variable(v["kind"], v["enc"], v["text"], compact))
-    return encoded.withColumn(out, assemble(constant_parts(F.col("logtype")), texts)).drop("logtype", "vars")
+    logtype = F.col("logtype")
+    return encoded.withColumn(out, as_message(assemble(constant_parts(logtype), texts), is_raw(logtype))).drop("logtype", "vars")
 
 
 def decode_events(
@@ -59,7 +68,8 @@ def decode_events(
 ) -> DataFrame:
     """Message text of archive events ``(source, seq, ts, logtype_id, vars)``.
 
-    Only dictionary variables are exploded and looked up; the rest of an event
+    An entry that the dictionaries lack, or two events of one ``(source, seq)``,
+    raise an error. Only dictionary variables are exploded and looked up; the rest of an event
     never leaves its row. Templates are taken apart once per dictionary entry,
     not once per event.
     """
@@ -68,14 +78,18 @@ def decode_events(
         {
             "kinds": F.transform(placeholder_kinds(F.col("value")), lambda kind: F.ascii(kind).cast("tinyint")),
             "parts": constant_parts(F.col("value")),
+            "raw": is_raw(F.col("value")),
         }
     )
-    take = {"kinds": "_kinds", "parts": "_parts"}
+    take = {"kinds": "_kinds", "parts": "_parts", "raw": "_raw"}
     named = lookup(events, templates, "logtype_id", "id", take, spread, broadcast_bytes)
+    # A missing template has no kinds, so the sizes differ (or one is NULL).
+    fits = F.coalesce(F.size("_kinds") == F.size("vars"), F.lit(False))
+    kinds = F.when(fits, F.col("_kinds")).otherwise(F.raise_error(F.lit("no template of as many variables for this event")))
     typed = named.withColumn(
         "_typed",
         F.zip_with(
-            F.col("_kinds"),
+            kinds.cast("array<tinyint>"),
             F.col("vars"),
             lambda kind, enc: F.struct(kind.alias("kind"), enc.cast("bigint").alias("enc")),
         ),
@@ -99,12 +113,17 @@ def decode_events(
         ),
         lambda p: p["text"].isNotNull(),
     )
-    in_order = F.sort_array(F.concat(numeric, F.coalesce("_found", F.array().cast("array<struct<pos:int,text:string>>"))))
+    found_texts = F.coalesce("_found", F.array().cast("array<struct<pos:int,text:string>>"))
+    due = F.size(F.filter("_typed", lambda v: v["kind"] == DICT_KIND))
+    whole = (F.size(found_texts) == due) & ~F.exists(found_texts, lambda p: p["text"].isNull())
+    lost = F.raise_error(F.lit("a dictionary entry is missing, or two events have one (source, seq)"))
+    checked = F.when(whole, found_texts).otherwise(lost.cast("array<struct<pos:int,text:string>>"))
+    in_order = F.sort_array(F.concat(numeric, checked))
     return (
         typed.join(per_event, ["source", "seq"], "left")
         .withColumn("_texts", F.transform(in_order, lambda p: p["text"]))
-        .withColumn(out, assemble(F.col("_parts"), F.col("_texts")))
-        .drop("_parts", "_typed", "_found", "_texts")
+        .withColumn(out, as_message(assemble(F.col("_parts"), F.col("_texts")), F.col("_raw")))
+        .drop("_parts", "_raw", "_typed", "_found", "_texts")
     )
 
 

@@ -11,7 +11,8 @@ from ..session import BROADCAST_BYTES
 # there are never more than HOT_SHARE hot values.
 HOT_SHARE = 1024
 # Copies of an entry that is hot but too long to broadcast.
-SALTS = 64
+# Each copy answers at most about as many rows as a value that is just hot has.
+MAX_SALTS = 1024
 
 
 def lookup(
@@ -34,10 +35,9 @@ def lookup(
     well spread BIGINT of the row.
     """
     renamed = {new: F.col(name) for name, new in take.items()}
-    # Ids and counts have a fixed width; anything else is about as long as the text.
-    fixed = set(take) <= {"id", "n"}
-    carried = F.lit(0).cast("bigint") if fixed else F.octet_length("value").cast("bigint") * 2
-    entry_bytes = carried + 64
+    entry_bytes = F.lit(64).cast("bigint")
+    for name in take:
+        entry_bytes = entry_bytes + _held_bytes(F.col(name), dictionary.schema[name].dataType.simpleString())
     total = dictionary.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences"), F.coalesce(F.sum(entry_bytes), F.lit(0)).alias("bytes")
     ).first()
@@ -46,31 +46,45 @@ def lookup(
         return rows.join(small, F.col(key) == F.col("_key"), "left").drop("_key")
 
     hot = F.col("n") * HOT_SHARE >= F.lit(total.occurrences)
+    copies = F.least(F.lit(MAX_SALTS), F.ceil(F.col("n") * HOT_SHARE / F.lit(max(total.occurrences, 1)))).cast("int")
     # At most HOT_SHARE entries pass, so those this short fit in broadcast_bytes.
     short = entry_bytes <= max(broadcast_bytes // HOT_SHARE, 64)
     marks = dictionary.where(hot).select(
         F.col(dict_key).alias("_hot_key"),
         short.alias("_short"),
+        copies.alias("_copies"),
         *_named({f"_hot_{new}": F.when(short, column) for new, column in renamed.items()}),
     )
     marked = rows.join(F.broadcast(marks), F.col(key) == F.col("_hot_key"), "left")
-    salt = F.when(F.col("_short") == False, F.pmod(spread, F.lit(SALTS))).otherwise(F.lit(0))  # noqa: E712
+    salt = F.when(F.col("_short") == False, F.pmod(spread, F.col("_copies"))).otherwise(F.lit(0))  # noqa: E712
     elsewhere = _foreign_key(rows.schema[key].dataType.typeName(), spread)
     answered = F.coalesce(F.col("_short"), F.lit(False)) | F.col(key).isNull()
     marked = marked.withColumns(
         {"_row_key": F.when(answered, elsewhere).otherwise(F.col(key)), "_row_salt": salt.cast("int")}
     )
-    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salts = F.when(hot, F.sequence(F.lit(0), copies - 1)).otherwise(F.array(F.lit(0)))
     rest = dictionary.where(~(hot & short)).select(
         F.col(dict_key).alias("_key"), F.explode(salts).alias("_salt"), *_named(renamed)
     )
     joined = marked.join(rest, (F.col("_row_key") == F.col("_key")) & (F.col("_row_salt") == F.col("_salt")), "left")
     merged = {new: F.coalesce(F.col(f"_hot_{new}"), F.col(new)) for new in renamed}
     return joined.withColumns(merged).drop(
-        "_key", "_salt", "_hot_key", "_short", "_row_key", "_row_salt", *[f"_hot_{new}" for new in renamed]
+        "_key", "_salt", "_hot_key", "_short", "_copies", "_row_key", "_row_salt", *[f"_hot_{new}" for new in renamed]
     )
 
 
+def _held_bytes(value: Column, kind: str) -> Column:
+    """Bytes of a value inside a row in memory: offset and size, and the content in words of 8 bytes."""
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("bigint") + 16
+    if kind == "array<string>":
+        text = F.aggregate(value, F.lit(0).cast("bigint"), lambda total, x: total + F.coalesce(F.octet_length(x), F.lit(0)) + 16)
+        return F.coalesce(text, F.lit(0).cast("bigint")) + 24
+    if kind.startswith("array"):
+        return F.coalesce(F.size(value), F.lit(0)).cast("bigint") * 8 + 24
+    return F.lit(8).cast("bigint")
+
+
 def _named(columns: dict[str, Column]) -> list[Column]:
     return [column.alias(name) for name, column in columns.items()]
 

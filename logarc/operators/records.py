@@ -1,6 +1,7 @@
 """Record streams: events as tagged records, deduplicated per source and merged.
 
-A record is ``(source, seq, pos, op, digest, literal, first, value)``. Per event
+A record is ``(source, seq, pos, op, digest, literal, first, value, ts)``; ``ts`` is
+the event's time, so that a stream of records can expire what it keeps. Per event
 the order is variables, logtype, timestamp. ``first`` says that no earlier
 record of the same source had this content.
 """
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..constants import (
     DEDUP_MODES,
     DICT_KIND,
+    INT_KIND,
     OP_ENCODED32,
     OP_ENCODED64,
     OP_LOGTYPE,
@@ -54,7 +56,7 @@ def to_records(encoded: DataFrame, compact: bool = False) -> DataFrame:
     tail = F.array(
         record(OP_LOGTYPE, F.col("logtype"), nothing), record(OP_TIMESTAMP, nothing, F.unix_millis("ts"))
     )
-    rows = explode_each(encoded, F.concat(of_variable, tail), "source", "seq", item="rec")
+    rows = explode_each(encoded, F.concat(of_variable, tail), "source", "seq", "ts", item="rec")
     return rows.select(
         *RECORD_KEY,
         "rec.op",
@@ -62,9 +64,29 @@ def to_records(encoded: DataFrame, compact: bool = False) -> DataFrame:
         "rec.literal",
         F.lit(None).cast("boolean").alias("first"),
         "rec.value",
+        "ts",
     )
 
 
+def literals_of_records(records: DataFrame) -> DataFrame:
+    """Encoded events ``(source, seq, ts, logtype, vars)`` of records that all carry their literal."""
+    is_variable = ~F.col("op").isin(OP_LOGTYPE, OP_TIMESTAMP)
+    part = F.struct(
+        "pos",
+        F.when(F.col("op") == OP_VARIABLE, F.lit(DICT_KIND)).otherwise(F.lit(INT_KIND)).cast("tinyint").alias("kind"),
+        F.col("literal").alias("text"),
+        F.col("value").alias("enc"),
+    )
+    events = records.groupBy("source", "seq").agg(
+        F.timestamp_millis(F.max(F.when(F.col("op") == OP_TIMESTAMP, F.col("value")))).alias("ts"),
+        F.max(F.when(F.col("op") == OP_LOGTYPE, F.col("literal"))).alias("logtype"),
+        F.sort_array(F.collect_list(F.when(is_variable, part))).alias("parts"),
+    )
+    # Which of the two kinds of number a variable is only its template says; ids don't need to know.
+    variables = F.transform("parts", lambda p: F.struct(p["kind"].alias("kind"), p["text"].alias("text"), p["enc"].alias("enc")))
+    return events.select("source", "seq", "ts", "logtype", variables.alias("vars"))
+
+
 def dedup_records(records: DataFrame, mode: str = "separate") -> DataFrame:
     """Send each content once per source.
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import ARCHIVE_VERSION, COMPACT_MAX_ID, DICT_KIND
-from ..functions.digests import big_endian
-from ..operators.decode import decode_encoded, decode_events
+from ..functions.digests import big_endian, digest
+from ..operators.decode import decode_encoded, decode_events, decode_row_major
 from ..operators.dictionary import check_compact, logtype_dictionary, lookup_ids, variable_dictionary
 from ..operators.explode import explode_each
 from ..session import BROADCAST_BYTES, materialize
@@ -33,7 +33,10 @@ class Archive:
 def attach_ids(
     encoded: DataFrame, logtypes: DataFrame, variables: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """``(source, seq, ts, logtype_id, vars)``: texts replaced by dictionary ids."""
+    """``(source, seq, ts, logtype_id, vars)``: texts replaced by dictionary ids.
+
+    Two events of one ``(source, seq)``, or a value that the dictionaries lack, raise an error.
+    """
     references = (
         explode_each(encoded, F.col("vars"), "source", "seq")
         .where(F.col("v.kind") == DICT_KIND)
@@ -46,7 +49,11 @@ def attach_ids(
         F.transform("vars", lambda v, i: F.struct(i.alias("pos"), v["enc"].alias("enc"))),
         lambda p: p["enc"].isNotNull(),
     )
-    in_order = F.sort_array(F.concat(numeric, F.coalesce("_found", F.array().cast("array<struct<pos:int,enc:bigint>>"))))
+    found_ids = F.coalesce("_found", F.array().cast("array<struct<pos:int,enc:bigint>>"))
+    due = F.size(F.filter("vars", lambda v: v["kind"] == DICT_KIND))
+    whole = (F.size(found_ids) == due) & ~F.exists(found_ids, lambda p: p["enc"].isNull())
+    lost = F.raise_error(F.lit("a dictionary entry is missing, or two events have one (source, seq)"))
+    in_order = F.sort_array(F.concat(numeric, F.when(whole, found_ids).otherwise(lost.cast("array<struct<pos:int,enc:bigint>>"))))
     named = lookup_ids(encoded, logtypes, "logtype", "logtype_id", F.xxhash64("source", "seq"), broadcast_bytes)
     return named.join(per_event, ["source", "seq"], "left").select(
         "source", "seq", "ts", "logtype_id", F.transform(in_order, lambda p: p["enc"]).alias("vars")
@@ -105,8 +112,7 @@ def write_archive(
     spark, options = encoded.sparkSession, codec_options(codec, level)
 
     def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.options(**options).parquet(f"{path}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+        return _keep_dictionary(df, f"{path}/{name}", options)
 
     base = materialize(inline_form(encoded), "encoded")
     archive = _with_dictionaries(base, keep, compact, broadcast_bytes)
@@ -120,6 +126,18 @@ def write_archive(
     return read_archive(spark, path)
 
 
+def _keep_dictionary(df: DataFrame, path: str, options: dict[str, str]) -> DataFrame:
+    """Write a dictionary without its digests, which follow from the values, and open it."""
+    df.select("id", "value", "n").write.options(**options).parquet(path)
+    return read_dictionary(df.sparkSession, path)
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """A stored dictionary; the digest of a value is made only where it is used."""
+    rows = spark.read.schema("id bigint, value string, n bigint").parquet(path)
+    return rows.select("id", digest(F.col("value")).alias("digest"), "value", "n")
+
+
 def codec_options(codec: str = "zstd", level: int = 3) -> dict[str, str]:
     """Writer options for a codec and its level; level 0 means no compression."""
     if level == 0 or codec == "none":
@@ -135,12 +153,12 @@ def read_archive(spark: SparkSession, path: str) -> Archive:
     info = spark.read.parquet(f"{path}/info").first()
     if info.version != ARCHIVE_VERSION:
         raise ValueError(f"archive version {info.version} is not {ARCHIVE_VERSION}")
-    tables = [spark.read.parquet(f"{path}/{name}") for name in ("events", "logtypes", "variables")]
-    return Archive(*tables, info.compact)
+    dictionaries = [read_dictionary(spark, f"{path}/{name}") for name in ("logtypes", "variables")]
+    return Archive(spark.read.parquet(f"{path}/events"), *dictionaries, info.compact)
 
 
 def row_major(archive: Archive, id_bytes: int = 8) -> DataFrame:
-    """``(source, seq, payload)``: time, logtype id and variables in one value."""
+    """``(source, seq, payload)``: time, logtype id and variables in one value. An event without a time raises."""
     var_bytes = 4 if archive.compact else 8
     logtype_id = F.col("logtype_id")
     if id_bytes < 8:
@@ -148,17 +166,35 @@ def row_major(archive: Archive, id_bytes: int = 8) -> DataFrame:
         logtype_id = F.when(logtype_id <= limit, logtype_id).otherwise(
             F.raise_error(F.lit(f"logtype id over {limit}")).cast("bigint")
         )
+    no_time = F.raise_error(F.lit("row-major events need a time")).cast("bigint")
+    time = F.coalesce(F.unix_millis("ts"), no_time)
     words = F.array_join(F.transform("vars", lambda v: big_endian(v, var_bytes)), "")
-    payload = F.unhex(F.concat(big_endian(F.unix_millis("ts")), big_endian(logtype_id, id_bytes), words))
+    payload = F.unhex(F.concat(big_endian(time), big_endian(logtype_id, id_bytes), words))
     return archive.events.select("source", "seq", payload.alias("payload"))
 
 
 def write_row_major(archive: Archive, path: str, codec: str = "zstd", level: int = 3, id_bytes: int = 8) -> None:
-    """Write the row-major form."""
+    """Write the row-major form with both dictionaries: payloads under ``events``."""
+    spark, options = archive.events.sparkSession, codec_options(codec, level)
+    for name in ("logtypes", "variables"):
+        _keep_dictionary(getattr(archive, name), f"{path}/{name}", options)
     rows = row_major(archive, id_bytes)
-    rows.repartitionByRange("source", "seq").sortWithinPartitions("source", "seq").write.options(
-        **codec_options(codec, level)
-    ).parquet(path)
+    ordered = rows.repartitionByRange("source", "seq").sortWithinPartitions("source", "seq")
+    ordered.write.options(**options).parquet(f"{path}/events")
+    info = spark.range(1).select(
+        F.lit(ARCHIVE_VERSION).alias("version"), F.lit(archive.compact).alias("compact"), F.lit(id_bytes).alias("id_bytes")
+    )
+    info.coalesce(1).write.parquet(f"{path}/info")
+
+
+def read_row_major(spark: SparkSession, path: str) -> Archive:
+    """Open a row-major archive; its events come back as columns, and ``decode`` gives their text."""
+    info = spark.read.parquet(f"{path}/info").first()
+    if info.version != ARCHIVE_VERSION:
+        raise ValueError(f"archive version {info.version} is not {ARCHIVE_VERSION}")
+    payloads = spark.read.schema("source string, seq bigint, payload binary").parquet(f"{path}/events")
+    events = decode_row_major(payloads, info.id_bytes, 4 if info.compact else 8)
+    return Archive(events, *[read_dictionary(spark, f"{path}/{name}") for name in ("logtypes", "variables")], info.compact)
 
 
 def write_inline(encoded: DataFrame, path: str, codec: str = "zstd", level: int = 3, by_date: bool = False) -> None:

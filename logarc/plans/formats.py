@@ -12,7 +12,7 @@ from ..operators.records import to_records
 from ..operators.report import compare_formats
 from ..session import materialize
 from ..sources.records import write_records
-from ..sources.text_sinks import write_gzip_text, write_plain_text, write_zstd_text
+from ..sources.text_sinks import write_gzip_text, write_plain_text, write_zstd_column
 from .archive import build_archive, write_archive, write_inline, write_row_major
 
 
@@ -26,7 +26,7 @@ def compare_all_formats(events: DataFrame, level: int = 3) -> DataFrame:
     writers = {
         "plain": lambda p: write_plain_text(lines, p),
         "gzip": lambda p: write_gzip_text(lines, p),
-        "zstd": lambda p: write_zstd_text(lines, p),
+        "zstd": lambda p: write_zstd_column(lines, p),
         "columnar": lambda p: write_archive(encoded, p, level=level),
         "row_major": lambda p: write_row_major(archive, p, level=level),
         "inline": lambda p: write_inline(encoded, p, level=level),

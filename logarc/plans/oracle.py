@@ -15,7 +15,7 @@ _LEVEL = (
     "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' WHEN 'view' THEN 'DEBUG' ELSE 'INFO' END"
 )
 _EVENT_MSG = (
-    "event_type || ' user=' || user_id || ' value=' || CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR)"
+    "event_type || ' user=' || user_id || ' owner=' || ['alice', 'bob', 'carol', 'dave'][user_id % 4 + 1] || ' value=' || CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR)"
     " || ' session=s' || user_id || '-' || event_id % 40 || ' props=' || props"
 )
 
@@ -132,8 +132,8 @@ SELECT source, count(*) AS records, CAST(sum(CASE WHEN op IN (16, 64) THEN 9
 
 def _number(kind: str) -> str:
     whole = {
-        "int32": "l_orderkey * l_partkey * l_suppkey",
-        "int64": "l_orderkey * l_partkey * l_suppkey * 98765432",
+        "int32": "l_orderkey::HUGEINT * l_partkey * l_suppkey",
+        "int64": "l_orderkey::HUGEINT * l_partkey * l_suppkey * 98765432",
         "decimal": "CAST(l_extendedprice AS DECIMAL(12,2))",
         "long_decimal": "CAST(l_extendedprice AS DECIMAL(14,2)) * CAST(1000003 AS DECIMAL(7,0))",
     }[kind]
@@ -262,6 +262,9 @@ SELECT CAST(op + CASE WHEN literal IS NULL THEN 0 ELSE CASE WHEN strlen(literal)
 _SENT_LITERALS = f"""WITH {typed('events')}, {records('separate')}
 SELECT source, op, digest, literal FROM rec WHERE literal IS NOT NULL"""
 
+_ODD_BYTES = f"""SELECT source, seq, CASE WHEN seq % 11 = 0 THEN '75c328' || lower(hex(encode(msg))) || 'ff'
+  ELSE lower(hex(encode(msg))) END AS bytes FROM ({MESSAGES['events']})"""
+
 _SYNTHETIC = (
     "'This is a log message with one spark unique app id per line: app-20201119' || event_id % 1000 || '-'"
     " || event_id % 20000 || ' from spark-node-' || event_id % 1000"
@@ -280,7 +283,7 @@ ORACLE: dict[str, str] = {
   || (event_id * 4 + 2) || ',' || (event_id * 4 + 3) AS vars FROM events""",
     "plain_text": _TEXT_LINES,
     "gzip_text": _TEXT_LINES,
-    "zstd_text": _TEXT_LINES,
+    "zstd_column": _TEXT_LINES,
     "rolling_files": f"SELECT source, seq, file_no FROM ({_rolled(20_000)})",
     "rolling_text": f"""SELECT source, file_no, line FROM (SELECT *, max(file_no) OVER (PARTITION BY source) AS newest
   FROM ({_rolled(10_000)})) WHERE file_no > newest - 10""",
@@ -293,8 +296,9 @@ ORACLE: dict[str, str] = {
     "variables_conversations": _variables("conversations"),
     "hex_tokens": f"""WITH {_token_rows('documents')} SELECT token, count(*) AS n FROM tokens
   WHERE regexp_full_match(token, '[0-9A-Fa-f]{{2,}}') GROUP BY token""",
-    "eq_tokens": f"""WITH {_token_rows('pages')} SELECT token, count(*) AS n FROM tokens
-  WHERE right(before, 1) = '=' GROUP BY token""",
+    "eq_tokens": f"""WITH {_token_rows('events')} SELECT token, count(*) AS n FROM tokens
+  WHERE right(before, 1) = '=' AND regexp_matches(token, '[A-Za-z]') AND NOT regexp_matches(token, '[0-9]')
+    AND NOT regexp_full_match(token, '[0-9A-Fa-f]{{2,}}') GROUP BY token""",
     "variable_tokens": f"""WITH {_token_rows('pages')} SELECT seq, count(*) AS n_variables FROM tokens
   WHERE {_is_variable('token', 'before')} GROUP BY seq""",
     "classify_standard": f"WITH {typed('pages')} SELECT seq, tok AS token, CAST(kind AS BIGINT) AS kind FROM vars",
@@ -323,7 +327,7 @@ SELECT logtype, count(*) AS n_events, CAST(sum(a) AS BIGINT) AS n_int, CAST(sum(
     "decode_decimals64": _numbers("long_decimal", decimal_value("token"), decoded=True),
     "decode_decimals32": _numbers("decimal", decimal_value("token", 32), decoded=True),
     "level_filter": f"""SELECT event_id AS seq, {_LEVEL} AS level, {_EVENT_MSG} AS msg FROM events
-  WHERE {_LEVEL} IN ('WARN', 'ERROR')""",
+  WHERE {_LEVEL} IN ('WARN', 'ERROR') AND event_id % 5 <> 0""",
     "render_layout_events": f"SELECT event_id AS seq, {_TIME} || ' ' || {_LAYOUT_REST} AS line FROM events",
     "strip_layout_timestamp": f"SELECT event_id AS seq, {_TIME} AS time, ' ' || {_LAYOUT_REST} AS line FROM events",
     "error_policy": """SELECT event_id AS seq, CASE WHEN event_id % 7 = 0 THEN 'bad timestamp'
@@ -359,6 +363,11 @@ SELECT source, seq, pos, id FROM vars JOIN variable_dict ON tok = value WHERE ki
     "row_major_payload": _payload("standard", 8),
     "row_major_compact": _payload("compact", 2),
     "row_major_roundtrip": _archive("events"),
+    "row_major_text_roundtrip": _plain("pages"),
+    "roundtrip_invalid_utf8": _ODD_BYTES,
+    "roundtrip_invalid_utf8_inline": _ODD_BYTES,
+    "roundtrip_leading_lines": f"""SELECT unnest(string_split(chr(9) || 'tail of ' || event_id || chr(10) || substr(line, 18), chr(10))) AS line
+  FROM (SELECT event_id, {_LINE} AS line FROM events)""",
     "records_none": _records("none"),
     "records_shared": _records("shared"),
     "records_separate": _records("separate"),
@@ -382,4 +391,8 @@ SELECT source, seq, pos, id FROM vars JOIN variable_dict ON tok = value WHERE ki
     "stream_dictionary": _dictionary("events", "variable", shown="id, value, n"),
     "stream_literals": _SENT_LITERALS,
     "stream_new_literals": _SENT_LITERALS,
+    "stream_literals_expiry": _SENT_LITERALS,
+    "stream_archive_roundtrip": _plain("events"),
+    "stream_records_to_archive": _plain("events"),
+    "append_archive": f"{_plain('documents')} UNION ALL {_plain('conversations')}",
 }

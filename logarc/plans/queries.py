@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers, tokens
 from ..functions.digests import digest
 from ..functions.layout import render_layout, strip_layout_timestamp
-from ..operators.decode import decode_encoded, decode_row_major, render_timestamp
+from ..operators.decode import decode_encoded, render_timestamp
 from ..operators.dictionary import (
     check_compact,
     dictionary_bytes,
@@ -35,11 +35,12 @@ from ..operators.records import (
 )
 from ..operators.report import ir_compressed_report, ir_size_report, logtype_stats
 from ..operators.stitch import split_timestamp, stitch_events, strip_trailing
-from ..session import materialize, scratch_path, spread_small
+from ..session import materialize, scratch_path
 from ..sources.logs import parse_lines_fixed, parse_logs
-from ..sources.records import read_records, stream_records, write_records
-from ..sources.synthetic import synthetic_message, synthetic_vars
-from ..sources.text_sinks import read_text, rolling_files, write_rolling_text, write_text
+from ..sources.records import RECORD_SCHEMA, read_records, stream_records, write_records
+from ..sources.synthetic import synthetic_columns, synthetic_logs
+from ..sources.text_sinks import read_text, read_zstd_column, rolling_files, write_rolling_text, write_text, write_zstd_column
+from ..streaming.archive import append_archive, read_stream_archive, stream_archive, stream_records_archive
 from ..streaming.dictionary import read_stream_dictionary, stream_dictionary
 from ..streaming.ingest import stream_encode, stream_logs
 from ..streaming.records import read_sent_literals, stream_literals, stream_new_literals, write_stream
@@ -47,6 +48,7 @@ from .archive import (
     build_archive,
     read_archive,
     read_inline,
+    read_row_major,
     row_major,
     write_archive,
     write_inline,
@@ -118,13 +120,16 @@ def split_timestamps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def synthetic_log_messages(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "events").select("event_id", synthetic_message(F.col("event_id")).alias("msg"))
+    """The operator's first messages, as many as there are events, joined to them."""
+    events = read_table(spark, folder, "events").select("event_id")
+    made = synthetic_logs(spark, events.count())
+    return events.join(made, F.col("event_id") == F.col("id")).select("event_id", "msg")
 
 
 def synthetic_column_rows(spark: SparkSession, folder: str) -> DataFrame:
-    i = F.col("event_id")
-    rows = read_table(spark, folder, "events").select(i.alias("ts"), i.alias("logtype"), synthetic_vars(i, 4).alias("vars"))
-    return rows.select("ts", "logtype", _joined("vars"))
+    events = read_table(spark, folder, "events").select("event_id")
+    made = synthetic_columns(spark, events.count(), 4)
+    return events.join(made, F.col("event_id") == F.col("ts")).select("ts", "logtype", _joined("vars"))
 
 
 # --- sinks -------------------------------------------------------------------
@@ -134,11 +139,17 @@ def _text_round_trip(codec: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         path = scratch_path(spark, f"text-{codec}")
         write_text(log_file_lines(read_table(spark, folder, "events")), path, codec)
-        return read_text(spark, path, codec).select(F.col("value").alias("line"))
+        return read_text(spark, path).select(F.col("value").alias("line"))
 
     return query
 
 
+def zstd_column_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "zstd-column")
+    write_zstd_column(log_file_lines(read_table(spark, folder, "events")), path)
+    return read_zstd_column(spark, path).select(F.col("value").alias("line"))
+
+
 def _event_lines(spark: SparkSession, folder: str) -> DataFrame:
     lines = render_timestamp(messages(spark, folder, "events"), "yy/MM/dd HH:mm:ss ")
     return lines.select("source", "seq", "line")
@@ -194,7 +205,9 @@ def hex_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def eq_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _token_rows(spark, folder, "pages").where("before = '='")
+    """Tokens behind an equals sign that are variables for no other reason."""
+    rows = _token_rows(spark, folder, "events").where("before = '=' AND NOT token RLIKE '[0-9]'")
+    rows = rows.where(~tokens.is_hex_token(F.col("token")) & tokens.is_variable_token(F.col("token"), F.col("before")))
     return rows.groupBy("token").agg(F.count("*").alias("n"))
 
 
@@ -239,9 +252,11 @@ def number_token(kind: str) -> Column:
     """Number-like tokens of a line item: signs and zero padding vary by line."""
     sign = F.when(F.col("l_linenumber") % 2 == 0, "-").otherwise("")
     pad = F.when(F.col("l_linenumber") % 3 == 0, "0").otherwise("")
+    # Products of whole numbers as decimals: beyond 64 bits they are numbers that don't fit, at any size of the table.
+    product = F.col("l_orderkey").cast("decimal(38,0)") * F.col("l_partkey") * F.col("l_suppkey")
     whole = {
-        "int32": F.col("l_orderkey") * F.col("l_partkey") * F.col("l_suppkey"),
-        "int64": F.col("l_orderkey") * F.col("l_partkey") * F.col("l_suppkey") * F.lit(98_765_432),
+        "int32": product,
+        "int64": product * F.lit(98_765_432),
         "decimal": F.col("l_extendedprice").cast("decimal(12,2)"),
         "long_decimal": F.col("l_extendedprice").cast("decimal(14,2)") * F.lit(1_000_003).cast("decimal(7,0)"),
     }[kind]
@@ -251,8 +266,7 @@ def number_token(kind: str) -> Column:
 def _number_query(kind: str, encoder, decoder=None) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         token = F.col("token")
-        items = spread_small(read_table(spark, folder, "lineitem"), "l_orderkey", "l_linenumber")
-        rows = items.select("l_orderkey", _long("l_linenumber"), number_token(kind).alias("token"))
+        rows = read_table(spark, folder, "lineitem").select("l_orderkey", _long("l_linenumber"), number_token(kind).alias("token"))
         coded = rows.withColumn("enc", encoder(token))
         return coded if decoder is None else coded.withColumn("decoded", decoder(F.col("enc"))).drop("enc")
 
@@ -261,7 +275,7 @@ def _number_query(kind: str, encoder, decoder=None) -> Query:
 
 def level_filter(spark: SparkSession, folder: str) -> DataFrame:
     logs = event_logs(read_table(spark, folder, "events"))
-    return filter_level(logs, "WARN", condition=F.col("seq") >= 0).select("seq", "level", "msg")
+    return filter_level(logs, "WARN", condition=F.col("seq") % 5 != 0).select("seq", "level", "msg")
 
 
 LAYOUT = "%d{HH:mm:ss.SSS} %-5level [%t] %c - %msg%n"
@@ -412,7 +426,49 @@ def _row_major_payloads(mode: str, id_bytes: int) -> Query:
 def row_major_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "row-major")
     write_row_major(build_archive(encode(messages(spark, folder, "events"))), path)
-    return _event_columns(decode_row_major(spark.read.parquet(path)))
+    return _event_columns(read_row_major(spark, path).events)
+
+
+def row_major_text_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Text of a row-major archive, from its own files alone."""
+    path = scratch_path(spark, "row-major-text")
+    write_row_major(build_archive(encode(messages(spark, folder, "pages"), mode="compact"), compact=True), path, id_bytes=2)
+    return _times_and_text(read_row_major(spark, path).decode())
+
+
+def _times_and_text(events: DataFrame) -> DataFrame:
+    return events.select("source", "seq", F.unix_millis("ts").alias("ts_ms"), "msg")
+
+
+def _odd_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of which every eleventh message is not UTF-8."""
+    broken = F.concat(F.unhex(F.lit("75C328")), F.encode("msg", "UTF-8"), F.unhex(F.lit("FF"))).cast("string")
+    return messages(spark, folder, "events").withColumn("msg", F.when(F.col("seq") % 11 == 0, broken).otherwise(F.col("msg")))
+
+
+def _invalid_utf8_round_trip(archived: bool) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        coded = encode(_odd_messages(spark, folder))
+        path = scratch_path(spark, "bytes")
+        if archived:
+            write_archive(coded, path)
+            back = read_archive(spark, path).decode()
+        else:
+            write_inline(coded, path)
+            back = read_inline(spark, path)
+        return back.select("source", "seq", F.lower(F.hex(F.col("msg").cast("binary"))).alias("bytes"))
+
+    return query
+
+
+def leading_lines_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Log files that begin in the middle of an event: every line comes back out of the archive."""
+    logs = log_file_lines(read_table(spark, folder, "events"))
+    tail = F.concat(F.lit("\ttail of "), F.col("seq").cast("string"), F.lit("\n"), F.col("line"))
+    path, out = scratch_path(spark, "leading"), scratch_path(spark, "leading-archive")
+    write_text(logs.select(tail.alias("line")), path)
+    write_archive(encode(parse_logs(spark, path, strip=False)), out)
+    return read_archive(spark, out).decode().select(F.explode(F.split("msg", "\n")).alias("line"))
 
 
 # --- records -----------------------------------------------------------------
@@ -497,10 +553,20 @@ def format_sizes(spark: SparkSession, folder: str) -> DataFrame:
 # --- streams -----------------------------------------------------------------
 
 
-def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = read_table(spark, folder, "events").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    return event_logs(files).select("source", "seq", "ts", "msg")
+def _event_stream(spark: SparkSession, folder: str, batches: int = 1) -> DataFrame:
+    """The events as a stream; with several batches, of files written in the order of their ids."""
+    events = read_table(spark, folder, "events")
+    source, name = folder, "events.parquet"
+    if batches > 1:
+        source, name = scratch_path(spark, "event-files"), "*.parquet"
+        last = events.agg(F.max("event_id").alias("last")).first().last or 0
+        for k in range(batches):
+            part = events.where(F.floor(F.col("event_id") * batches / (last + 1)) == k)
+            part.write.mode("append").parquet(source)
+    files = spark.readStream.schema(events.schema).option("pathGlobFilter", name)
+    if batches > 1:
+        files = files.option("maxFilesPerTrigger", 1)
+    return event_logs(files.parquet(source)).select("source", "seq", "ts", "msg")
 
 
 def streamed_encode(spark: SparkSession, folder: str) -> DataFrame:
@@ -517,7 +583,7 @@ def streamed_logs(spark: SparkSession, folder: str) -> DataFrame:
 
 def streamed_dictionary(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "stream-dictionary")
-    uses = variable_occurrences(encode(_event_stream(spark, folder)))
+    uses = variable_occurrences(encode(_event_stream(spark, folder, batches=3)))
     stream_dictionary(uses, path, f"{path}-progress").awaitTermination()
     return read_stream_dictionary(spark, path).select("id", "value", "n")
 
@@ -535,11 +601,46 @@ def streamed_literals(spark: SparkSession, folder: str) -> DataFrame:
 def streamed_new_literals(spark: SparkSession, folder: str) -> DataFrame:
     """The same, told apart batch by batch against the literals already sent."""
     path = scratch_path(spark, "stream-new")
-    records = to_records(encode(_event_stream(spark, folder)))
+    records = to_records(encode(_event_stream(spark, folder, batches=3)))
     stream_new_literals(records, path, f"{path}-progress").awaitTermination()
     return read_sent_literals(spark, path).select("source", _long("op"), _hex("digest"), "literal")
 
 
+def streamed_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """Events appended to a columnar archive in three batches, decoded."""
+    path = scratch_path(spark, "stream-archive")
+    stream_archive(_event_stream(spark, folder, batches=3), path, f"{path}-progress").awaitTermination()
+    return _times_and_text(read_stream_archive(spark, path).decode())
+
+
+def streamed_archive_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of the events, written batch by batch and turned into an archive as they come."""
+    path = scratch_path(spark, "stream-record-archive")
+    records = to_records(encode(_event_stream(spark, folder, batches=3)))
+    write_stream(records, f"{path}-records", f"{path}-sent").awaitTermination()
+    arriving = spark.readStream.schema(RECORD_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{path}-records")
+    stream_records_archive(arriving, path, f"{path}-progress").awaitTermination()
+    return _times_and_text(read_stream_archive(spark, path).decode())
+
+
+def appended_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, then conversations appended to one archive."""
+    path = scratch_path(spark, "append-archive")
+    for name in ("documents", "conversations"):
+        append_archive(encode(messages(spark, folder, name)), path)
+    return _times_and_text(read_stream_archive(spark, path).decode())
+
+
+def expired_literals(spark: SparkSession, folder: str) -> DataFrame:
+    """Literals of a record stream whose state expires; in one batch nothing does, so each is sent once."""
+    path = scratch_path(spark, "stream-expiry")
+    write_records(to_records(encode(messages(spark, folder, "events"))), path, "none")
+    records = stream_records(spark, path).withColumn("digest", digest(F.col("literal")))
+    out = f"{path}-literals"
+    write_stream(stream_literals(records, expiry="400 days"), out, f"{path}-progress").awaitTermination()
+    return spark.read.parquet(out).select("source", _long("op"), _hex("digest"), "literal")
+
+
 QUERIES: dict[str, Query] = {
     "stitch_events": stitch_documents,
     "parse_logs": parse_log_files,
@@ -551,7 +652,7 @@ QUERIES: dict[str, Query] = {
     "synthetic_columns": synthetic_column_rows,
     "plain_text": _text_round_trip("none"),
     "gzip_text": _text_round_trip("gzip"),
-    "zstd_text": _text_round_trip("zstd"),
+    "zstd_column": zstd_column_round_trip,
     "rolling_files": rolled_file_numbers,
     "rolling_text": rolling_text_newest,
     "running_bytes": running_bytes,
@@ -611,6 +712,10 @@ QUERIES: dict[str, Query] = {
     "row_major_payload": _row_major_payloads("standard", 8),
     "row_major_compact": _row_major_payloads("compact", 2),
     "row_major_roundtrip": row_major_round_trip,
+    "row_major_text_roundtrip": row_major_text_round_trip,
+    "roundtrip_invalid_utf8": _invalid_utf8_round_trip(archived=True),
+    "roundtrip_invalid_utf8_inline": _invalid_utf8_round_trip(archived=False),
+    "roundtrip_leading_lines": leading_lines_round_trip,
     "records_none": _records_of("none"),
     "records_shared": _records_of("shared"),
     "records_separate": _records_of("separate"),
@@ -635,4 +740,8 @@ QUERIES: dict[str, Query] = {
     "stream_dictionary": streamed_dictionary,
     "stream_literals": streamed_literals,
     "stream_new_literals": streamed_new_literals,
+    "stream_literals_expiry": expired_literals,
+    "stream_archive_roundtrip": streamed_archive,
+    "stream_records_to_archive": streamed_archive_columns,
+    "append_archive": appended_archive,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure, spread_small
+from ..session import configure
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,12 +20,18 @@ def event_level() -> Column:
     )
 
 
+# Letters only: variables because of the equals sign in front of them.
+OWNERS = ("alice", "bob", "carol", "dave")
+
+
 def event_message() -> Column:
     """One log message per event."""
     return F.concat(
         F.col("event_type"),
         F.lit(" user="),
         F.col("user_id").cast("string"),
+        F.lit(" owner="),
+        F.element_at(F.array(*map(F.lit, OWNERS)), (F.col("user_id") % len(OWNERS) + 1).cast("int")),
         F.lit(" value="),
         F.col("value").cast("decimal(12,2)").cast("string"),
         F.lit(" session=s"),
@@ -54,17 +60,16 @@ def messages(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the text tables as messages."""
     df = read_table(spark, folder, name)
     if name == "events":
-        return spread_small(event_logs(df).select("source", "seq", "ts", "msg"), "source", "seq")
+        return event_logs(df).select("source", "seq", "ts", "msg")
     source, seq, msg = {
         "documents": (F.lit("documents"), "doc_id", "text"),
         "pages": (F.lit("pages"), "page_id", "html"),
         "conversations": (F.concat(F.lit("conv-"), F.col("conv_id").cast("string")), "turn", "text"),
         "benchmark": (F.lit("benchmark"), "item_id", "text"),
     }[name]
-    rows = df.select(
+    return df.select(
         source.alias("source"), F.col(seq).alias("seq"), F.timestamp_seconds(F.col(seq)).alias("ts"), F.col(msg).alias("msg")
     )
-    return spread_small(rows, "source", "seq")
 
 
 def log_file_lines(events: DataFrame) -> DataFrame:

@@ -51,10 +51,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread_small(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal out an input that has fewer splits than there are cores.
-
-    A large input has more splits than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; call it when no DataFrame made from them is used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "x")).getParent()
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

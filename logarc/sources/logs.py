@@ -39,8 +39,8 @@ def read_whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _events_of_files(files: DataFrame, head_regex: str = LINE_HEAD) -> DataFrame:
-    events = explode_each(files, split_file_text(F.col("value"), head_regex), "source", pos="seq", item="value")
-    return events.select("source", F.col("seq").cast("bigint").alias("seq"), "value")
+    events = explode_each(files, split_file_text(F.col("value"), head_regex), "source", item="event")
+    return events.select("source", "event.seq", "event.value")
 
 
 def parse_logs(
@@ -56,8 +56,9 @@ def parse_logs(
 
 
 def finish_events(events: DataFrame, strip: bool = True, ts_format: str = LINE_TIME_FORMAT) -> DataFrame:
-    """Timestamp and message of stitched events."""
-    parsed = split_timestamp(events, ts_format)
+    """Timestamp and message of stitched events; a line in front of all events is all message, without a time."""
+    whole = events.withColumn("_whole", F.when(F.col("seq") < 0, F.col("value")))
+    parsed = split_timestamp(whole, ts_format).withColumn("msg", F.coalesce("_whole", "msg")).drop("_whole")
     return parsed.withColumn("msg", strip_trailing(F.col("msg"))) if strip else parsed
 
 

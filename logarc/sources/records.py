@@ -19,6 +19,7 @@ RECORD_SCHEMA = T.StructType(
         T.StructField("literal", T.StringType()),
         T.StructField("first", T.BooleanType()),
         T.StructField("value", T.LongType()),
+        T.StructField("ts", T.TimestampType()),
     ]
 )
 

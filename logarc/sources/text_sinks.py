@@ -11,34 +11,32 @@ from ..operators.ordering import running_total
 _HADOOP_ZSTD = "org.apache.hadoop.io.compress.ZStandardCodec"
 
 
-def _zstd_text_available(spark: SparkSession) -> bool:
-    """Whether this Hadoop was built with zstd for text files."""
-    return bool(spark._jvm.org.apache.hadoop.io.compress.ZStandardCodec.isNativeCodeLoaded())
-
-
 def write_text(lines: DataFrame, path: str, codec: str = "none", column: str = "line") -> None:
     """Text files: ``none``, ``gzip`` or ``zstd``.
 
-    Text files in zstd need a Hadoop with native zstd. Without it the lines go
-    to a Parquet file of one plainly encoded column: the same bytes, compressed
-    with the same codec. :func:`read_text` reads either.
+    Zstd text needs a Hadoop built with native zstd on every machine; without it
+    the write fails and says so. :func:`write_zstd_column` does without.
     """
     rows = lines.select(F.col(column).alias("value"))
-    if codec != "zstd":
-        rows.write.option("compression", codec).text(path)
-    elif _zstd_text_available(lines.sparkSession):
-        rows.write.option("compression", _HADOOP_ZSTD).text(path)
-    else:
-        rows.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
-
-
-def read_text(spark: SparkSession, path: str, codec: str = "none") -> DataFrame:
-    """``value``: the lines written by :func:`write_text`."""
-    if codec == "zstd" and not _zstd_text_available(spark):
-        return spark.read.parquet(path).select(F.explode(F.split("value", "\n")).alias("value"))
+    rows.write.option("compression", _HADOOP_ZSTD if codec == "zstd" else codec).text(path)
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """``value``: the lines written by :func:`write_text`; the codec is told by the files' names."""
     return spark.read.text(path, lineSep="\n")
 
 
+def write_zstd_column(lines: DataFrame, path: str, column: str = "line") -> None:
+    """A Parquet table of one plainly encoded column: the bytes of the text, compressed with zstd."""
+    rows = lines.select(F.col(column).alias("value"))
+    rows.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
+
+
+def read_zstd_column(spark: SparkSession, path: str) -> DataFrame:
+    """``value``: the lines written by :func:`write_zstd_column`."""
+    return spark.read.schema("value string").parquet(path).select(F.explode(F.split("value", "\n")).alias("value"))
+
+
 def write_plain_text(lines: DataFrame, path: str, column: str = "line") -> None:
     write_text(lines, path, "none", column)
 

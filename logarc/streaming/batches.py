@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_batches(spark: SparkSession, schema: T.StructType, path: str, before_batch: int | None = None) -> DataFrame:
+def read_batches(
+    spark: SparkSession, schema: T.StructType, path: str, before_batch: int | None = None, keep_batch: bool = False
+) -> DataFrame:
     """Rows of all batches, or of those before a given one; none if nothing was written yet."""
     stored = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
     try:
@@ -16,8 +18,9 @@ def read_batches(spark: SparkSession, schema: T.StructType, path: str, before_ba
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
-    return (rows if before_batch is None else rows.where(F.col("batch") < before_batch)).drop("batch")
+        return spark.createDataFrame([], stored if keep_batch else schema)
+    kept = rows if before_batch is None else rows.where(F.col("batch") < before_batch)
+    return kept if keep_batch else kept.drop("batch")
 
 
 def write_batch(rows: DataFrame, batch_id: int, path: str) -> None:

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.digests import digest
 from ..operators.dictionary import distinct_values, new_entries
+from ..session import materialize
 from .batches import read_batches, write_batch
 
 ENTRY_SCHEMA = T.StructType(
     [
         T.StructField("id", T.LongType()),
-        T.StructField("digest", T.BinaryType()),
         T.StructField("value", T.StringType()),
         T.StructField("n", T.LongType()),
     ]
@@ -20,25 +22,27 @@ ENTRY_SCHEMA = T.StructType(
 
 
 def read_stream_dictionary(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame:
-    """Entries written so far, or by batches before a given one."""
-    return read_batches(spark, ENTRY_SCHEMA, path, before_batch)
+    """Entries written so far, or by batches before a given one, with their occurrences in all of these."""
+    rows = read_batches(spark, ENTRY_SCHEMA, path, before_batch)
+    entries = rows.groupBy("id", "value").agg(F.sum("n").alias("n"))
+    return entries.select("id", digest(F.col("value")).alias("digest"), "value", "n")
 
 
 def upsert_batch(values: DataFrame, batch_id: int, path: str) -> None:
-    """Append the unseen values of one micro-batch.
+    """Add one micro-batch of occurrences ``(value, first)``: its values with their ids and counts in it.
 
     Ids follow from the batches before this one, and the batch has a folder of
     its own that a replay overwrites: running it twice gives the same table.
     """
-    known = read_stream_dictionary(values.sparkSession, path, before_batch=batch_id)
-    write_batch(new_entries(distinct_values(values), known), batch_id, path)
+    known = materialize(read_stream_dictionary(values.sparkSession, path, before_batch=batch_id), "known")
+    counted = materialize(distinct_values(values), "batch-values")
+    seen = counted.withColumn("digest", digest(F.col("value"))).join(known.select("digest", "id"), "digest")
+    fresh = new_entries(counted, known)
+    write_batch(seen.select("id", "value", "n").unionByName(fresh.select("id", "value", "n")), batch_id, path)
 
 
 def stream_dictionary(occurrences: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the dictionary of a stream of ``(value, first)`` occurrences.
-
-    ``n`` counts the occurrences in the batch that brought the value.
-    """
+    """Keep the dictionary of a stream of ``(value, first)`` occurrences."""
     return (
         occurrences.writeStream.foreachBatch(lambda batch, batch_id: upsert_batch(batch, batch_id, path))
         .option("checkpointLocation", checkpoint)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,12 +42,18 @@ def stream_encode(
     )
 
 
-def stream_console(events: DataFrame, checkpoint: str, rows: int = 20) -> StreamingQuery:
-    """Print a stream: the console output, or a debug tee beside another query."""
+def stream_console(events: DataFrame, checkpoint: str, emit: Callable[[str], None] = print) -> StreamingQuery:
+    """Print every event of a stream, one line each: the console output, or a debug tee beside another query.
+
+    Rows come to the driver, whose console it is, a partition at a time.
+    """
+
+    def show(batch: DataFrame, _: int) -> None:
+        for row in batch.toLocalIterator():
+            emit("\t".join("" if value is None else str(value) for value in row))
+
     return (
-        events.writeStream.format("console")
-        .option("numRows", rows)
-        .option("truncate", False)
+        events.writeStream.foreachBatch(show)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
