@@ -6,7 +6,8 @@ from logarc.operators.encode import encode
 from logarc.operators.lookup import lookup
 from logarc.operators.records import dedup_records, merge_sources, record_bytes, record_marker, records_to_archive, to_records
 from logarc.operators.report import ir_size_report, throughput
-from logarc.plans.archive import build_archive, read_archive, row_major, write_archive
+from logarc.operators.decode import decode_encoded
+from logarc.plans.archive import build_archive, codec_options, read_archive, row_major, write_archive
 from logarc.session import materialize
 
 
@@ -148,3 +149,49 @@ def test_size_report_and_throughput(spark):
     assert (report.logtype_dict_bytes, report.variable_dict_bytes) == (7, 3)
     assert report.min_bytes == 7 + 3 + 16 + 4 + 32 and report.max_bytes == report.min_bytes + 12
     assert throughput(coded, 2)["events_per_second"] > 0
+
+
+def small(spark, *rows):
+    made = spark.createDataFrame([(s, i, m) for s, i, m in rows], "source string, seq bigint, msg string")
+    return encode(made.withColumn("ts", F.timestamp_seconds("seq")).select("source", "seq", "ts", "msg"))
+
+
+def test_two_events_of_one_place_raise(spark, tmp_path):
+    coded = small(spark, ("a", 1, "job=abc 1"), ("a", 1, "job=xyz 2"), ("a", 2, "plain"))
+    with pytest.raises(Exception, match="two events have one"):
+        write_archive(coded, str(tmp_path / "a"))
+
+
+def test_missing_entries_raise(spark, tmp_path):
+    archive = write_archive(small(spark, ("a", 1, "job=abc 1"), ("a", 2, "job=xyz 2"), ("a", 3, "plain")), str(tmp_path / "a"))
+    assert archive.decode().count() == 3
+    archive.variables = archive.variables.where("value != 'xyz'")
+    with pytest.raises(Exception, match="dictionary entry is missing"):
+        archive.decode().collect()
+    archive = read_archive(spark, str(tmp_path / "a"))
+    archive.logtypes = archive.logtypes.where("value != 'plain'")
+    with pytest.raises(Exception, match="no template"):
+        archive.decode().collect()
+
+
+def test_row_major_needs_a_time(spark):
+    archive = build_archive(small(spark, ("a", 1, "x")).withColumn("ts", F.lit(None).cast("timestamp")))
+    with pytest.raises(Exception, match="need a time"):
+        row_major(archive).collect()
+
+
+@pytest.mark.parametrize("level, codec", [(0, "uncompressed"), (3, "zstd"), (19, "zstd")])
+def test_codec_and_level(level, codec):
+    options = codec_options("zstd", level)
+    assert options["compression"] == codec
+    assert options.get("parquet.compression.codec.zstd.level") == (str(level) if level else None)
+
+
+def test_bytes_that_are_not_text_come_back(spark):
+    messages = [b"user\xc3( job=abc 12 \xff", b"\x10\x18 plain 7", b"\xe9", b"", "é 1.5 ñ".encode()]
+    made = spark.createDataFrame([("a", i, m) for i, m in enumerate(messages)], "source string, seq bigint, msg binary")
+    coded = encode(made.withColumn("ts", F.timestamp_seconds("seq")))
+    back = decode_encoded(materialize(coded, "odd")).select("seq", F.col("msg").cast("binary").alias("msg"))
+    assert {r.seq: bytes(r.msg) for r in back.collect()} == dict(enumerate(messages))
+    again = build_archive(coded).decode().select("seq", F.col("msg").cast("binary").alias("msg"))
+    assert {r.seq: bytes(r.msg) for r in again.collect()} == dict(enumerate(messages))

@@ -23,7 +23,13 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     streamed = spark.read.parquet(out).select(batch.columns)
     assert streamed.count() == 4
     assert sorted(map(str, streamed.collect())) == sorted(map(str, batch.collect()))
-    stream_console(stream_logs(spark, str(logs)), str(tmp_path / "console")).awaitTermination()
+    shown = []
+    one_file = stream_logs(spark, str(logs)).select("source", "seq", "msg")
+    stream_console(one_file, str(tmp_path / "console"), shown.append).awaitTermination()
+    assert len(shown) == 4
+    (logs / "c.log").write_text("".join(f"21/10/11 07:00:00 INFO X: line {i}\n" for i in range(500)))
+    stream_console(one_file, str(tmp_path / "console"), shown.append).awaitTermination()
+    assert len(shown) == 504
 
 
 def test_stream_dictionary_keeps_ids_and_replays(spark, tmp_path):
