@@ -63,7 +63,7 @@ def remove_boilerplate(
     h1, h2 = text_key(text)
     keyed = docs.withColumns({"_spread_k1": h1, "_spread_k2": h2})
     same = (F.col("_spread_k1") == F.col("_spread_h1")) & (F.col("_spread_k2") == F.col("_spread_h2"))
-    joined = keyed.join(hinted(places, 96), same, "left")
+    joined = keyed.join(places, same, "left")
     kept = F.array_join(
         F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains(F.col("_spread_places"), i)), "\n"
     )
