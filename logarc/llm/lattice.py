@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPAN_BASE, mix, partitions_for, remainder, span_hashes, stored, text_bytes, text_key, words_of
+from .common import SPAN_BASE, partitions_for, remainder, span_hashes, stored, text_bytes, text_key, words_of
 
 # Bytes of text in one block; a block's words and their scores are held in one task.
 BLOCK_BYTES = 6 * 1024 * 1024
-EM_ROUNDS = 2
+EM_ROUNDS = 3
 # Words given to one pass of the recursion.
 WORD_BATCH = 60_000
 # Added to each piece's expected count, so that nothing is impossible.
@@ -24,15 +25,54 @@ _MARK, _START = "▁", b"\x20"
 _BLANKS = r"[ \t\n\x0B\f\r]+"
 
 
+_SLOT_BITS = 18
+_SLOT_FACTOR = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return (keys * _SLOT_FACTOR >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
+def piece_keys(pieces: list[bytes]) -> np.ndarray:
+    """One 64-bit key per piece: its bytes as the digits of a number."""
+    keys = np.zeros(len(pieces), np.uint64)
+    for i, piece in enumerate(pieces):
+        total = 0
+        for byte in reversed(piece):
+            total = (total * int(SPAN_BASE) + byte + 1) % (1 << 64)
+        keys[i] = total
+    return keys
+
+
 @dataclass
 class PieceModel:
-    """Pieces by the hash of their bytes, in ascending order, with natural logarithms of their probabilities."""
+    """Pieces by their keys, in ascending order, with natural logarithms of their probabilities."""
 
     keys: np.ndarray
     log_p: np.ndarray
     longest: int
     log_end: float
 
+    @cached_property
+    def table(self) -> np.ndarray:
+        """Piece number by slot; -1: none, -2: several, to be searched for."""
+        slot = _slots(self.keys)
+        out = np.full(1 << _SLOT_BITS, -1, np.int32)
+        out[slot] = np.arange(len(slot))
+        out[np.flatnonzero(np.bincount(slot, minlength=len(out)) > 1)] = -2
+        return out
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are pieces, and their numbers."""
+        number = self.table[_slots(keys)]
+        some = np.flatnonzero(number != -1)
+        number = number[some].astype(np.int64)
+        several = number == -2
+        if several.any():
+            number[several] = np.minimum(np.searchsorted(self.keys, keys[some[several]]), len(self.keys) - 1)
+        true = self.keys[number] == keys[some]
+        return some[true], number[true]
+
 
 def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
@@ -57,9 +97,7 @@ def load_pieces(path: str) -> PieceModel:
         if piece.rfind(_MARK) <= 0:
             rank[piece.replace(_MARK, _START.decode()).encode()] = min(-score, float(source.get_piece_size()))
     names = list(rank)
-    data = np.frombuffer(b"".join(names), np.uint8)
-    end = np.cumsum([len(x) for x in names])
-    keys = span_hashes(data, end - [len(x) for x in names], end)
+    keys = piece_keys(names)
     order = np.argsort(keys)
     weight = 1 / (np.array([rank[x] for x in names])[order] + 1)
     return PieceModel(keys[order], np.log(weight / weight.sum()), max(map(len, names)), np.log(1e-3))
@@ -69,7 +107,7 @@ def load_pieces(path: str) -> PieceModel:
 
 
 def _edges(block: np.ndarray, model: PieceModel, backwards: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """From, to, piece numbers and which rows have that piece, in the order of their ends; block: one word per row."""
+    """From, to, the rows that have a piece there and its number, in the order of the ends; block: one word per row."""
     n, length = block.shape
     begins = np.arange(n) * length
     raw = block.reshape(-1)
@@ -78,12 +116,9 @@ def _edges(block: np.ndarray, model: PieceModel, backwards: bool = False) -> Ite
         total = np.zeros(n, np.uint64)
         for begin in range(end - 1, max(-1, end - 1 - model.longest), -1):
             total = total * SPAN_BASE + raw[begins + begin] + np.uint64(1)
-            keys = mix(total + np.uint64(end - begin))
-            at = np.searchsorted(model.keys, keys)
-            at[at == len(model.keys)] = 0
-            has = model.keys[at] == keys
-            if has.any():
-                yield begin, end, at, has
+            rows, number = model.find(total)
+            if len(rows):
+                yield begin, end, rows, number
 
 
 def log_marginals(block: np.ndarray, model: PieceModel, weights: np.ndarray | None = None, counts: np.ndarray | None = None) -> np.ndarray:
@@ -95,16 +130,16 @@ def log_marginals(block: np.ndarray, model: PieceModel, weights: np.ndarray | No
     n, length = block.shape
     forward = np.full((length + 1, n), -np.inf)
     forward[0] = 0.0
-    for begin, end, at, has in _edges(block, model):
-        forward[end] = np.logaddexp(forward[end], np.where(has, forward[begin] + model.log_p[at], -np.inf))
+    for begin, end, rows, number in _edges(block, model):
+        forward[end, rows] = np.logaddexp(forward[end, rows], forward[begin, rows] + model.log_p[number])
     if weights is not None:
         backward = np.full((length + 1, n), -np.inf)
         backward[length] = 0.0
-        for begin, end, at, has in _edges(block, model, backwards=True):
-            through = np.where(has, backward[end] + model.log_p[at], -np.inf)
-            share = np.exp(forward[begin] + through - forward[length]) * weights
-            counts += np.bincount(at[has], share[has], minlength=len(counts))
-            backward[begin] = np.logaddexp(backward[begin], through)
+        for begin, end, rows, number in _edges(block, model, backwards=True):
+            through = backward[end, rows] + model.log_p[number]
+            share = np.exp(forward[begin, rows] + through - forward[length, rows]) * weights[rows]
+            np.add.at(counts, number, share)
+            backward[begin, rows] = np.logaddexp(backward[begin, rows], through)
     return forward[length]
 
 

@@ -7,8 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from logarc.llm.common import span_hashes
-from logarc.llm.lattice import PieceModel, by_length, learn_pieces, load_pieces, log_marginals, score_texts, vocabulary_path
+from logarc.llm.lattice import PieceModel, by_length, learn_pieces, load_pieces, log_marginals, piece_keys, score_texts, vocabulary_path
 
 from .fixtures import awkward, doc, empty, frame, prose
 
@@ -20,8 +19,7 @@ def tokens(text):
 
 def model_of(pieces: dict[bytes, float]) -> PieceModel:
     names = list(pieces)
-    end = np.cumsum([len(x) for x in names])
-    keys = span_hashes(np.frombuffer(b"".join(names), np.uint8), end - [len(x) for x in names], end)
+    keys = piece_keys(names)
     order = np.argsort(keys)
     total = sum(pieces.values())
     return PieceModel(keys[order], np.log(np.array([pieces[names[i]] for i in order]) / total), max(map(len, names)), -1.0)
