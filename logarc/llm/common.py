@@ -14,6 +14,7 @@ from ..session import scratch_path
 
 # Bytes of text worked on at a time inside a task; bounds the arrays made from them.
 CHUNK_BYTES = 2 * 1024 * 1024
+CHUNK_ROWS = 4096
 # A side of a join is broadcast only if its measured rows times their width stay below this.
 BROADCAST_BYTES = 8 * 1024 * 1024
 
@@ -53,8 +54,10 @@ def partitions_for(rows: int, per_partition: int) -> int:
 # --- arrays of texts inside a task -------------------------------------------
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds at most ``limit`` bytes of text, or one row."""
+def chunks(
+    batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS
+) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds at most ``limit`` bytes of text and ``rows`` rows, or one row."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -62,7 +65,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
         begin = 0
         while begin < batch.num_rows:
             end = int(np.searchsorted(offsets, offsets[begin] + limit, side="right")) - 1
-            end = min(max(end, begin + 1), batch.num_rows)
+            end = min(max(end, begin + 1), begin + rows, batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end
 

@@ -14,6 +14,8 @@ from .common import chunks, text_bytes
 
 # Hashed features; n-grams of two and three bytes of letters.
 DIMENSIONS = 4096
+# Texts that are turned into rows of that many features at once.
+FEATURE_ROWS = 512
 # Labelled rows per language that the centroids are clustered from; document frequencies come from all of them.
 SAMPLE_PER_LANGUAGE = 400
 CENTROIDS = 4
@@ -82,7 +84,7 @@ def _document_frequencies(rows: DataFrame) -> tuple[np.ndarray, dict[str, int]]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, languages = np.zeros(DIMENSIONS, np.int64), {}
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", rows=FEATURE_ROWS):
             seen += (_counts(batch.column("text")) > 0).sum(axis=0)
             for entry in batch.column("lang").value_counts().to_pylist():
                 languages[entry["values"]] = languages.get(entry["values"], 0) + entry["counts"]
@@ -122,8 +124,10 @@ def fit_languages(
     found, owner, least = [], [], []
     for number, name in enumerate(names):
         texts = _sample(rows.filter(F.col("lang") == name), languages[name], per_language)
-        vectors = _vectors(_counts(pa.array(texts, pa.string())), idf)
-        vectors = vectors[np.abs(vectors).sum(axis=1) > 0]
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+        parts = [_vectors(_counts(part.column("text")), idf) for part in chunks([batch], "text", rows=FEATURE_ROWS)]
+        vectors = np.concatenate(parts) if parts else np.zeros((0, DIMENSIONS), np.float32)
+        vectors = vectors[vectors.sum(axis=1) > 0]
         if not len(vectors):
             continue
         means = _cluster(vectors, min(centroids, len(vectors)), np.random.default_rng(seed + number))
@@ -178,7 +182,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", rows=FEATURE_ROWS):
             names, score, rejected = classify(batch.column("text"), shared.value)
             columns = [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score.astype(np.float64)), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "rejected"])
@@ -193,7 +197,7 @@ def keep_known_languages(docs: DataFrame, model: LanguageModel, text: str = "tex
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text):
+        for batch in chunks(batches, text, rows=FEATURE_ROWS):
             yield batch.filter(pa.array(~classify(batch.column(text), shared.value)[2]))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -19,6 +19,8 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 # Documents of one index shard, and tokens at which a shard is closed early.
 SHARD_DOCS = 2048
 SHARD_TOKENS = 1 << 22
+# Documents whose ids are marked at once when document frequencies are counted.
+MARKED_DOCS = 128
 
 
 def pack_documents(
@@ -47,9 +49,9 @@ def pack_documents(
     null ``doc_id`` is kept. An empty table gives no rows. Other columns are ignored.
     """
     coded = stored(encoded(docs, tokenizer, text, doc_id), "tokens")
-    vocabulary = 1 << (8 * encoder(tokenizer).dtype.itemsize)
-    width = vocabulary.bit_length() // 8
-    idf, mean = _statistics(coded, width)
+    coder = encoder(tokenizer)
+    width = coder.dtype.itemsize
+    idf, mean = _statistics(coded, width, coder.tokenizer.get_vocab_size())
     rates = coded.sparkSession.sparkContext.broadcast(idf)  # one number for each id of the vocabulary
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,18 +70,23 @@ def _ids(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], f"<u{width}")[place[0] // width : place[-1] // width], np.diff(place) // width
 
 
-def _statistics(coded: DataFrame, width: int) -> tuple[np.ndarray, float]:
+def _statistics(coded: DataFrame, width: int, vocabulary: int) -> tuple[np.ndarray, float]:
     """Inverse document frequency of every id, and the mean length. At most one row per id comes to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n, tokens = np.zeros(1, np.int64), 0, 0
+        seen, n, tokens = np.zeros(vocabulary, np.int64), 0, 0
+        present = np.zeros((MARKED_DOCS, vocabulary), bool)
+        marks = present.reshape(-1)
         for batch in batches:
             ids, counts = _ids(batch, width)
-            pair = np.unique(np.repeat(np.arange(len(counts), dtype=np.int64), counts) << 32 | ids)
-            part = np.bincount(pair & 0xFFFFFFFF)
-            if len(part) > len(seen):
-                seen = np.append(seen, np.zeros(len(part) - len(seen), np.int64))
-            seen[: len(part)] += part
+            stop = np.concatenate([[0], np.cumsum(counts)])
+            for begin in range(0, len(counts), MARKED_DOCS):
+                some = counts[begin : begin + MARKED_DOCS]
+                own = ids[stop[begin] : stop[begin + len(some)]]
+                at = np.repeat(np.arange(len(some)) * vocabulary, some) + own
+                marks[at] = True
+                seen += present[: len(some)].sum(axis=0)
+                marks[at] = False
             n, tokens = n + len(counts), tokens + len(ids)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays(
