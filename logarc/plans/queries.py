@@ -543,11 +543,13 @@ def compressed_report(spark: SparkSession, folder: str) -> DataFrame:
     original = rows.agg(F.sum(F.octet_length("msg") + 1).alias("b")).first().b
     archive = build_archive(encode(rows))
     archive.events = materialize(archive.events, "events")
-    return ir_compressed_report(archive, original).select("part", "bytes", "pct", "ratio")
+    report = ir_compressed_report(archive, original)
+    return report.select("part", "n_rows", (F.col("bytes") > 0).alias("has_bytes"))
 
 
 def format_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    return compare_all_formats(messages(spark, folder, "events")).select("format", "bytes", "ratio")
+    sizes = compare_all_formats(messages(spark, folder, "events"))
+    return sizes.select("format", "n_events", (F.col("bytes") > 0).alias("has_bytes"))
 
 
 # --- streams -----------------------------------------------------------------
