@@ -24,4 +24,27 @@ SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines,
 FROM decided
 """
 
-ORACLE: dict[str, str] = {"op9_line_spread": _LINES}
+_RECORDS = """
+WITH payloads AS (
+    SELECT page_id, url, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS owner FROM pages
+), sized AS (
+    SELECT *, octet_length(encode(html))::BIGINT AS payload_bytes, sha256(html) AS payload_digest, chr(13) || chr(10) AS eol,
+           octet_length(encode(html)) >= 100 AND page_id <> owner AS revisits
+    FROM payloads
+), records AS (
+    SELECT *, 'WARC/1.1' || eol || 'WARC-Type: ' || CASE WHEN revisits THEN 'revisit' ELSE 'response' END || eol
+           || 'WARC-Record-ID: <urn:page:' || page_id || '>' || eol || 'WARC-Date: 2024-01-01T00:00:00Z' || eol
+           || coalesce('WARC-Target-URI: ' || url || eol, '') || 'WARC-Payload-Digest: sha256:' || payload_digest || eol
+           || CASE WHEN revisits THEN 'WARC-Refers-To: <urn:page:' || owner || '>' || eol
+              || 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || eol ELSE '' END
+           || 'Content-Type: text/html; charset=utf-8' || eol || 'Content-Length: ' || payload_bytes || eol || eol
+           || html || eol || eol AS record
+    FROM sized
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN revisits THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN revisits THEN owner END AS refers_to, octet_length(encode(record))::BIGINT AS record_bytes,
+       sha256(record) AS record_digest
+FROM records
+"""
+
+ORACLE: dict[str, str] = {"op9_line_spread": _LINES, "op10_warc": _RECORDS}

@@ -61,7 +61,7 @@ def op9_line_spread(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """Fields of the records read back, with the size and crc32 of each record rebuilt from header and payload."""
+    """Fields of the records read back, with the size and SHA-256 of each record rebuilt from header and payload."""
     path = scratch_path(spark, "llm-warc")
     warc.write_archive(table(spark, folder, "pages"), path)
     records = warc.read_archive(spark, path)

@@ -117,9 +117,9 @@ def record_bytes() -> Column:
 def record_fields(records: DataFrame, record: str | None = None) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` as the headers say.
 
-    With a column of whole records also ``record_bytes`` and ``record_crc32``.
+    With a column of whole records also ``record_bytes`` and ``record_digest``.
     """
-    more = [F.octet_length(record).cast("long").alias("record_bytes"), F.crc32(record).alias("record_crc32")] if record else []
+    more = [F.octet_length(record).cast("long").alias("record_bytes"), F.sha2(record, 256).alias("record_digest")] if record else []
 
     def field(pattern: str) -> Column:
         return F.regexp_extract("header", pattern, 1)
