@@ -22,6 +22,8 @@ CENTROIDS = 4
 # A text farther from its nearest centroid than all but this share of the sample is rejected, with this factor to spare.
 REJECT_QUANTILE = 0.002
 REJECT_FACTOR = 0.5
+# Of fewer n-grams than this even a true language's cosine is small, so distance tells nothing.
+REJECT_GRAMS = 60
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 32, np.uint8)  # all but letters is a blank
@@ -165,10 +167,11 @@ def classify(column: pa.Array, model: LanguageModel) -> tuple[list[str], np.ndar
     known = _has_letter(column)
     if not len(model.centroids):
         return [UNKNOWN] * len(known), np.zeros(len(known)), np.ones(len(known), bool)
-    cosine = _vectors(_counts(column), model.idf) @ model.centroids.T
+    counts = _counts(column)
+    cosine = _vectors(counts, model.idf) @ model.centroids.T
     best = cosine.argmax(axis=1)
     score = np.where(known, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0.0)
-    rejected = ~known | (score < model.least[best])
+    rejected = ~known | ((score < model.least[best]) & (counts.sum(axis=1) >= REJECT_GRAMS))
     names = [model.languages[model.language[b]] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
     return names, score, rejected
 
@@ -176,8 +179,9 @@ def classify(column: pa.Array, model: LanguageModel) -> tuple[list[str], np.ndar
 def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, lang_pred, score, rejected``, one row out for each row in.
 
-    ``und`` with score 0 if the text is null or has no letter. ``rejected``: too far
-    from every centroid to be any of the languages; ``lang_pred`` is the nearest still.
+    ``und`` with score 0 if the text is null or has no letter. ``rejected``: that, or
+    too far from every centroid to be any of the languages; ``lang_pred`` is the nearest
+    still. A text of fewer than ``REJECT_GRAMS`` n-grams is too short to be far.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
