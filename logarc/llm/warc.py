@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import hinted, stored
+
 # Smaller payloads are stored by digest too, but their records never refer to another one.
 MIN_REVISIT_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -37,9 +39,11 @@ def write_archive(
     ).withColumns({"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("long")})
     # A second, independent hash and the length tell different payloads of one digest.
     check = F.struct("bytes", F.xxhash64("payload"))
+    counted = rows.groupBy("digest", "page_id").agg(F.count("*").alias("n"), F.min(check).alias("low"), F.max(check).alias("high"))
+    pairs = stored(counted, "pages")
     owners = (
-        rows.groupBy("digest")
-        .agg(F.min("page_id").alias("owner"), F.min(check).alias("low"), F.max(check).alias("high"))
+        pairs.groupBy("digest")
+        .agg(F.min("page_id").alias("owner"), F.min("low").alias("low"), F.max("high").alias("high"))
         .select(
             F.when(F.col("low") == F.col("high"), F.col("digest"))
             .otherwise(F.raise_error(F.concat(F.lit("two payloads with the digest "), "digest")))
@@ -47,11 +51,16 @@ def write_archive(
             "owner",
         )
     )
-    # The id is part of the join's key, so a payload of a third of all pages doesn't meet in one task.
-    first = rows.join(owners, (F.col("digest") == F.col("owner_digest")) & F.col("page_id").eqNullSafe(F.col("owner")))
-    first.select("digest", "owner", "payload").dropDuplicates(["digest", "owner"]).select("digest", "payload").write.option(
-        "compression", "zstd"
-    ).parquet(f"{path}/payloads")
+    owns = F.col("page_id").eqNullSafe(F.col("owner"))
+    placed = pairs.join(owners, F.col("digest") == F.col("owner_digest")).withColumn("owns", owns)
+    copies = placed.filter("NOT owns OR n > 1").select(F.col("digest").alias("d"), F.col("page_id").alias("p"), "owns")
+    copies = stored(copies, "copies")
+    # Payloads stay in place but for those of copies: these leave, or one of an owner's equal rows is taken. The id is
+    # part of the key, so where the copies are too many to broadcast a frequent payload still doesn't meet in one task.
+    same = (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p"))
+    single = rows.join(hinted(copies, 96), same, "left_anti").select("digest", "payload")
+    repeated = rows.join(hinted(copies.filter("owns"), 96), same, "left_semi").select("digest", "payload").dropDuplicates(["digest"])
+    single.unionByName(repeated).write.option("compression", "zstd").parquet(f"{path}/payloads")
     narrow = rows.select("page_id", "url", "digest", "bytes").join(owners, F.col("digest") == F.col("owner_digest"))
     revisit = (F.col("bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("owner")) & F.col("owner").isNotNull()
     header = _header(revisit, date)
