@@ -74,3 +74,28 @@ def test_stream_literals(spark, tmp_path):
     bounded = str(tmp_path / "bounded")
     write_stream(stream_literals(timed, expiry="1 hour"), bounded, str(tmp_path / "p3")).awaitTermination()
     assert spark.read.parquet(bounded).where("op = 48").count() == 3
+
+
+def test_growing_archive_appends_and_replays(spark, tmp_path):
+    from logarc.streaming.archive import append_archive, append_batch, read_stream_archive
+
+    def coded(*messages, start):
+        rows = [("a", start + i, m) for i, m in enumerate(messages)]
+        made = spark.createDataFrame(rows, "source string, seq bigint, msg string")
+        return encode(made.withColumn("ts", F.timestamp_seconds("seq")))
+
+    path = str(tmp_path / "growing")
+    first, second = ("job=abc 1", "job=xyz 2"), ("job=xyz 0.5", "job=new 7", "plain")
+    assert append_archive(coded(*first, start=0), path) == 0
+    assert append_archive(coded(*second, start=10), path) == 1
+
+    def state():
+        archive = read_stream_archive(spark, path)
+        entries = {r.value: (r.id, r.n) for r in archive.variables.collect()}
+        return entries, sorted((r.seq, r.msg) for r in archive.decode().collect())
+
+    entries, events = state()
+    assert entries == {"abc": (0, 1), "xyz": (1, 2), "new": (2, 1)}
+    assert events == [(0, "job=abc 1"), (1, "job=xyz 2"), (10, "job=xyz 0.5"), (11, "job=new 7"), (12, "plain")]
+    append_batch(coded(*second, start=10), 1, path)
+    assert state() == (entries, events)
