@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
 from .encoding import token_lengths
 
 # Lengths summed together at the first level, so that no window sees more than this many rows at once.
@@ -12,9 +13,12 @@ CHUNK = 4096
 
 
 def length_histogram(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int | None = None) -> DataFrame:
-    """``n_tokens, n_docs``: how many documents have each encoded length. Null text: empty, 0 tokens."""
+    """``n_tokens, n_docs``: how many documents have each encoded length. Null text: empty, 0 tokens.
+
+    Written once, because the sums over it read it more than once.
+    """
     lengths = token_lengths(docs, tokenizer, text, end_id)
-    return lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    return stored(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "lengths")
 
 
 def context_limits(histogram: DataFrame) -> DataFrame:
