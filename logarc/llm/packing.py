@@ -1,4 +1,4 @@
-"""Retrieval packing: windows filled with a seed document and its nearest unused neighbours by BM25."""
+"""Retrieval packing: related documents brought together, windows filled with a seed and its nearest unused neighbours by BM25."""
 
 from __future__ import annotations
 
@@ -12,7 +12,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranges, stored
+from ..operators.ordering import dense_ids
+from .bagminhash import components
+from .common import hinted, partitions_for, ranges, stored
 from .encoding import encoded, encoder
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
@@ -21,6 +23,8 @@ SHARD_DOCS = 2048
 SHARD_TOKENS = 1 << 22
 # Documents whose ids are marked at once when document frequencies are counted.
 MARKED_DOCS = 128
+# Sorted orders in which documents look for neighbours, min-hashed ids an order sorts by, and rows looked at on each side.
+TREES, DEPTH, NEAR_ROWS = 8, 4, 8
 
 
 def pack_documents(
@@ -36,8 +40,9 @@ def pack_documents(
     """One row per piece of a document in a window of ``window`` ids.
 
     Full windows of a long document stand alone; what remains of each document is
-    packed by retrieval. Documents are indexed in shards of ``shard_docs`` rows that
-    follow each other in a stored split: the index of a shard is inverted lists of
+    packed by retrieval. Related documents of the whole corpus are brought together
+    first (``_placed``) and cut into shards of ``shard_docs`` rows of that order,
+    whatever files they came from: the index of a shard is inverted lists of
     token ids with BM25 weights (document frequencies and mean length of the whole
     corpus). The next unused document seeds a window, its neighbours fill it best
     first where they fit whole, then one is cut at the end of the window and its rest
@@ -48,10 +53,11 @@ def pack_documents(
     Null text: empty, thus one end id. Repeated rows are packed each for itself; a
     null ``doc_id`` is kept. An empty table gives no rows. Other columns are ignored.
     """
-    coded = stored(encoded(docs, tokenizer, text, doc_id), "tokens")
+    coded = encoded(docs, tokenizer, text, doc_id).select("doc_id", "ids", F.monotonically_increasing_id().alias("row"))
+    coded = stored(coded, "tokens")
     coder = encoder(tokenizer)
     width = coder.dtype.itemsize
-    idf, mean = _statistics(coded, width, coder.tokenizer.get_vocab_size())
+    idf, mean, n = _statistics(coded, width, coder.tokenizer.get_vocab_size())
     rates = coded.sparkSession.sparkContext.broadcast(idf)  # one number for each id of the vocabulary
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +67,11 @@ def pack_documents(
             yield _rows(pieces, ids, docs_of_shard, counts)
 
     kind = coded.schema["doc_id"].dataType.simpleString()
-    return coded.select("doc_id", "ids").mapInArrow(pack, f"doc_id {kind}, {PIECES}")
+    places = _placed(stored(_sketched(coded, width, window, rates, mean, k1, b), "sketches"))
+    ordered = coded.join(hinted(places, 24, n), "row")
+    shard = F.floor(F.col("pos") / shard_docs).cast("int")
+    ordered = ordered.repartitionById(partitions_for(n, shard_docs), shard).sortWithinPartitions("pos")
+    return ordered.select("doc_id", "ids").mapInArrow(pack, f"doc_id {kind}, {PIECES}")
 
 
 def _ids(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +80,8 @@ def _ids(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], f"<u{width}")[place[0] // width : place[-1] // width], np.diff(place) // width
 
 
-def _statistics(coded: DataFrame, width: int, vocabulary: int) -> tuple[np.ndarray, float]:
-    """Inverse document frequency of every id, and the mean length. At most one row per id comes to the driver."""
+def _statistics(coded: DataFrame, width: int, vocabulary: int) -> tuple[np.ndarray, float, int]:
+    """Inverse document frequency of every id, the mean length and the number of documents. At most one row per id comes to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n, tokens = np.zeros(vocabulary, np.int64), 0, 0
@@ -99,7 +109,103 @@ def _statistics(coded: DataFrame, width: int, vocabulary: int) -> tuple[np.ndarr
     idf = np.zeros(max(found, default=0) + 1, np.float32)
     for token, df in found.items():
         idf[token] = max(0.0, math.log((n - df + 0.5) / (df + 0.5)))
-    return idf, tokens / max(n, 1)
+    return idf, tokens / max(n, 1), n
+
+
+def _sketch(ids: np.ndarray, doc: np.ndarray, counts: np.ndarray, idf: np.ndarray, draws: np.ndarray, mean: float, k1: float, b: float):
+    """``TREES`` sort keys of ``DEPTH`` ids for each document, and whether it has a weighted id at all.
+
+    A register holds the id with the smallest draw over BM25 weight, so an id takes it
+    with its share of the document's weight, and documents agree in a register the more
+    likely the more weight they share. The first register is a key's highest part.
+    """
+    out = np.zeros((len(counts), TREES * DEPTH), np.uint16)
+    keep = idf[ids] > 0
+    pair, tf = np.unique(doc[keep] << 32 | ids[keep].astype(np.int64), return_counts=True)
+    term, own = pair & 0xFFFFFFFF, pair >> 32
+    norm = k1 * (1 - b + b * counts[own] / max(mean, 1e-9))
+    weight = (idf[term] * tf * (k1 + 1) / (tf + norm)).astype(np.float32)
+    some = np.zeros(len(counts), bool)
+    if len(term):
+        opens = np.flatnonzero(np.diff(own, prepend=-1))
+        value = draws[term] / weight[:, None]
+        least = np.minimum.reduceat(value, opens, axis=0)
+        at, register = np.nonzero(value == np.repeat(least, np.diff(np.append(opens, len(own))), axis=0))
+        out[own[at], register] = term[at].astype(np.uint16)
+        some[own[opens]] = True
+    keys = np.ascontiguousarray(out.reshape(-1, TREES, DEPTH)[:, :, ::-1]).view("<i8")
+    return keys.reshape(-1, TREES), some
+
+
+def _sketched(coded: DataFrame, width: int, window: int, rates, mean: float, k1: float, b: float) -> DataFrame:
+    """``row, keys, some`` of every row: its sketch without the full windows at its beginning."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = rates.value
+        draws = np.random.default_rng(11).standard_exponential((len(idf), TREES * DEPTH), np.float32)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, MARKED_DOCS):
+                part = batch.slice(begin, MARKED_DOCS)
+                ids, counts = _ids(part, width)
+                start = counts // window * window
+                left = counts - start
+                rest = ids[np.repeat(np.cumsum(counts) - counts + start, left) + ranges(left)]
+                keys, some = _sketch(rest, np.repeat(np.arange(len(left)), left), left, idf, draws, mean, k1, b)
+                offsets = pa.array(np.arange(len(left) + 1, dtype=np.int32) * TREES)
+                lists = pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column("row"), lists, pa.array(some)], ["row", "keys", "some"])
+
+    return coded.select("ids", "row").mapInArrow(sketch, "row long, keys array<long>, some boolean")
+
+
+def _nearest(sketches: DataFrame) -> DataFrame:
+    """``a, b``: each row with the neighbour that agrees with it in most registers, of the whole corpus.
+
+    All rows are sorted by each of their keys in turn, so those that share the longest
+    beginning of a key stand together however many rows there are, and each is compared
+    with ``NEAR_ROWS`` rows before and after it. The order is by key and row: no key is hot.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, TREES * DEPTH), np.uint16))
+        tree, row, sketch = none
+        for batch in batches:
+            keys = batch.column("keys").flatten().to_numpy(zero_copy_only=False)
+            held = len(row)
+            tree = np.concatenate([tree, batch.column("tree").to_numpy()])
+            row = np.concatenate([row, batch.column("row").to_numpy()])
+            sketch = np.concatenate([sketch, keys.view(np.uint16).reshape(-1, TREES * DEPTH)])
+            best, other = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+            for step in range(1, NEAR_ROWS + 1):
+                i = np.arange(max(0, held - step), len(row) - step)
+                i = i[tree[i] == tree[i + step]]
+                agree = (sketch[i] == sketch[i + step]).sum(axis=1)
+                for one, two in ((i, i + step), (i + step, i)):
+                    better = agree > best[one]
+                    best[one[better]], other[one[better]] = agree[better], row[two[better]]
+            found = best > 0
+            yield pa.RecordBatch.from_arrays([pa.array(x[found]) for x in (row, best, other)], ["a", "agree", "b"])
+            tree, row, sketch = (x[-NEAR_ROWS:] for x in (tree, row, sketch))
+
+    keyed = sketches.filter("some").select("row", "keys", F.posexplode("keys").alias("tree", "key"))
+    order = [F.col("tree"), F.col("key"), F.col("row")]
+    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    pairs = ranged.select("row", "keys", F.col("tree").cast("long").alias("tree")).mapInArrow(compare, "a long, agree long, b long")
+    nearest = pairs.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best"))
+    return nearest.select("a", F.col("best.b").alias("b"))
+
+
+def _placed(sketches: DataFrame) -> DataFrame:
+    """``row, pos``: dense places of all rows, rows connected by nearest neighbours one after the other.
+
+    Clusters follow each other by the key of their root, so related clusters are near by
+    too; one larger than a shard is cut in the order of its rows' own keys.
+    """
+    roots = components(stored(_nearest(sketches), "nearest")).select(F.col("node").alias("row"), "root")
+    own = sketches.select("row", F.col("keys")[0].alias("key"))
+    rooted = stored(own.join(roots, "row", "left").select("row", "key", F.coalesce("root", "row").alias("root")), "clusters")
+    heads = rooted.filter("row = root").select("root", F.col("key").alias("head"))
+    return dense_ids(rooted.join(heads, "root"), ["head", "root", "key", "row"], "pos").select("row", "pos")
 
 
 def _shards(batches: Iterator[pa.RecordBatch], width: int, docs: int) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ from logarc.llm.encoding import WordEncoder, tokenizer_path
 from logarc.llm.packing import _Index, _lay_out, pack_documents
 from logarc.llm.token_counts import context_limits, length_histogram, totals_at
 
-from .fixtures import awkward, doc, empty, frame, prose
+from .fixtures import awkward, doc, empty, frame, prose, words
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +57,33 @@ def test_packing_places_each_id_once(spark, whole, shard):
     assert padding == 0
 
 
+def test_neighbours_are_found_in_all_of_the_corpus(spark):
+    topics, each = 40, 6
+    rows = []
+    for i in range(topics * each):  # those of one topic stand as far apart as they can
+        own = words(7000 + i % topics, 60)
+        rows.append(doc(i, " ".join(random.Random(i).sample(own, 50))))
+    pieces = pack_documents(frame(spark, rows), tokenizer_path(), window=512, shard_docs=16).collect()
+    windows = {}
+    for p in pieces:
+        windows.setdefault(p.sequence_id, set()).add(p.doc_id)
+    mates = {}
+    for docs in windows.values():
+        for d in docs:
+            mates.setdefault(d, set()).update(docs - {d})
+    lonely = [d for d in range(len(rows)) if not any(m % topics == d % topics for m in mates[d])]
+    assert len(lonely) <= len(rows) // 10
+
+
+def test_copies_of_one_text_fill_many_shards(spark):
+    rows = [doc(i, prose(1, 60)) for i in range(50)] + [doc(100 + i, prose(200 + i, 60)) for i in range(10)]
+    pieces = pack_documents(frame(spark, rows), tokenizer_path(), window=256, shard_docs=8).collect()
+    found = Counter()
+    for p in pieces:
+        found[p.doc_id] += p.length
+    assert found == {p.doc_id: p.doc_tokens for p in pieces} and len(found) == 60
+
+
 def test_packing_an_empty_table(spark):
     assert pack_documents(empty(spark), tokenizer_path()).collect() == []
 
