@@ -27,32 +27,36 @@ def _lines(docs: DataFrame, text: str, site: str) -> DataFrame:
 
 
 def spread_lines(docs: DataFrame, min_sites: int = 10, text: str = "text", site: str = "source") -> DataFrame:
-    """``l1, l2``: keys of the lines found on at least ``min_sites`` distinct sites.
+    """``l1, l2``: keys of the lines found on at least ``min_sites`` distinct sites, in as many distinct texts.
 
-    Every line gets a HyperLogLog sketch of its sites, merged by aggregation, also
-    before the shuffle. A sketch far above the limit decides; near it the distinct
-    sites are counted exactly, of those lines alone. Lines are compared without
-    blanks at their ends. Null sites count as none.
+    A text that stands on many sites is one text, so its lines don't spread by its copies alone.
+    Every line gets a HyperLogLog sketch of its sites and one of its texts, merged by
+    aggregation, also before the shuffle. Sketches far above the limit decide; near it
+    the distinct sites or texts are counted exactly, of those lines alone. Lines are
+    compared without blanks at their ends. Null sites count as none.
     """
-    lines = _lines(docs, text, site)
-    sketches = lines.groupBy("l1", "l2").agg(F.approx_count_distinct("site", SKETCH_ERROR).alias("sites"))
+    lines = _lines(docs, text, site).filter("site IS NOT NULL")
+    counts = {"site": F.approx_count_distinct("site", SKETCH_ERROR), "h1": F.approx_count_distinct("h1", SKETCH_ERROR)}
+    sketches = lines.groupBy("l1", "l2").agg(*[n.alias(f"n_{c}") for c, n in counts.items()])
     low, high = min_sites * (1 - SKETCH_ERROR * NEAR), min_sites * (1 + SKETCH_ERROR * NEAR)
-    likely = stored(sketches.filter(F.col("sites") >= low), "spread")
-    near = likely.filter(F.col("sites") <= high).select("l1", "l2")
-    pairs = lines.join(hinted(near, 16), ["l1", "l2"], "left_semi").groupBy("l1", "l2", "site").agg(F.lit(1).alias("one"))
-    exact = pairs.groupBy("l1", "l2").agg(F.count("site").alias("sites")).filter(F.col("sites") >= min_sites)
-    return likely.filter(F.col("sites") > high).select("l1", "l2").unionByName(exact.select("l1", "l2"))
+    found = stored(sketches.filter((F.col("n_site") >= low) & (F.col("n_h1") >= low)), "spread")
+    for column in counts:
+        near = found.filter(F.col(f"n_{column}") <= high).select("l1", "l2")
+        pairs = lines.join(hinted(near, 16), ["l1", "l2"], "left_semi").groupBy("l1", "l2", column).agg(F.lit(1).alias("one"))
+        few = pairs.groupBy("l1", "l2").agg(F.count("*").alias("n")).filter(F.col("n") < min_sites)
+        found = found.join(few, ["l1", "l2"], "left_anti")
+    return found.select("l1", "l2")
 
 
 def remove_boilerplate(
-    docs: DataFrame, min_sites: int = 10, max_share: float = 0.5, text: str = "text", site: str = "source"
+    docs: DataFrame, min_sites: int = 10, max_share: float | None = 0.5, text: str = "text", site: str = "source"
 ) -> DataFrame:
-    """The rows with their lines of ``min_sites`` or more sites taken out; one row out for each row in.
+    """The rows with their spread lines taken out; one row out for each row in.
 
-    A text of which such lines are more than ``max_share`` of its characters is a copy
-    of another document, not a page with boilerplate, and is left whole for the stages
-    that deal with copies. Adds ``n_lines`` (lines of the text) and ``n_removed``;
-    an existing ``n_chars`` is set anew where lines were taken out. A column that already
+    With ``max_share`` None they go from every text, and one of nothing else becomes empty;
+    whole copies keep theirs, as a text counts once (``spread_lines``). With a number, a
+    text of which such lines are more than that share of its characters is left whole.
+    Adds ``n_lines`` (lines of the text) and ``n_removed``; an existing ``n_chars`` is set anew where lines were taken out. A column that already
     has one of the added names is replaced. Null and empty texts stay as they are
     (0 lines and 1 line); repeated rows stay.
     """
@@ -69,7 +73,8 @@ def remove_boilerplate(
     )
     joined = joined.withColumn("_spread_kept", F.when(F.col("_spread_places").isNotNull(), kept))
     share = 1 - F.length("_spread_kept") / F.length(text)
-    cut = F.col("_spread_places").isNotNull() & (share <= max_share)
+    cut = F.col("_spread_places").isNotNull()
+    cut = cut if max_share is None else cut & (share <= max_share)
     total = F.coalesce(F.size(F.split(F.col(text), "\n", -1)), F.lit(0))
     added = {
         "n_lines": F.when(F.col(text).isNull(), 0).otherwise(total).cast("long"),

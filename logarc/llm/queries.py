@@ -56,7 +56,7 @@ def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_line_spread(spark: SparkSession, folder: str) -> DataFrame:
     """Each document's lines, those removed, and a digest of the text that is left."""
-    cleaned = line_spread.remove_boilerplate(table(spark, folder, "documents"))
+    cleaned = line_spread.remove_boilerplate(table(spark, folder, "documents"), max_share=None)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_left"), F.md5("text").alias("text_md5"))
 
 

@@ -244,5 +244,22 @@ def test_lines_of_many_sites_go(spark, min_sites):
     assert remove_boilerplate(empty(spark)).collect() == []
 
 
+def test_short_pages_lose_their_boilerplate_and_copies_stay(spark, tmp_path):
+    from logarc.llm.queries import op9_line_spread
+
+    menu = "\n".join(f"entry {k} of the long menu that every site shows" for k in range(6))
+    copied = "\n".join(prose(50 + k, 12) for k in range(4))
+    rows = [doc(i, f"own {i}\n{menu}", "en", f"s{i % 15}") for i in range(30)]
+    rows += [doc(100, menu, "en", "s3")]
+    rows += [doc(200 + i, copied, "en", f"s{i % 15}") for i in range(30)]
+    rows += [doc(300 + i, f"{copied}\n{menu}", "en", f"s{i % 15}") for i in range(30)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = remove_boilerplate(frame(spark, rows), max_share=None)
+    wanted = {r[0]: f"own {r[0]}" if r[0] < 100 else "" if r[0] == 100 else copied for r in rows}
+    assert {r.doc_id: r.text for r in got.collect()} == wanted
+    left = {r.doc_id: (r.n_removed, r.n_left) for r in op9_line_spread(spark, str(tmp_path)).collect()}
+    assert left == {r[0]: (0 if 200 <= r[0] < 300 else 6, len(wanted[r[0]])) for r in rows}
+
+
 def test_words_fixture_is_stable():
     assert words(1, 2) == words(1, 2)
