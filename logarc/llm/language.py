@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, text_bytes
@@ -114,8 +114,8 @@ def fit_languages(
     """Learn from rows with a language; rows without one are left out.
 
     Document frequencies cover all rows. The centroids come from at most
-    ``per_language`` texts of each language, those of smallest hash, clustered by
-    cosine on the driver (the bound is that parameter times the number of languages).
+    ``per_language`` distinct texts of each language that have n-grams, those of smallest
+    hash, clustered by cosine on the driver (the bound is that parameter times the number of languages).
     No rows with a language give a model that answers ``und`` to everything.
     """
     rows = labelled.select(labelled[text].alias("text"), labelled[lang].alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
@@ -123,9 +123,11 @@ def fit_languages(
     total = sum(languages.values())
     idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
     names = sorted(languages)
+    usable = rows.filter(_usable())
+    distinct = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     found, owner, least = [], [], []
     for number, name in enumerate(names):
-        texts = _sample(rows.filter(F.col("lang") == name), languages[name], per_language)
+        texts = _sample(usable.filter(F.col("lang") == name), distinct.get(name, 0), per_language)
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
         parts = [_vectors(_counts(part.column("text")), idf) for part in chunks([batch], "text", rows=FEATURE_ROWS)]
         vectors = np.concatenate(parts) if parts else np.zeros((0, DIMENSIONS), np.float32)
@@ -141,13 +143,26 @@ def fit_languages(
     return LanguageModel(idf, stacked, np.array(owner, np.int64), np.array(least), names)
 
 
+def _usable(text: str = "text") -> Column:
+    """Whether a text has any n-gram: two bytes, one of them of a letter."""
+    return (F.octet_length(text) >= 2) & F.col(text).rlike(r"[A-Za-z]|[^\x00-\x7F]")
+
+
 def _sample(rows: DataFrame, n: int, limit: int) -> list[str]:
-    """At most ``limit`` texts, those of smallest hash; a filter on the hash first keeps the sort small."""
+    """At most ``limit`` distinct texts, those of smallest hash; ``n`` is about how many there are.
+
+    A filter on the hash first keeps the sort small; all texts are taken if it leaves too few.
+    """
     key = F.xxhash64("text", F.lit(31))
+
+    def smallest(some: DataFrame) -> list[str]:
+        return [row["text"] for row in some.select("text").distinct().orderBy(key, "text").limit(limit).collect()]
+
     if n > 2 * limit:
-        share = min(1.0, 2 * limit / n)
-        rows = rows.filter(key < F.lit(int(-(2**63) + share * 2**64 * 0.999)))
-    return [row["text"] for row in rows.select("text").orderBy(key).limit(limit).collect()]
+        found = smallest(rows.filter(key < F.lit(int(-(2**63) + 2 * limit / n * 2**64 * 0.999))))
+        if len(found) == limit:
+            return found
+    return smallest(rows)
 
 
 def _cluster(vectors: np.ndarray, k: int, random: np.random.Generator, rounds: int = 8) -> np.ndarray:

@@ -85,6 +85,17 @@ def test_languages(spark):
     assert not {1, 2, 3} & {r.doc_id for r in kept.collect()}
 
 
+def test_languages_of_few_texts_in_many_copies(spark):
+    train = [doc(i, speech(lang, i % 12, 40), lang) for lang in SOUNDS for i in range(1200)]
+    train += [doc(i, f"{i} !", "aa") for i in range(200)]  # without n-grams, so of no use
+    model = fit_languages(frame(spark, train), per_language=8)
+    assert np.bincount(model.language, minlength=3).tolist() == [4, 4, 4]
+    assert all(len({c.tobytes() for c in model.centroids[model.language == k]}) == 4 for k in range(3))
+    rows = [doc(1000 + i, speech(lang, 1000 + i, 30), lang) for i, lang in enumerate(list(SOUNDS) * 8)]
+    got = {r.doc_id: r for r in predict_languages(frame(spark, rows), model).collect()}
+    assert all(got[r[0]].lang_pred == r[2] and not got[r[0]].rejected for r in rows)
+
+
 def test_features_and_cosine_by_hand(spark):
     from pyarrow import array
 
