@@ -48,15 +48,11 @@ def spread_lines(docs: DataFrame, min_sites: int = 10, text: str = "text", site:
     return found.select("l1", "l2")
 
 
-def remove_boilerplate(
-    docs: DataFrame, min_sites: int = 10, max_share: float | None = 0.5, text: str = "text", site: str = "source"
-) -> DataFrame:
-    """The rows with their spread lines taken out; one row out for each row in.
+def remove_boilerplate(docs: DataFrame, min_sites: int = 10, text: str = "text", site: str = "source") -> DataFrame:
+    """The rows with their spread lines taken out of every text; one row out for each row in.
 
-    With ``max_share`` None they go from every text, and one of nothing else becomes empty;
-    whole copies keep theirs, as a text counts once (``spread_lines``). With a number, a
-    text of which such lines are more than that share of its characters is left whole.
-    Adds ``n_lines`` (lines of the text) and ``n_removed``; an existing ``n_chars`` is set anew where lines were taken out. A column that already
+    A text of nothing else becomes empty; whole copies keep theirs, as a text counts
+    once (``spread_lines``). Adds ``n_lines`` (lines of the text) and ``n_removed``; an existing ``n_chars`` is set anew where lines were taken out. A column that already
     has one of the added names is replaced. Null and empty texts stay as they are
     (0 lines and 1 line); repeated rows stay.
     """
@@ -72,9 +68,7 @@ def remove_boilerplate(
         F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains(F.col("_spread_places"), i)), "\n"
     )
     joined = joined.withColumn("_spread_kept", F.when(F.col("_spread_places").isNotNull(), kept))
-    share = 1 - F.length("_spread_kept") / F.length(text)
     cut = F.col("_spread_places").isNotNull()
-    cut = cut if max_share is None else cut & (share <= max_share)
     total = F.coalesce(F.size(F.split(F.col(text), "\n", -1)), F.lit(0))
     added = {
         "n_lines": F.when(F.col(text).isNull(), 0).otherwise(total).cast("long"),

@@ -8,7 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bagminhash, decontaminate, encoding, host_rules, language, lattice, license_scan, line_spread, packing, token_counts, warc
+from . import (
+    bagminhash,
+    decontaminate,
+    encoding,
+    host_rules,
+    language,
+    lattice,
+    license_scan,
+    line_spread,
+    merkle,
+    packing,
+    sharding,
+    token_counts,
+    warc,
+    whitening,
+)
 from .common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,7 +71,7 @@ def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_line_spread(spark: SparkSession, folder: str) -> DataFrame:
     """Each document's lines, those removed, and a digest of the text that is left."""
-    cleaned = line_spread.remove_boilerplate(table(spark, folder, "documents"), max_share=None)
+    cleaned = line_spread.remove_boilerplate(table(spark, folder, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_left"), F.md5("text").alias("text_md5"))
 
 
@@ -69,6 +84,23 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.record_fields(whole, "record")
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return merkle.manifest(docs, tampered=merkle.lowered_ids(F.col("doc_id")))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, folder, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Shards by bytes; ``grown_shard`` belongs to another law."""
+    shards = sharding.shard_documents(table(spark, folder, "documents"))
+    return shards.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -82,5 +114,8 @@ QUERIES: dict[str, Query] = {
         op8_license_scan,
         op9_line_spread,
         op10_warc,
+        op11_merkle_manifest,
+        op12_whitening,
+        op13_sharding,
     )
 }

@@ -221,22 +221,21 @@ def test_license_labels_and_places(spark):
 # --- line spread -------------------------------------------------------------
 
 
-def brute_lines(rows, min_sites, max_share=0.5):
-    sites = defaultdict(set)
+def brute_lines(rows, min_sites):
+    sites, texts = defaultdict(set), defaultdict(set)
     for r in rows:
         for line in (r[1] or "").split("\n"):
             if line.strip(" ") and r[3] is not None:
                 sites[line.strip(" ")].add(r[3])
+                texts[line.strip(" ")].add(r[1])
     out = []
     for r in rows:
         if r[1] is None:
             out.append((r[0], None, 0, 0))
             continue
         lines = r[1].split("\n")
-        kept = [x for x in lines if len(sites[x.strip(" ")] if x.strip(" ") else ()) < min_sites]
-        text = "\n".join(kept)
-        cut = len(kept) < len(lines) and 1 - len(text) / len(r[1]) <= max_share
-        out.append((r[0], text if cut else r[1], len(lines), len(lines) - len(kept) if cut else 0))
+        kept = [x for x in lines if min(len(sites[x.strip(" ")]), len(texts[x.strip(" ")])) < min_sites]
+        out.append((r[0], "\n".join(kept), len(lines), len(lines) - len(kept)))
     return Counter(out)
 
 
@@ -265,7 +264,7 @@ def test_short_pages_lose_their_boilerplate_and_copies_stay(spark, tmp_path):
     rows += [doc(200 + i, copied, "en", f"s{i % 15}") for i in range(30)]
     rows += [doc(300 + i, f"{copied}\n{menu}", "en", f"s{i % 15}") for i in range(30)]
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
-    got = remove_boilerplate(frame(spark, rows), max_share=None)
+    got = remove_boilerplate(frame(spark, rows))
     wanted = {r[0]: f"own {r[0]}" if r[0] < 100 else "" if r[0] == 100 else copied for r in rows}
     assert {r.doc_id: r.text for r in got.collect()} == wanted
     left = {r.doc_id: (r.n_removed, r.n_left) for r in op9_line_spread(spark, str(tmp_path)).collect()}
