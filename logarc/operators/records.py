@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import (
     DEDUP_MODES,
@@ -30,6 +31,19 @@ from .explode import explode_each
 from .lookup import lookup
 
 RECORD_KEY = ("source", "seq", "pos")
+RECORD_SCHEMA = T.StructType(
+    [
+        T.StructField("source", T.StringType()),
+        T.StructField("seq", T.LongType()),
+        T.StructField("pos", T.IntegerType()),
+        T.StructField("op", T.ByteType()),
+        T.StructField("digest", T.BinaryType()),
+        T.StructField("literal", T.StringType()),
+        T.StructField("first", T.BooleanType()),
+        T.StructField("value", T.LongType()),
+        T.StructField("ts", T.TimestampType()),
+    ]
+)
 
 
 def to_records(encoded: DataFrame, compact: bool = False) -> DataFrame:
@@ -68,8 +82,12 @@ def to_records(encoded: DataFrame, compact: bool = False) -> DataFrame:
     )
 
 
-def literals_of_records(records: DataFrame) -> DataFrame:
-    """Encoded events ``(source, seq, ts, logtype, vars)`` of records that all carry their literal."""
+def assembled_events(records: DataFrame) -> DataFrame:
+    """Encoded events ``(source, seq, ts, logtype, vars)`` of records with their literals, and whether each is ``whole``.
+
+    An event is whole if it has its timestamp record, a record for every place up to it,
+    and a literal wherever one belongs. More records than places raise an error.
+    """
     is_variable = ~F.col("op").isin(OP_LOGTYPE, OP_TIMESTAMP)
     part = F.struct(
         "pos",
@@ -77,14 +95,21 @@ def literals_of_records(records: DataFrame) -> DataFrame:
         F.col("literal").alias("text"),
         F.col("value").alias("enc"),
     )
+    lacks = F.col("op").isin(OP_LOGTYPE, OP_VARIABLE) & F.col("literal").isNull()
     events = records.groupBy("source", "seq").agg(
         F.timestamp_millis(F.max(F.when(F.col("op") == OP_TIMESTAMP, F.col("value")))).alias("ts"),
         F.max(F.when(F.col("op") == OP_LOGTYPE, F.col("literal"))).alias("logtype"),
         F.sort_array(F.collect_list(F.when(is_variable, part))).alias("parts"),
+        F.max(F.when(F.col("op") == OP_TIMESTAMP, F.col("pos"))).alias("last"),
+        F.count("*").alias("n"),
+        F.count_if(lacks).alias("lacking"),
     )
     # Which of the two kinds of number a variable is only its template says; ids don't need to know.
     variables = F.transform("parts", lambda p: F.struct(p["kind"].alias("kind"), p["text"].alias("text"), p["enc"].alias("enc")))
-    return events.select("source", "seq", "ts", "logtype", variables.alias("vars"))
+    place = F.concat(F.col("source"), F.lit(" "), F.col("seq").cast("string"))
+    many = F.raise_error(F.concat(F.lit("more records than places in the event "), place)).cast("boolean")
+    whole = F.when(F.col("n") > F.col("last") + 1, many).otherwise((F.col("n") == F.col("last") + 1) & (F.col("lacking") == 0))
+    return events.select("source", "seq", "ts", "logtype", variables.alias("vars"), F.coalesce(whole, F.lit(False)).alias("whole"))
 
 
 def dedup_records(records: DataFrame, mode: str = "separate") -> DataFrame:

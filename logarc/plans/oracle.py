@@ -401,5 +401,6 @@ SELECT unnest(['logtype_dictionary', 'variable_dictionary', 'timestamps', 'logty
     "stream_literals_expiry": _SENT_LITERALS,
     "stream_archive_roundtrip": _plain("events"),
     "stream_records_to_archive": _plain("events"),
+    **{f"stream_records_{name}": _plain("events") for name in ("none", "shared", "separate", "marked", "cut")},
     "append_archive": f"{_plain('documents')} UNION ALL {_plain('conversations')}",
 }

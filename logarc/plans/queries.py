@@ -625,6 +625,24 @@ def streamed_archive_columns(spark: SparkSession, folder: str) -> DataFrame:
     return _times_and_text(read_stream_archive(spark, path).decode())
 
 
+def _served_archive(mode: str, cut: bool = False) -> Query:
+    """A written record stream, taken in a file a batch; ``cut`` deals the records of each event out to all files."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        path = scratch_path(spark, "served")
+        records = to_records(encode(messages(spark, folder, "events")))
+        if cut:
+            dealt = dedup_records(materialize(records, "records"), mode).repartition(3, "source", "seq", "pos")
+            dealt.write.parquet(f"{path}-records")
+        else:
+            write_records(records, f"{path}-records", mode, files=3)
+        arriving = stream_records(spark, f"{path}-records", files_per_batch=1)
+        stream_records_archive(arriving, path, f"{path}-progress").awaitTermination()
+        return _times_and_text(read_stream_archive(spark, path).decode())
+
+    return query
+
+
 def appended_archive(spark: SparkSession, folder: str) -> DataFrame:
     """Documents, then conversations appended to one archive."""
     path = scratch_path(spark, "append-archive")
@@ -745,5 +763,10 @@ QUERIES: dict[str, Query] = {
     "stream_literals_expiry": expired_literals,
     "stream_archive_roundtrip": streamed_archive,
     "stream_records_to_archive": streamed_archive_columns,
+    "stream_records_none": _served_archive("none"),
+    "stream_records_shared": _served_archive("shared"),
+    "stream_records_separate": _served_archive("separate"),
+    "stream_records_marked": _served_archive("marked"),
+    "stream_records_cut": _served_archive("separate", cut=True),
     "append_archive": appended_archive,
 }

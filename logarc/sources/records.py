@@ -3,35 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
-from ..operators.records import dedup_records
+from ..operators.records import RECORD_SCHEMA, dedup_records
 from ..plans.archive import codec_options
 from ..session import materialize
 
-RECORD_SCHEMA = T.StructType(
-    [
-        T.StructField("source", T.StringType()),
-        T.StructField("seq", T.LongType()),
-        T.StructField("pos", T.IntegerType()),
-        T.StructField("op", T.ByteType()),
-        T.StructField("digest", T.BinaryType()),
-        T.StructField("literal", T.StringType()),
-        T.StructField("first", T.BooleanType()),
-        T.StructField("value", T.LongType()),
-        T.StructField("ts", T.TimestampType()),
-    ]
-)
-
-
-def write_records(records: DataFrame, path: str, mode: str = "separate", codec: str = "zstd", level: int = 3) -> None:
-    """Deduplicate a record stream and write it in stream order."""
-    order = ["source", "seq", "pos"]
+
+def write_records(
+    records: DataFrame, path: str, mode: str = "separate", codec: str = "zstd", level: int = 3, files: int | None = None
+) -> None:
+    """Deduplicate a record stream and write it in stream order, each event in one file.
+
+    Ranges are of whole events, so no file ends inside one; a source with most events
+    still spreads over many files (``files``: how many at most).
+    """
     if mode != "none":
         # Finding first places reads the records a second time.
         records = materialize(records, "records")
-    stream = dedup_records(records, mode).repartitionByRange(*order).sortWithinPartitions(*order)
-    stream.write.options(**codec_options(codec, level)).parquet(path)
+    stream = dedup_records(records, mode)
+    ranged = stream.repartitionByRange("source", "seq") if files is None else stream.repartitionByRange(files, "source", "seq")
+    ranged.sortWithinPartitions("source", "seq", "pos").write.options(**codec_options(codec, level)).parquet(path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -39,6 +30,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD_SCHEMA).parquet(path)
 
 
-def stream_records(spark: SparkSession, path: str) -> DataFrame:
+def stream_records(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A written record stream, as a stream of new files."""
-    return spark.readStream.schema(RECORD_SCHEMA).parquet(path)
+    files = spark.readStream.schema(RECORD_SCHEMA)
+    if files_per_batch is not None:
+        files = files.option("maxFilesPerTrigger", files_per_batch)
+    return files.parquet(path)

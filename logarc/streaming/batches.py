@@ -9,11 +9,18 @@ from pyspark.sql import types as T
 
 
 def read_batches(
-    spark: SparkSession, schema: T.StructType, path: str, before_batch: int | None = None, keep_batch: bool = False
+    spark: SparkSession,
+    schema: T.StructType,
+    path: str,
+    before_batch: int | None = None,
+    keep_batch: bool = False,
+    only_batch: int | None = None,
 ) -> DataFrame:
-    """Rows of all batches, or of those before a given one; none if nothing was written yet."""
+    """Rows of all batches, of those before a given one, or of a single one; none if nothing was written yet."""
     stored = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
     try:
+        if only_batch is not None:
+            return spark.read.schema(schema).parquet(f"{path}/batch={only_batch}")
         rows = spark.read.schema(stored).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":

@@ -8,44 +8,56 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.digests import digest
-from ..operators.dictionary import distinct_values, new_entries
+from ..operators.dictionary import distinct_values, number_values
 from ..session import materialize
-from .batches import read_batches, write_batch
+from .grown import GrownTable, prefixes
 
-ENTRY_SCHEMA = T.StructType(
-    [
-        T.StructField("id", T.LongType()),
-        T.StructField("value", T.StringType()),
-        T.StructField("n", T.LongType()),
-    ]
-)
+ENTRY_SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("value", T.StringType())])
+COUNT_SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType())])
+
+
+def _entries(spark: SparkSession, path: str) -> GrownTable:
+    return GrownTable(spark, f"{path}/entries", ENTRY_SCHEMA, digest(F.col("value")))
+
+
+def _counts(spark: SparkSession, path: str) -> GrownTable:
+    """Occurrences by batch and id; no batch reads them, they are only added up."""
+    return GrownTable(spark, f"{path}/counts", COUNT_SCHEMA, None, lambda rows: rows.groupBy("id").agg(F.sum("n").alias("n")))
 
 
 def read_stream_dictionary(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame:
     """Entries written so far, or by batches before a given one, with their occurrences in all of these."""
-    rows = read_batches(spark, ENTRY_SCHEMA, path, before_batch)
-    entries = rows.groupBy("id", "value").agg(F.sum("n").alias("n"))
-    return entries.select("id", digest(F.col("value")).alias("digest"), "value", "n")
+    entries, counts = _entries(spark, path), _counts(spark, path)
+    totals = counts.read(counts.version(before_batch)).groupBy("id").agg(F.sum("n").alias("n"))
+    rows = entries.read(entries.version(before_batch)).join(totals, "id")
+    return rows.select("id", digest(F.col("value")).alias("digest"), "value", "n")
 
 
-def upsert_batch(values: DataFrame, batch_id: int, path: str) -> None:
-    """Add one micro-batch of occurrences ``(value, first)``: its values with their ids and counts in it.
+def upsert_batch(values: DataFrame, batch_id: int, path: str) -> DataFrame:
+    """Add one micro-batch of occurrences ``(value, first)``; gives the batch's own entries.
 
-    Ids follow from the batches before this one, and the batch has a folder of
-    its own that a replay overwrites: running it twice gives the same table.
+    Only the buckets of the batch's values are read. New values get the ids after the last
+    one, which the log holds. Ids follow from the batches before this one, so a replay
+    writes the same table again.
     """
-    known = materialize(read_stream_dictionary(values.sparkSession, path, before_batch=batch_id), "known")
-    counted = materialize(distinct_values(values), "batch-values")
-    seen = counted.withColumn("digest", digest(F.col("value"))).join(known.select("digest", "id"), "digest")
-    fresh = new_entries(counted, known)
-    write_batch(seen.select("id", "value", "n").unionByName(fresh.select("id", "value", "n")), batch_id, path)
+    spark = values.sparkSession
+    entries, counts = _entries(spark, path), _counts(spark, path)
+    before = entries.version(batch_id)
+    counted = materialize(distinct_values(values).withColumn("digest", digest(F.col("value"))), "batch-values")
+    known = entries.read(before, prefixes(counted)).select(digest(F.col("value")).alias("digest"), "id")
+    placed = materialize(counted.join(known, "digest", "left"), "batch-known")
+    fresh = materialize(number_values(placed.where("id IS NULL").drop("id"), before.next_id), "batch-new")
+    added = fresh.count()
+    entries.append(fresh.select("id", "value"), batch_id, before, before.next_id + added)
+    own = placed.where("id IS NOT NULL").select("id", "digest", "value", "n").unionByName(fresh)
+    counts.append(own.select("id", "n"), batch_id, counts.version(batch_id))
+    return own
 
 
 def stream_dictionary(occurrences: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep the dictionary of a stream of ``(value, first)`` occurrences."""
-    return (
-        occurrences.writeStream.foreachBatch(lambda batch, batch_id: upsert_batch(batch, batch_id, path))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        upsert_batch(batch, batch_id, path)
+
+    return occurrences.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
