@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -88,21 +89,6 @@ BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-SPAN_BASE = np.uint64(_BASE)
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        up = np.full(size, _BASE, np.uint64)
-        down = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Bits of a 64-bit integer spread over all its bits."""
     x = x.astype(np.uint64, copy=True)
@@ -114,12 +100,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+# Spans over this many bytes are hashed one by one, so that one long span doesn't cost a step per block for all.
+_LONG_SPAN = 128
+_LANES = ((0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D), (0xD6E8FEB86659FD93, 0x9FB21C651E98DF25))
+
+
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from prefix sums of one polynomial."""
-    up, down = _power_tables(len(raw) + 1)
-    prefix = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=prefix[1:])
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
+    """A 64-bit hash of each byte span.
+
+    Blocks of 8 bytes pass through two lanes of 64 bits, each mixed after every block; spans
+    longer than ``_LONG_SPAN`` bytes take BLAKE2. No linear form of the bytes is left that
+    two different spans could share by their structure.
+    """
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    blocks = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    size = (end - start).astype(np.int64)
+    lanes = [mix(size.astype(np.uint64) + np.uint64(seed)) for _, seed in _LANES]
+    left = np.flatnonzero((size > 0) & (size <= _LONG_SPAN))
+    at = 0
+    while len(left):
+        rest = size[left] - at
+        block = blocks[start[left] + at]
+        short = rest < 8
+        block[short] &= (np.uint64(1) << (rest[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        for k, (factor, _) in enumerate(_LANES):
+            lanes[k][left] = mix((lanes[k][left] ^ block) * np.uint64(factor))
+        at += 8
+        left = left[rest > 8]
+    out = mix(lanes[0] ^ (lanes[1] * np.uint64(_LANES[0][0])))
+    for i in np.flatnonzero(size > _LONG_SPAN).tolist():
+        digest = hashlib.blake2b(raw[start[i] : end[i]], digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
 
 
 @dataclass

@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame
 from .common import BLANK, LOWER, chunks, ranges, span_hashes, text_bytes
 
 # Words kept encoded between batches; beyond it the cache starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1 << 20
+# New words are encoded this many at a time as one text, with this sign between them: a token of its own.
+JOINED_WORDS = 256
+SIGN = "~"
 
 # Byte classes for cutting: 0 blank, 1 other, 2 Latin letter, 3 plain punctuation. This
 # vocabulary's pattern always begins a new token between letters and punctuation.
@@ -33,6 +36,44 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Known:
+    """Encoded words by hash: an open table of slots, and the ids of all words one after the other."""
+
+    def __init__(self, room: int, dtype: np.dtype):
+        self.room, self.n, self.used = room, 0, 0
+        self.slots = np.full(1 << (2 * room - 1).bit_length(), -1, np.int32)
+        self.keys = np.zeros(room, np.uint64)
+        self.begin, self.size = np.zeros(room, np.int64), np.zeros(room, np.int64)
+        self.ids = np.zeros(4 * room, dtype)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each word, -1 for unknown ones."""
+        mask = np.uint64(len(self.slots) - 1)
+        found, left, step = np.full(len(keys), -1, np.int64), np.arange(len(keys)), np.uint64(0)
+        while len(left):
+            entry = self.slots[(keys[left] + step) & mask]
+            same = (entry >= 0) & (self.keys[entry] == keys[left])
+            found[left[same]] = entry[same]
+            left, step = left[(entry >= 0) & ~same], step + np.uint64(1)
+        return found
+
+    def add(self, keys: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Words that are all new and different, with the ids of each in their order."""
+        entries = np.arange(self.n, self.n + len(keys))
+        self.keys[entries], self.size[entries] = keys, size
+        self.begin[entries] = self.used + np.cumsum(size) - size
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), self.ids.dtype)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.n, self.used = self.n + len(keys), self.used + len(ids)
+        mask, left, step = np.uint64(len(self.slots) - 1), np.arange(len(keys)), np.uint64(0)
+        while len(left):
+            at = (keys[left] + step) & mask
+            free = self.slots[at] < 0
+            self.slots[at[free]] = entries[left[free]]
+            left, step = left[self.slots[at] != entries[left]], step + np.uint64(1)
+
+
 class WordEncoder:
     """Encodes columns of text with a tokenizer that drops white space.
 
@@ -48,7 +89,12 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[int, bytes] = {}
+        self.known = _Known(CACHE_WORDS, self.dtype)
+        sign = self._ids(SIGN)
+        self.sign = sign[0] if len(sign) == 1 and self._ids(f"a {SIGN} a") == [*self._ids("a"), *sign, *self._ids("a")] else None
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after the other, and the number of ids of each row."""
@@ -61,26 +107,49 @@ class WordEncoder:
         codes, distinct = pd.factorize(span_hashes(raw, start, end))
         some = np.empty(len(distinct), np.int64)
         some[codes] = np.arange(len(codes))
-        parts = self._look_up(distinct.tolist(), raw, start[some], end[some])
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
-        flat = np.frombuffer(b"".join(parts), self.dtype)
-        count = size[codes]
-        at = np.repeat((np.cumsum(size) - size)[codes], count) + ranges(count)
+        entry = self._look_up(distinct, raw, start[some], end[some])
+        count = self.known.size[entry][codes]
+        at = np.repeat(self.known.begin[entry][codes], count) + ranges(count)
         total = np.concatenate([[0], np.cumsum(count)])
         first = np.searchsorted(start, place)
-        return flat[at], np.diff(total[first])
-
-    def _look_up(self, keys: list[int], raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known = self.known
-        new = [i for i, key in enumerate(keys) if key not in known]
-        if new:
+        return self.known.ids[at], np.diff(total[first])
+
+    def _look_up(self, keys: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        entry = self.known.find(keys)
+        new = np.flatnonzero(entry < 0)
+        if self.known.n + len(new) > self.known.room:
+            self.known = _Known(max(CACHE_WORDS, len(keys)), self.dtype)
+            new = np.arange(len(keys))
+        if len(new):
             data = raw.tobytes()
-            texts = [data[s:e].decode() for s, e in zip(start[new].tolist(), end[new].tolist(), strict=True)]
-            for i, coded in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                known[keys[i]] = np.array(coded.ids, self.dtype).tobytes()
-        return [known[key] for key in keys]
+            words = [data[s:e].decode() for s, e in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+            self.known.add(keys[new], *self._encode_words(words))
+            entry = self.known.find(keys)
+        return entry
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and the ids of all.
+
+        Many words go in as one text: the sign between them is a token that no word without
+        that character has, so it tells where the next one begins.
+        """
+        if self.sign is None:
+            parts = [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.fromiter(map(len, parts), np.int64, len(parts)), np.concatenate(parts)
+        own = [w.replace(SIGN, "") if SIGN in w else w for w in words]
+        texts = [f" {SIGN} ".join([*own[i : i + JOINED_WORDS], ""]) for i in range(0, len(own), JOINED_WORDS)]
+        ids = np.concatenate([np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        signs = np.flatnonzero(ids == self.sign)
+        size = np.diff(signs, prepend=-1) - 1
+        ids = np.delete(ids, signs)
+        other = [i for i, w in enumerate(words) if SIGN in w]
+        if other:
+            parts = np.split(ids, np.cumsum(size)[:-1])
+            for i, coded in zip(other, self.tokenizer.encode_batch_fast([words[i] for i in other], add_special_tokens=False), strict=True):
+                parts[i] = np.array(coded.ids, self.dtype)
+                size[i] = len(parts[i])
+            ids = np.concatenate(parts)
+        return size, ids
 
 
 def _cut(raw: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

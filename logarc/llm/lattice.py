@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPAN_BASE, partitions_for, remainder, span_hashes, stored, text_bytes, text_key, words_of
+from .common import partitions_for, remainder, span_hashes, stored, text_bytes, text_key, words_of
 
 # Bytes of text in one block; a block's words and their scores are held in one task.
 BLOCK_BYTES = 6 * 1024 * 1024
@@ -25,6 +25,8 @@ _MARK, _START = "▁", b"\x20"
 _BLANKS = r"[ \t\n\x0B\f\r]+"
 
 
+# Pieces are short, so their bytes can be the digits of a number modulo 2 ** 64.
+_DIGIT_BASE = np.uint64(0x9E3779B97F4A7C15)
 _SLOT_BITS = 18
 _SLOT_FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -39,7 +41,7 @@ def piece_keys(pieces: list[bytes]) -> np.ndarray:
     for i, piece in enumerate(pieces):
         total = 0
         for byte in reversed(piece):
-            total = (total * int(SPAN_BASE) + byte + 1) % (1 << 64)
+            total = (total * int(_DIGIT_BASE) + byte + 1) % (1 << 64)
         keys[i] = total
     return keys
 
@@ -115,7 +117,7 @@ def _edges(block: np.ndarray, model: PieceModel, backwards: bool = False) -> Ite
     for end in ends:
         total = np.zeros(n, np.uint64)
         for begin in range(end - 1, max(-1, end - 1 - model.longest), -1):
-            total = total * SPAN_BASE + raw[begins + begin] + np.uint64(1)
+            total = total * _DIGIT_BASE + raw[begins + begin] + np.uint64(1)
             rows, number = model.find(total)
             if len(rows):
                 yield begin, end, rows, number
