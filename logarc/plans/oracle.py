@@ -283,6 +283,7 @@ ORACLE: dict[str, str] = {
   || (event_id * 4 + 2) || ',' || (event_id * 4 + 3) AS vars FROM events""",
     "plain_text": _TEXT_LINES,
     "gzip_text": _TEXT_LINES,
+    "zstd_text": _TEXT_LINES,
     "zstd_column": _TEXT_LINES,
     "rolling_files": f"SELECT source, seq, file_no FROM ({_rolled(20_000)})",
     "rolling_text": f"""SELECT source, file_no, line FROM (SELECT *, max(file_no) OVER (PARTITION BY source) AS newest
@@ -395,6 +396,7 @@ SELECT unnest(['logtype_dictionary', 'variable_dictionary', 'timestamps', 'logty
   min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM logtypes GROUP BY logtype""",
     "stream_encode": f"WITH {typed('events')} SELECT source, seq, logtype, n_vars FROM logtypes",
     "stream_logs": _STRIPPED,
+    "stream_stitch": _STRIPPED,
     "stream_dictionary": _dictionary("events", "variable", shown="id, value, n"),
     "stream_literals": _SENT_LITERALS,
     "stream_new_literals": _SENT_LITERALS,

@@ -43,6 +43,7 @@ from ..sources.text_sinks import read_text, read_zstd_column, rolling_files, wri
 from ..streaming.archive import append_archive, read_stream_archive, stream_archive, stream_records_archive
 from ..streaming.dictionary import read_stream_dictionary, stream_dictionary
 from ..streaming.ingest import stream_encode, stream_logs
+from ..streaming.stitch import read_stitched, stream_lines, stream_stitch
 from ..streaming.records import read_sent_literals, stream_literals, stream_new_literals, write_stream
 from .archive import (
     build_archive,
@@ -583,6 +584,24 @@ def streamed_logs(spark: SparkSession, folder: str) -> DataFrame:
     return _parsed(spark.read.parquet(path))
 
 
+def streamed_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """One log of all events, arriving in three pieces that are cut inside events, stitched line by line."""
+    path = scratch_path(spark, "pieces")
+    logs = log_file_lines(read_table(spark, folder, "events"))
+    lines = explode_each(logs, F.split("line", "\n"), "seq", item="value")
+    last = logs.agg(F.max("seq").alias("last")).first().last or 0
+    # The second line of every third part of the log begins the next piece, so the event in front of it is cut in two.
+    cut = F.floor((F.col("seq") * 4 + F.least("pos", F.lit(3)) - 1) * 3 / (4 * (last + 1)))
+    lines = materialize(lines.withColumn("piece", F.greatest(cut, F.lit(0))), "lines")
+    for k in range(3):
+        piece = lines.where(F.col("piece") == k).repartitionByRange("seq", "pos").sortWithinPartitions("seq", "pos")
+        piece.select("value").write.text(f"{path}-logs/piece={k}")
+        arrived = stream_lines(spark, f"{path}-logs/*")
+        stream_stitch(arrived, path, f"{path}-progress", pieces=r"^(.*)/piece=([0-9]+)/part-([0-9]+)-[^/]*$").awaitTermination()
+    finished, still_open = read_stitched(spark, path)
+    return _parsed(finished.unionByName(still_open))
+
+
 def streamed_dictionary(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "stream-dictionary")
     uses = variable_occurrences(encode(_event_stream(spark, folder, batches=3)))
@@ -672,6 +691,7 @@ QUERIES: dict[str, Query] = {
     "synthetic_columns": synthetic_column_rows,
     "plain_text": _text_round_trip("none"),
     "gzip_text": _text_round_trip("gzip"),
+    "zstd_text": _text_round_trip("zstd"),
     "zstd_column": zstd_column_round_trip,
     "rolling_files": rolled_file_numbers,
     "rolling_text": rolling_text_newest,
@@ -757,6 +777,7 @@ QUERIES: dict[str, Query] = {
     "compare_formats": format_sizes,
     "stream_encode": streamed_encode,
     "stream_logs": streamed_logs,
+    "stream_stitch": streamed_pieces,
     "stream_dictionary": streamed_dictionary,
     "stream_literals": streamed_literals,
     "stream_new_literals": streamed_new_literals,

@@ -8,22 +8,25 @@ from pyspark.sql import functions as F
 from ..operators.ordering import running_total
 
 
-_HADOOP_ZSTD = "org.apache.hadoop.io.compress.ZStandardCodec"
+# The codec that comes with Spark's Parquet library; Hadoop's own needs a native library on every machine.
+_ZSTD_CODEC = "org.apache.parquet.hadoop.codec.ZstandardCodec"
 
 
-def write_text(lines: DataFrame, path: str, codec: str = "none", column: str = "line") -> None:
-    """Text files: ``none``, ``gzip`` or ``zstd``.
+def write_text(lines: DataFrame, path: str, codec: str = "none", column: str = "line", level: int = 3) -> None:
+    """Text files: ``none``, ``gzip`` or ``zstd`` (``level``: of zstd).
 
-    Zstd text needs a Hadoop built with native zstd on every machine; without it
-    the write fails and says so. :func:`write_zstd_column` does without.
+    Zstd files are plain zstd streams of the lines, compressed by the executors with the
+    codec that comes with Spark; any zstd tool reads them.
     """
-    rows = lines.select(F.col(column).alias("value"))
-    rows.write.option("compression", _HADOOP_ZSTD if codec == "zstd" else codec).text(path)
+    rows = lines.select(F.col(column).alias("value")).write
+    if codec == "zstd":
+        rows = rows.option("parquet.compression.codec.zstd.level", str(level))
+    rows.option("compression", _ZSTD_CODEC if codec == "zstd" else codec).text(path)
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """``value``: the lines written by :func:`write_text`; the codec is told by the files' names."""
-    return spark.read.text(path, lineSep="\n")
+    return spark.read.option("io.compression.codecs", _ZSTD_CODEC).text(path, lineSep="\n")
 
 
 def write_zstd_column(lines: DataFrame, path: str, column: str = "line") -> None:

@@ -123,7 +123,7 @@ def serve_batch(records: DataFrame, batch_id: int, path: str, broadcast_bytes: i
     known = literals.read(before, prefixes(named))
     named = materialize(named.join(known, "digest", "left"), "literals")
     fresh = named.where("sent IS NOT NULL AND literal IS NULL").select("digest", F.col("sent").alias("literal"))
-    literals.append(fresh, batch_id, before)
+    literals.append(fresh, fresh.count(), batch_id, before)
     found = named.select("digest", F.coalesce("literal", "sent").alias("value"), "n").where("value IS NOT NULL")
     spread = F.xxhash64("source", "seq", "pos")
     filled = lookup(arrived, found, "digest", "digest", {"value": "_found"}, spread, broadcast_bytes)

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def no_rows(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """An empty table that the optimizer knows to be empty."""
+    return spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]).limit(0)
+
+
 def read_batches(
     spark: SparkSession,
     schema: T.StructType,
@@ -25,7 +30,7 @@ def read_batches(
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], stored if keep_batch else schema)
+        return no_rows(spark, stored if keep_batch else schema)
     kept = rows if before_batch is None else rows.where(F.col("batch") < before_batch)
     return kept if keep_batch else kept.drop("batch")
 

@@ -44,13 +44,14 @@ def upsert_batch(values: DataFrame, batch_id: int, path: str) -> DataFrame:
     entries, counts = _entries(spark, path), _counts(spark, path)
     before = entries.version(batch_id)
     counted = materialize(distinct_values(values).withColumn("digest", digest(F.col("value"))), "batch-values")
-    known = entries.read(before, prefixes(counted)).select(digest(F.col("value")).alias("digest"), "id")
+    wanted = prefixes(counted)
+    known = entries.read(before, wanted).select(digest(F.col("value")).alias("digest"), "id")
     placed = materialize(counted.join(known, "digest", "left"), "batch-known")
-    fresh = materialize(number_values(placed.where("id IS NULL").drop("id"), before.next_id), "batch-new")
-    added = fresh.count()
-    entries.append(fresh.select("id", "value"), batch_id, before, before.next_id + added)
+    fresh = number_values(placed.where("id IS NULL").drop("id"), before.next_id)
+    added = placed.where("id IS NULL").count()
+    entries.append(fresh.select("id", "value"), added, batch_id, before, before.next_id + added)
     own = placed.where("id IS NOT NULL").select("id", "digest", "value", "n").unionByName(fresh)
-    counts.append(own.select("id", "n"), batch_id, counts.version(batch_id))
+    counts.append(own.select("id", "n"), sum(wanted.values()), batch_id, counts.version(batch_id))
     return own
 
 

@@ -13,13 +13,16 @@ last: a batch that fails leaves the table as it was, and a replay writes the sam
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import no_rows
+
 # Leading bits of a digest that a reader may name, so at most 4,096 values come to the driver.
 PREFIX_BITS = 12
 BUCKET_ROWS = 4096
@@ -42,9 +45,9 @@ def prefix(digest: Column) -> Column:
     return F.shiftright(F.conv(F.hex(F.substring(digest, 1, 2)), 16, 10).cast("int"), 16 - PREFIX_BITS)
 
 
-def prefixes(rows: DataFrame, digest: str = "digest") -> list[int]:
-    """The prefixes that occur."""
-    return [r.p for r in rows.select(prefix(F.col(digest)).alias("p")).distinct().collect()]
+def prefixes(rows: DataFrame, digest: str = "digest") -> dict[int, int]:
+    """The prefixes that occur, with their rows."""
+    return {r.p: r.n for r in rows.groupBy(prefix(F.col(digest)).alias("p")).agg(F.count("*").alias("n")).collect()}
 
 
 class GrownTable:
@@ -84,14 +87,12 @@ class GrownTable:
             stream.close()
         return Version(**json.loads(text))
 
-    def read(self, version: Version, wanted: list[int] | None = None) -> DataFrame:
+    def read(self, version: Version, wanted: Iterable[int] | None = None) -> DataFrame:
         """All rows, or at least those whose digest begins with a wanted prefix."""
-        rows = self.spark.createDataFrame([], self.schema)
-        for part in version.parts:
-            rows = rows.unionByName(self._read_part(part, wanted))
-        return rows
+        parts = [self._read_part(part, wanted) for part in version.parts if part["rows"]]
+        return reduce(DataFrame.unionByName, parts) if parts else no_rows(self.spark, self.schema)
 
-    def _read_part(self, part: dict, wanted: list[int] | None) -> DataFrame:
+    def _read_part(self, part: dict, wanted: Iterable[int] | None) -> DataFrame:
         stored = T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])
         rows = self.spark.read.schema(stored).parquet(f"{self.path}/parts/{part['name']}")
         if wanted is not None and part["bits"]:
@@ -99,9 +100,9 @@ class GrownTable:
             rows = rows.where(F.col("bucket").isin(buckets))
         return rows.drop("bucket")
 
-    def append(self, rows: DataFrame, batch_id: int, before: Version, next_id: int = 0) -> Version:
-        """Add a batch to the version it was made from. ``rows`` should be stored: they are counted first."""
-        parts = [*before.parts, self._write(rows, f"b{batch_id}", 0)]
+    def append(self, rows: DataFrame, count: int, batch_id: int, before: Version, next_id: int = 0) -> Version:
+        """Add a batch of so many rows to the version it was made from."""
+        parts = [*before.parts, self._write(rows, f"b{batch_id}", 0, count)]
         level = 0
         while len(full := [p for p in parts if p["level"] == level]) >= FAN:
             held = self.read(Version(full))
@@ -113,8 +114,7 @@ class GrownTable:
         self._retire(batch_id)
         return after
 
-    def _write(self, rows: DataFrame, name: str, level: int, count: int | None = None) -> dict:
-        count = rows.count() if count is None else count
+    def _write(self, rows: DataFrame, name: str, level: int, count: int) -> dict:
         bits = 0
         while self.key is not None and bits < PREFIX_BITS and count >> bits > self.bucket_rows:
             bits += 1
@@ -122,7 +122,8 @@ class GrownTable:
             rows = rows.withColumn("bucket", F.shiftright(prefix(self.key), PREFIX_BITS - bits)).repartition("bucket")
         else:
             rows = rows.withColumn("bucket", F.lit(0))
-        rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/parts/{name}")
+        if count:
+            rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/parts/{name}")
         return {"name": name, "level": level, "rows": count, "bits": bits}
 
     def _put_log(self, batch_id: int, version: Version) -> None:
@@ -142,6 +143,7 @@ class GrownTable:
         for old in known[:-KEPT_LOGS]:
             self._files.delete(self._place(f"log/{old}.json"), False)
         kept = {p["name"] for b in known[-KEPT_LOGS:] for p in self.version(b + 1).parts}
-        for status in self._files.listStatus(self._place("parts")):
+        parts = self._place("parts")
+        for status in self._files.listStatus(parts) if self._files.exists(parts) else []:
             if status.getPath().getName() not in kept:
                 self._files.delete(status.getPath(), True)

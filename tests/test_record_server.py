@@ -62,11 +62,11 @@ def test_events_cut_at_every_record(spark, tmp_path, mode):
     records = dedup_records(to_records(encode(plain)), mode).collect()
     random.Random(3).shuffle(records)  # references before their literals, timestamps before the rest
     out, seen = str(tmp_path / "out"), set()
-    size = -(-len(records) // 4)
-    for batch_id in range(4):
+    size = -(-len(records) // 3)
+    for batch_id in range(3):
         part = spark.createDataFrame(records[batch_id * size : (batch_id + 1) * size], RECORD_SCHEMA)
         serve_batch(part, batch_id, out)
-        if batch_id in (1, 3):  # a replay changes nothing
+        if batch_id == 1 and mode == "separate":  # a replay changes nothing
             serve_batch(part, batch_id, out)
         now = {(r.source, r.seq) for r in read_stream_archive(spark, out).events.collect()}
         assert seen <= now
