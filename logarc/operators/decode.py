@@ -12,6 +12,7 @@ from ..functions.tokens import as_message, unescape
 from ..session import BROADCAST_BYTES
 from .explode import explode_each
 from .lookup import lookup
+from .segments import wide_id
 
 _PLACEHOLDERS = "[\x11-\x13]"
 
@@ -71,8 +72,12 @@ def decode_events(
     An entry that the dictionaries lack, or two events of one ``(source, seq)``,
     raise an error. Only dictionary variables are exploded and looked up; the rest of an event
     never leaves its row. Templates are taken apart once per dictionary entry,
-    not once per event.
+    not once per event. Where events and dictionaries have a ``segment``, ids are those of it.
     """
+    own = [c for c in ("segment",) if c in events.columns]
+    if own:
+        logtypes, variables = (d.withColumn("id", wide_id(F.col("segment"), F.col("id"))).drop("segment") for d in (logtypes, variables))
+        events = events.withColumn("logtype_id", wide_id(F.col("segment"), F.col("logtype_id")))
     spread = F.xxhash64("source", "seq")
     templates = logtypes.withColumns(
         {
@@ -94,10 +99,11 @@ def decode_events(
             lambda kind, enc: F.struct(kind.alias("kind"), enc.cast("bigint").alias("enc")),
         ),
     ).drop("vars", "logtype_id", "_kinds")
+    entry = wide_id(F.col("segment"), F.col("v.enc")) if own else F.col("v.enc")
     references = (
-        explode_each(typed, F.col("_typed"), "source", "seq")
+        explode_each(typed, F.col("_typed"), "source", "seq", *own)
         .where(F.col("v.kind") == DICT_KIND)
-        .select("source", "seq", "pos", F.col("v.enc").alias("_ref"))
+        .select("source", "seq", "pos", entry.alias("_ref"))
     )
     found = lookup(
         references, variables, "_ref", "id", {"value": "text"}, F.xxhash64("source", "seq", "pos"), broadcast_bytes
@@ -123,7 +129,7 @@ def decode_events(
         typed.join(per_event, ["source", "seq"], "left")
         .withColumn("_texts", F.transform(in_order, lambda p: p["text"]))
         .withColumn(out, as_message(assemble(F.col("_parts"), F.col("_texts")), F.col("_raw")))
-        .drop("_parts", "_raw", "_typed", "_found", "_texts")
+        .drop("_parts", "_raw", "_typed", "_found", "_texts", *own)
     )
 
 
@@ -141,6 +147,7 @@ def decode_row_major(rows: DataFrame, id_bytes: int = 8, var_bytes: int = 8) ->
     return rows.select(
         "source",
         "seq",
+        *[c for c in ("segment",) if c in rows.columns],
         F.timestamp_millis(from_big_endian(payload, 1)).alias("ts"),
         logtype_id.alias("logtype_id"),
         F.when(count > 0, words).otherwise(F.array().cast("array<bigint>")).alias("vars"),

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..constants import ARCHIVE_VERSION, COMPACT_MAX_ID, DICT_KIND
 from ..functions.digests import big_endian, digest
 from ..operators.decode import decode_encoded, decode_events, decode_row_major
-from ..operators.dictionary import check_compact, logtype_dictionary, lookup_ids, variable_dictionary
+from ..operators.dictionary import logtype_dictionary, lookup_ids, variable_dictionary
 from ..operators.explode import explode_each
+from ..operators.segments import in_segment, segment_logtypes, segment_variables, with_segments
 from ..session import BROADCAST_BYTES, materialize
 
 
@@ -36,7 +37,15 @@ def attach_ids(
     """``(source, seq, ts, logtype_id, vars)``: texts replaced by dictionary ids.
 
     Two events of one ``(source, seq)``, or a value that the dictionaries lack, raise an error.
+    Events with a ``segment`` get the ids of their segment's dictionaries, and keep it.
     """
+    own = [c for c in ("segment",) if c in encoded.columns]
+    if own:
+        texts = F.transform("vars", lambda v: v.withField("text", in_segment(F.col("segment"), v["text"])))
+        encoded = encoded.withColumns({"vars": texts, "logtype": in_segment(F.col("segment"), F.col("logtype"))})
+        logtypes, variables = (
+            d.withColumn("digest", digest(in_segment(F.col("segment"), F.col("value")))) for d in (logtypes, variables)
+        )
     references = (
         explode_each(encoded, F.col("vars"), "source", "seq")
         .where(F.col("v.kind") == DICT_KIND)
@@ -56,7 +65,7 @@ def attach_ids(
     in_order = F.sort_array(F.concat(numeric, F.when(whole, found_ids).otherwise(lost.cast("array<struct<pos:int,enc:bigint>>"))))
     named = lookup_ids(encoded, logtypes, "logtype", "logtype_id", F.xxhash64("source", "seq"), broadcast_bytes)
     return named.join(per_event, ["source", "seq"], "left").select(
-        "source", "seq", "ts", "logtype_id", F.transform(in_order, lambda p: p["enc"]).alias("vars")
+        "source", "seq", "ts", *own, "logtype_id", F.transform(in_order, lambda p: p["enc"]).alias("vars")
     )
 
 
@@ -77,20 +86,20 @@ def build_archive(encoded: DataFrame, compact: bool = False, broadcast_bytes: in
     The encoded events are written once and read three times: for each
     dictionary only its own column, and once for the ids.
     """
-    base = materialize(inline_form(encoded), "encoded")
-    return _with_dictionaries(base, lambda df, name: materialize(df, name), compact, broadcast_bytes)
-
-
-def _with_dictionaries(base: DataFrame, keep, compact: bool, broadcast_bytes: int) -> Archive:
-    logtypes = keep(logtype_dictionary(base), "logtypes")
-    variables = keep(variable_dictionary(base), "variables")
-    if compact:
-        check_compact(logtypes, "logtypes")
-        check_compact(variables, "variables")
+    return _with_dictionaries(inline_form(encoded), lambda df, name: materialize(df, name), compact, broadcast_bytes)
+
+
+def _with_dictionaries(encoded: DataFrame, keep, compact: bool, broadcast_bytes: int) -> Archive:
+    """Ids of the whole archive, or in the compact form those of each segment."""
+    if not compact:
+        base = materialize(encoded, "encoded")
+        logtypes = keep(logtype_dictionary(base), "logtypes")
+        variables = keep(variable_dictionary(base), "variables")
+        return Archive(attach_ids(base, logtypes, variables, broadcast_bytes), logtypes, variables)
+    base = materialize(with_segments(encoded, broadcast_bytes=broadcast_bytes), "segmented")
+    logtypes, variables = keep(segment_logtypes(base), "logtypes"), keep(segment_variables(base), "variables")
     events = attach_ids(base, logtypes, variables, broadcast_bytes)
-    if compact:
-        events = events.withColumn("vars", F.col("vars").cast("array<int>"))
-    return Archive(events, logtypes, variables, compact)
+    return Archive(events.withColumn("vars", F.col("vars").cast("array<int>")), logtypes, variables, compact)
 
 
 def write_archive(
@@ -114,8 +123,7 @@ def write_archive(
     def keep(df: DataFrame, name: str) -> DataFrame:
         return _keep_dictionary(df, f"{path}/{name}", options)
 
-    base = materialize(inline_form(encoded), "encoded")
-    archive = _with_dictionaries(base, keep, compact, broadcast_bytes)
+    archive = _with_dictionaries(inline_form(encoded), keep, compact, broadcast_bytes)
     events, order = archive.events, ["source", "seq"]
     if by_date:
         events, order = events.withColumn("date", F.to_date("ts")), ["date", "source", "seq"]
@@ -128,14 +136,16 @@ def write_archive(
 
 def _keep_dictionary(df: DataFrame, path: str, options: dict[str, str]) -> DataFrame:
     """Write a dictionary without its digests, which follow from the values, and open it."""
-    df.select("id", "value", "n").write.options(**options).parquet(path)
-    return read_dictionary(df.sparkSession, path)
+    segmented = "segment" in df.columns
+    df.select(*["segment"] * segmented, "id", "value", "n").write.options(**options).parquet(path)
+    return read_dictionary(df.sparkSession, path, segmented)
 
 
-def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+def read_dictionary(spark: SparkSession, path: str, segmented: bool = False) -> DataFrame:
     """A stored dictionary; the digest of a value is made only where it is used."""
-    rows = spark.read.schema("id bigint, value string, n bigint").parquet(path)
-    return rows.select("id", digest(F.col("value")).alias("digest"), "value", "n")
+    own = ["segment"] * segmented
+    rows = spark.read.schema(", ".join([*(f"{c} bigint" for c in own), "id bigint, value string, n bigint"])).parquet(path)
+    return rows.select(*own, "id", digest(F.col("value")).alias("digest"), "value", "n")
 
 
 def codec_options(codec: str = "zstd", level: int = 3) -> dict[str, str]:
@@ -153,8 +163,10 @@ def read_archive(spark: SparkSession, path: str) -> Archive:
     info = spark.read.parquet(f"{path}/info").first()
     if info.version != ARCHIVE_VERSION:
         raise ValueError(f"archive version {info.version} is not {ARCHIVE_VERSION}")
-    dictionaries = [read_dictionary(spark, f"{path}/{name}") for name in ("logtypes", "variables")]
-    return Archive(spark.read.parquet(f"{path}/events"), *dictionaries, info.compact)
+    events = spark.read.parquet(f"{path}/events")
+    segmented = "segment" in events.columns
+    dictionaries = [read_dictionary(spark, f"{path}/{name}", segmented) for name in ("logtypes", "variables")]
+    return Archive(events, *dictionaries, info.compact)
 
 
 def row_major(archive: Archive, id_bytes: int = 8) -> DataFrame:
@@ -170,7 +182,8 @@ def row_major(archive: Archive, id_bytes: int = 8) -> DataFrame:
     time = F.coalesce(F.unix_millis("ts"), no_time)
     words = F.array_join(F.transform("vars", lambda v: big_endian(v, var_bytes)), "")
     payload = F.unhex(F.concat(big_endian(time), big_endian(logtype_id, id_bytes), words))
-    return archive.events.select("source", "seq", payload.alias("payload"))
+    own = [c for c in ("segment",) if c in archive.events.columns]
+    return archive.events.select("source", "seq", *own, payload.alias("payload"))
 
 
 def write_row_major(archive: Archive, path: str, codec: str = "zstd", level: int = 3, id_bytes: int = 8) -> None:
@@ -192,9 +205,10 @@ def read_row_major(spark: SparkSession, path: str) -> Archive:
     info = spark.read.parquet(f"{path}/info").first()
     if info.version != ARCHIVE_VERSION:
         raise ValueError(f"archive version {info.version} is not {ARCHIVE_VERSION}")
-    payloads = spark.read.schema("source string, seq bigint, payload binary").parquet(f"{path}/events")
+    payloads = spark.read.parquet(f"{path}/events")
+    segmented = "segment" in payloads.columns
     events = decode_row_major(payloads, info.id_bytes, 4 if info.compact else 8)
-    return Archive(events, *[read_dictionary(spark, f"{path}/{name}") for name in ("logtypes", "variables")], info.compact)
+    return Archive(events, *[read_dictionary(spark, f"{path}/{name}", segmented) for name in ("logtypes", "variables")], info.compact)
 
 
 def write_inline(encoded: DataFrame, path: str, codec: str = "zstd", level: int = 3, by_date: bool = False) -> None:

@@ -231,6 +231,34 @@ SELECT l.source, l.seq, l.ts_ms, d.id AS logtype_id, coalesce(v.vars, '') AS var
 FROM logtypes l JOIN logtype_dict d ON l.logtype = d.value LEFT JOIN var_lists v ON l.source = v.source AND l.seq = v.seq"""
 
 
+# Segments of the compact form: 32,768 dictionary variables in the order of source and seq (fixed value).
+_SEGMENTED = f"""{typed('events', mode='compact')},
+weights AS (SELECT l.source, l.seq, greatest(1, count(v.kind)) AS w
+  FROM logtypes l LEFT JOIN vars v ON l.source = v.source AND l.seq = v.seq AND v.kind = 18 GROUP BY 1, 2),
+segment_of AS (SELECT source, seq, CAST((sum(w) OVER (ORDER BY source, seq) - 1) // 32768 AS BIGINT) AS segment FROM weights),
+own_vars AS (SELECT v.*, segment FROM vars v JOIN segment_of USING (source, seq)),
+own_logtypes AS (SELECT l.*, segment FROM logtypes l JOIN segment_of USING (source, seq)),
+logtype_dict AS (SELECT segment, row_number() OVER (PARTITION BY segment ORDER BY first, value) - 1 AS id, value, n
+  FROM (SELECT segment, logtype AS value, min(seq) AS first, count(*) AS n FROM own_logtypes GROUP BY 1, 2)),
+variable_dict AS (SELECT segment, row_number() OVER (PARTITION BY segment ORDER BY first, value) - 1 AS id, value, n
+  FROM (SELECT segment, tok AS value, min(seq::HUGEINT * 2147483648 + pos) AS first, count(*) AS n
+        FROM own_vars WHERE kind = 18 GROUP BY 1, 2)),
+encoded_vars AS (SELECT v.source, v.seq, v.pos, coalesce(v.enc, d.id) AS enc
+  FROM own_vars v LEFT JOIN variable_dict d ON v.kind = 18 AND v.tok = d.value AND v.segment = d.segment)"""
+
+_COMPACT_ARCHIVE = f"""WITH {_SEGMENTED},
+var_lists AS (SELECT source, seq, string_agg(CAST(enc AS VARCHAR), ',' ORDER BY pos) AS vars FROM encoded_vars GROUP BY 1, 2)
+SELECT l.source, l.seq, l.ts_ms, l.segment, d.id AS logtype_id, coalesce(v.vars, '') AS vars
+FROM own_logtypes l JOIN logtype_dict d ON l.logtype = d.value AND l.segment = d.segment
+LEFT JOIN var_lists v ON l.source = v.source AND l.seq = v.seq"""
+
+_COMPACT_PAYLOAD = f"""WITH {_SEGMENTED},
+words AS (SELECT source, seq, string_agg({_hex_bytes('enc', 4)}, '' ORDER BY pos) AS words FROM encoded_vars GROUP BY 1, 2)
+SELECT l.source, l.seq, l.segment, {_hex_bytes('l.ts_ms', 8)} || {_hex_bytes('d.id', 2)} || coalesce(w.words, '') AS payload
+FROM own_logtypes l JOIN logtype_dict d ON l.logtype = d.value AND l.segment = d.segment
+LEFT JOIN words w ON l.source = w.source AND l.seq = w.seq"""
+
+
 _SIZE_REPORT = f"""WITH {typed('events', mode='int_only')}, {dictionaries()},
 parts AS (SELECT
   (SELECT count(*) FROM logtypes) AS events,
@@ -348,10 +376,10 @@ SELECT source, seq, pos, id FROM vars JOIN variable_dict ON tok = value WHERE ki
     "dictionary_export": _dictionary(
         "events", "logtype", shown="id, lower(lpad(to_hex(strlen(value)), 4, '0') || hex(value)) AS entry"
     ),
-    "compact_dictionary": _dictionary("events", "variable", "compact", "id, value, n"),
+    "compact_dictionary": f"WITH {_SEGMENTED} SELECT segment, id, value, n FROM variable_dict",
     "archive_columns": _archive("events"),
     "archive_columns_documents": _archive("documents"),
-    "archive_columns_compact": _archive("events", mode="compact"),
+    "archive_columns_compact": _COMPACT_ARCHIVE,
     "decode_roundtrip_documents": _plain("documents"),
     "decode_roundtrip_pages": _plain("pages"),
     "decode_roundtrip_events": _plain("events"),
@@ -362,7 +390,7 @@ SELECT source, seq, pos, id FROM vars JOIN variable_dict ON tok = value WHERE ki
     "decode_lines": f"""SELECT event_id AS seq, strftime(ts, '%Y-%m-%d ') || {_TIME} || ' ' || {_EVENT_MSG} AS line
   FROM events""",
     "row_major_payload": _payload("standard", 8),
-    "row_major_compact": _payload("compact", 2),
+    "row_major_compact": _COMPACT_PAYLOAD,
     "row_major_roundtrip": _archive("events"),
     "row_major_text_roundtrip": _plain("pages"),
     "roundtrip_invalid_utf8": _ODD_BYTES,

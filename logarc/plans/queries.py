@@ -12,7 +12,6 @@ from ..functions.digests import digest
 from ..functions.layout import render_layout, strip_layout_timestamp
 from ..operators.decode import decode_encoded, render_timestamp
 from ..operators.dictionary import (
-    check_compact,
     dictionary_bytes,
     distinct_values,
     export_dictionary,
@@ -33,6 +32,7 @@ from ..operators.records import (
     records_to_archive,
     to_records,
 )
+from ..operators.segments import segment_variables, with_segments
 from ..operators.report import ir_compressed_report, ir_size_report, logtype_stats
 from ..operators.stitch import split_timestamp, stitch_events, strip_trailing
 from ..session import materialize, scratch_path
@@ -47,6 +47,7 @@ from ..streaming.stitch import read_stitched, stream_lines, stream_stitch
 from ..streaming.records import read_sent_literals, stream_literals, stream_new_literals, write_stream
 from .archive import (
     build_archive,
+    inline_form,
     read_archive,
     read_inline,
     read_row_major,
@@ -363,16 +364,17 @@ def exported_dictionary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def compact_dictionary(spark: SparkSession, folder: str) -> DataFrame:
-    entries = materialize(variable_dictionary(encode(messages(spark, folder, "events"), mode="compact")), "variables")
-    check_compact(entries, "variables")
-    return entries.select("id", "value", "n")
+    """Variables of the compact form, numbered in each segment of the events."""
+    segmented = with_segments(inline_form(encode(messages(spark, folder, "events"), mode="compact")))
+    return segment_variables(materialize(segmented, "segmented")).select("segment", "id", "value", "n")
 
 
 # --- archives ----------------------------------------------------------------
 
 
 def _event_columns(events: DataFrame) -> DataFrame:
-    return events.select("source", "seq", F.unix_millis("ts").alias("ts_ms"), "logtype_id", _joined("vars"))
+    own = [c for c in ("segment",) if c in events.columns]
+    return events.select("source", "seq", F.unix_millis("ts").alias("ts_ms"), *own, "logtype_id", _joined("vars"))
 
 
 def _archive_columns_of(table: str, mode: str) -> Query:
@@ -419,7 +421,8 @@ def decode_lines(spark: SparkSession, folder: str) -> DataFrame:
 def _row_major_payloads(mode: str, id_bytes: int) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         archive = build_archive(encode(messages(spark, folder, "events"), mode=mode), compact=mode == "compact")
-        return row_major(archive, id_bytes).select("source", "seq", _hex("payload"))
+        payloads = row_major(archive, id_bytes)
+        return payloads.select("source", "seq", *[c for c in ("segment",) if c in payloads.columns], _hex("payload"))
 
     return query
 
