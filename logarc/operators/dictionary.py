@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import COMPACT_MAX_ID, DICT_KIND, ENTRY_MAX_BYTES
 from ..functions.digests import digest, entry_bytes
-from ..session import BROADCAST_BYTES
+from ..session import BROADCAST_BYTES, materialize
 from .explode import explode_each
 from .lookup import lookup
 from .ordering import dense_ids
@@ -72,8 +72,10 @@ def new_entries(values: DataFrame, dictionary: DataFrame) -> DataFrame:
 def upsert_dictionary(values: DataFrame, dictionary: DataFrame) -> DataFrame:
     """The dictionary with unseen values added and counts brought up to date.
 
-    Known values keep their ids.
+    Known values keep their ids. The batch is stored first, since it is read for the counts
+    and for the new entries.
     """
+    values = materialize(values, "batch-values")
     counts = values.select(digest(F.col("value")).alias("digest"), F.col("n").alias("_more"))
     kept = dictionary.join(counts, "digest", "left").select(
         "id", "digest", "value", (F.col("n") + F.coalesce("_more", F.lit(0))).alias("n")

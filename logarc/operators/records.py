@@ -218,11 +218,17 @@ def records_to_archive(records: DataFrame, broadcast_bytes: int = BROADCAST_BYTE
         "value",
         F.coalesce("digest", digest(F.col("literal"))).alias("_digest"),
     )
-    spread = F.xxhash64(*RECORD_KEY)
-    # Kinds are resolved in two joins over one pass; the key of the other kind is NULL.
-    resolved = references
-    for op, dictionary, name in ((OP_LOGTYPE, logtypes, "_logtype_id"), (OP_VARIABLE, variables, "_variable_id")):
-        resolved = _resolve(resolved, op, dictionary, name, spread, broadcast_bytes)
+    # Records of numbers and times have no reference: they pass by the one look-up, which finds both kinds.
+    entries = _by_kind(logtypes, OP_LOGTYPE).unionByName(_by_kind(variables, OP_VARIABLE))
+    named = references.where("_digest IS NOT NULL").withColumn("_ref", _kind_key(F.col("op"), F.col("_digest")))
+    found = lookup(named, entries, "_ref", "key", {"id": "_id"}, F.xxhash64(*RECORD_KEY), broadcast_bytes)
+    plain = references.where("_digest IS NULL").withColumn("_id", F.lit(None).cast("bigint"))
+    resolved = found.select(*plain.columns).unionByName(plain).withColumns(
+        {
+            "_logtype_id": F.when(F.col("op") == OP_LOGTYPE, F.col("_id")),
+            "_variable_id": F.when(F.col("op") == OP_VARIABLE, F.col("_id")),
+        }
+    )
     place = F.struct("pos", F.coalesce("value", "_variable_id").alias("v"))
     is_variable = ~F.col("op").isin(OP_LOGTYPE, OP_TIMESTAMP)
     events = resolved.groupBy("source", "seq").agg(
@@ -233,7 +239,10 @@ def records_to_archive(records: DataFrame, broadcast_bytes: int = BROADCAST_BYTE
     return events, logtypes, variables
 
 
-def _resolve(rows, op, dictionary, name, spread, broadcast_bytes):
-    keyed = rows.withColumn("_ref", F.when(F.col("op") == op, F.col("_digest")))
-    return lookup(keyed, dictionary, "_ref", "digest", {"id": name}, spread, broadcast_bytes).drop("_ref")
+def _kind_key(op: Column, content: Column) -> Column:
+    """Key of a content as one of the two kinds."""
+    return F.concat(F.unhex(F.lpad(F.hex(op.cast("bigint")), 2, "0")), content)
+
 
+def _by_kind(dictionary: DataFrame, op: int) -> DataFrame:
+    return dictionary.select(_kind_key(F.lit(op), F.col("digest")).alias("key"), "id", "n")

@@ -290,6 +290,22 @@ SELECT CAST(op + CASE WHEN literal IS NULL THEN 0 ELSE CASE WHEN strlen(literal)
 _SENT_LITERALS = f"""WITH {typed('events')}, {records('separate')}
 SELECT source, op, digest, literal FROM rec WHERE literal IS NOT NULL"""
 
+# Three batches by the number of the event; a literal is sent again after six hours without it (fixed values).
+_BATCH = "CAST(floor(seq * 3 / ((SELECT max(event_id) FROM events) + 1)) AS BIGINT)"
+_RESENT = f"""WITH {typed('events')},
+uses AS (SELECT source, seq, 48 AS op, tok AS literal, ts_ms FROM vars WHERE kind = 18
+  UNION ALL SELECT source, seq, 32, logtype, ts_ms FROM logtypes),
+timed AS (SELECT *, max(ts_ms) OVER (PARTITION BY source, op, literal ORDER BY {_BATCH}, ts_ms
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM uses)
+SELECT source, CAST(op AS BIGINT) AS op, sha256(literal) AS digest, literal, ts_ms FROM timed
+WHERE before IS NULL OR ts_ms - before > 21600000"""
+
+_OBSERVED = f"""SELECT {_BATCH} AS batch, count(*) AS n_events, CAST(sum(strlen(msg)) AS BIGINT) AS n_bytes, true AS has_rate
+FROM ({MESSAGES['events']}) GROUP BY 1"""
+
+_NEWEST_FILES = f"""SELECT source, file_no, line FROM (SELECT *, max(file_no) OVER (PARTITION BY source) AS newest
+  FROM ({_rolled(10_000)})) WHERE file_no > newest - 10"""
+
 _ODD_BYTES = f"""SELECT source, seq, CASE WHEN seq % 11 = 0 THEN '75c328' || lower(hex(encode(msg))) || 'ff'
   ELSE lower(hex(encode(msg))) END AS bytes FROM ({MESSAGES['events']})"""
 
@@ -314,8 +330,7 @@ ORACLE: dict[str, str] = {
     "zstd_text": _TEXT_LINES,
     "zstd_column": _TEXT_LINES,
     "rolling_files": f"SELECT source, seq, file_no FROM ({_rolled(20_000)})",
-    "rolling_text": f"""SELECT source, file_no, line FROM (SELECT *, max(file_no) OVER (PARTITION BY source) AS newest
-  FROM ({_rolled(10_000)})) WHERE file_no > newest - 10""",
+    "rolling_text": _NEWEST_FILES,
     "running_bytes": """SELECT doc_id AS seq, CAST(sum(strlen(text)) OVER (ORDER BY doc_id) AS BIGINT) AS total_bytes
   FROM documents""",
     "tokenize_documents": f"""SELECT seq, CAST(len(t) AS BIGINT) AS n_tokens, sha256(array_to_string(t, ' ')) AS tokens_digest
@@ -432,5 +447,8 @@ SELECT unnest(['logtype_dictionary', 'variable_dictionary', 'timestamps', 'logty
     "stream_archive_roundtrip": _plain("events"),
     "stream_records_to_archive": _plain("events"),
     **{f"stream_records_{name}": _plain("events") for name in ("none", "shared", "separate", "marked", "cut")},
+    "stream_observed": _OBSERVED,
+    "stream_rolling_text": _NEWEST_FILES,
+    "stream_literals_resent": _RESENT,
     "append_archive": f"{_plain('documents')} UNION ALL {_plain('conversations')}",
 }

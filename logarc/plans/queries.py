@@ -43,8 +43,17 @@ from ..sources.text_sinks import read_text, read_zstd_column, rolling_files, wri
 from ..streaming.archive import append_archive, read_stream_archive, stream_archive, stream_records_archive
 from ..streaming.dictionary import read_stream_dictionary, stream_dictionary
 from ..streaming.ingest import stream_encode, stream_logs
+from ..streaming.observe import batch_rates, observed
+from ..streaming.records import (
+    read_expiring_literals,
+    read_sent_literals,
+    stream_expiring_literals,
+    stream_literals,
+    stream_new_literals,
+    write_stream,
+)
+from ..streaming.rolling import read_rolled, stream_rolling_text
 from ..streaming.stitch import read_stitched, stream_lines, stream_stitch
-from ..streaming.records import read_sent_literals, stream_literals, stream_new_literals, write_stream
 from .archive import (
     build_archive,
     inline_form,
@@ -551,6 +560,20 @@ def compressed_report(spark: SparkSession, folder: str) -> DataFrame:
     return report.select("part", "n_rows", (F.col("bytes") > 0).alias("has_bytes"))
 
 
+def compressed_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes, shares and ratio of the parts of an archive; they depend on the files written."""
+    rows = messages(spark, folder, "events")
+    original = rows.agg(F.sum(F.octet_length("msg") + 1).alias("b")).first().b
+    archive = build_archive(encode(rows))
+    archive.events = materialize(archive.events, "events")
+    return ir_compressed_report(archive, original).select("part", "n_rows", "bytes", "pct", "ratio")
+
+
+def format_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every format of the events, and their ratio to plain text."""
+    return compare_all_formats(messages(spark, folder, "events")).select("format", "n_events", "bytes", "ratio")
+
+
 def format_sizes(spark: SparkSession, folder: str) -> DataFrame:
     sizes = compare_all_formats(messages(spark, folder, "events"))
     return sizes.select("format", "n_events", (F.col("bytes") > 0).alias("has_bytes"))
@@ -612,6 +635,57 @@ def streamed_dictionary(spark: SparkSession, folder: str) -> DataFrame:
     return read_stream_dictionary(spark, path).select("id", "value", "n")
 
 
+def _in_three_runs(spark: SparkSession, folder: str, run: Callable[[DataFrame], object]) -> None:
+    """The events table arriving in three parts; each is one batch of the stream that ``run`` starts and waits for."""
+    events = read_table(spark, folder, "events")
+    source = scratch_path(spark, "arriving")
+    last = events.agg(F.max("event_id").alias("last")).first().last or 0
+    for k in range(3):
+        events.where(F.floor(F.col("event_id") * 3 / (last + 1)) == k).write.mode("append").parquet(source)
+        run(event_logs(spark.readStream.schema(events.schema).parquet(source)).select("source", "seq", "ts", "msg"))
+
+
+def observed_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Events and bytes of each batch of a stream, observed while it is encoded."""
+    path = scratch_path(spark, "observed")
+
+    def run(events: DataFrame) -> None:
+        size = F.sum(F.octet_length("msg").cast("bigint")).alias("n_bytes")
+        stream_encode(observed(events, size), path, f"{path}-progress").awaitTermination()
+
+    with batch_rates(spark) as batches:
+        _in_three_runs(spark, folder, run)
+    rows = [(b["batch"], b["n_rows"], b["n_bytes"], b["rows_per_second"] > 0) for b in batches]
+    return spark.createDataFrame(rows, "batch bigint, n_events bigint, n_bytes bigint, has_rate boolean")
+
+
+def streamed_rolling(spark: SparkSession, folder: str) -> DataFrame:
+    """The events' lines in size-rolled files, written in three batches; the newest ten of each source are left."""
+    path = scratch_path(spark, "stream-rolling")
+
+    def run(events: DataFrame) -> None:
+        lines = render_timestamp(events, "yy/MM/dd HH:mm:ss ").select("source", "seq", "line")
+        stream_rolling_text(lines, path, f"{path}-progress", max_bytes=10_000, max_files=10).awaitTermination()
+
+    _in_three_runs(spark, folder, run)
+    return read_rolled(spark, path).select("source", "file_no", F.col("value").alias("line"))
+
+
+# Event time without a literal after which it is sent again.
+EXPIRY_MS = 6 * 3600 * 1000
+
+
+def resent_literals(spark: SparkSession, folder: str) -> DataFrame:
+    """Literals of a stream in three batches, sent again after six hours without them."""
+    path = scratch_path(spark, "stream-resent")
+
+    def run(events: DataFrame) -> None:
+        stream_expiring_literals(to_records(encode(events)), path, f"{path}-progress", EXPIRY_MS).awaitTermination()
+
+    _in_three_runs(spark, folder, run)
+    return read_expiring_literals(spark, path).select("source", _long("op"), _hex("digest"), "literal", F.unix_millis("ts").alias("ts_ms"))
+
+
 def streamed_literals(spark: SparkSession, folder: str) -> DataFrame:
     """Literals that a stream of records sends: one per source, kind and content."""
     path = scratch_path(spark, "stream-records")
@@ -778,6 +852,8 @@ QUERIES: dict[str, Query] = {
     "logtype_stats": event_template_stats,
     "ir_compressed_report": compressed_report,
     "compare_formats": format_sizes,
+    "ir_compressed_sizes": compressed_sizes,
+    "compare_format_sizes": format_bytes,
     "stream_encode": streamed_encode,
     "stream_logs": streamed_logs,
     "stream_stitch": streamed_pieces,
@@ -792,5 +868,8 @@ QUERIES: dict[str, Query] = {
     "stream_records_separate": _served_archive("separate"),
     "stream_records_marked": _served_archive("marked"),
     "stream_records_cut": _served_archive("separate", cut=True),
+    "stream_observed": observed_batches,
+    "stream_rolling_text": streamed_rolling,
+    "stream_literals_resent": resent_literals,
     "append_archive": appended_archive,
 }

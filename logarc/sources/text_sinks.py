@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators.ordering import running_total
 
 
+# Size at which a rolling file is full, as logging configurations mean "1M" (fixed value).
+MEGABYTE = 1 << 20
 # The codec that comes with Spark's Parquet library; Hadoop's own needs a native library on every machine.
 _ZSTD_CODEC = "org.apache.parquet.hadoop.codec.ZstandardCodec"
 
@@ -53,7 +55,7 @@ def write_zstd_text(lines: DataFrame, path: str, column: str = "line") -> None:
 
 
 def rolling_files(
-    lines: DataFrame, max_bytes: int = 1_000_000, max_files: int | None = None, column: str = "line"
+    lines: DataFrame, max_bytes: int = MEGABYTE, max_files: int | None = None, column: str = "line"
 ) -> DataFrame:
     """Add ``file_no``: a source goes to its next file once ``max_bytes`` are written.
 
@@ -77,7 +79,7 @@ def rolling_files(
 def write_rolling_text(
     lines: DataFrame,
     path: str,
-    max_bytes: int = 1_000_000,
+    max_bytes: int = MEGABYTE,
     max_files: int | None = None,
     codec: str = "gzip",
     column: str = "line",
