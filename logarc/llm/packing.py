@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +20,8 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 # Documents of one index shard, and tokens at which a shard is closed early.
 SHARD_DOCS = 2048
 SHARD_TOKENS = 1 << 22
+# Bytes of ids in one partition of shards, roughly.
+PARTITION_BYTES = 64 * 1024 * 1024
 # Documents whose ids are marked at once when document frequencies are counted.
 MARKED_DOCS = 128
 # Sorted orders in which documents look for neighbours, min-hashed ids an order sorts by, and rows looked at on each side.
@@ -61,17 +62,21 @@ def pack_documents(
     rates = coded.sparkSession.sparkContext.broadcast(idf)  # one number for each id of the vocabulary
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for ids, docs_of_shard, counts in _shards(batches, width, shard_docs):
+        last, number = -1, 0
+        for shard, ids, docs_of_shard, counts in _shards(batches, width, shard_docs):
+            last, number = shard, number if shard == last else shard << 32
             pieces, number = _pack_shard(ids, counts, window, rates.value, mean, k1, b, number)
             yield _rows(pieces, ids, docs_of_shard, counts)
 
     kind = coded.schema["doc_id"].dataType.simpleString()
     places = _placed(stored(_sketched(coded, width, window, rates, mean, k1, b), "sketches"))
     ordered = coded.join(hinted(places, 24, n), "row")
-    shard = F.floor(F.col("pos") / shard_docs).cast("int")
-    ordered = ordered.repartitionById(partitions_for(n, shard_docs), shard).sortWithinPartitions("pos")
-    return ordered.select("doc_id", "ids").mapInArrow(pack, f"doc_id {kind}, {PIECES}")
+    # As many partitions as the session shuffles to, more only where they would hold too many ids; never one a shard.
+    shards = partitions_for(n, shard_docs)
+    wanted = max(int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions")), partitions_for(int(mean * n * width), PARTITION_BYTES))
+    in_each = -(-shards // min(shards, wanted))
+    ordered = ordered.repartitionById(-(-shards // in_each), F.floor(F.col("pos") / (shard_docs * in_each)).cast("int"))
+    return ordered.sortWithinPartitions("pos").select("doc_id", "ids", "pos").mapInArrow(pack, f"doc_id {kind}, {PIECES}")
 
 
 def _ids(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +136,8 @@ def _sketch(ids: np.ndarray, doc: np.ndarray, counts: np.ndarray, idf: np.ndarra
         value = draws[term] / weight[:, None]
         least = np.minimum.reduceat(value, opens, axis=0)
         at, register = np.nonzero(value == np.repeat(least, np.diff(np.append(opens, len(own))), axis=0))
-        out[own[at], register] = term[at].astype(np.uint16)
+        # 16 bits of an id; ids beyond are folded in by their upper bits, so unequal ones agree by chance once in 65,536.
+        out[own[at], register] = (term[at] ^ (term[at] >> 16) * 0x9E37).astype(np.uint16)
         some[own[opens]] = True
     keys = np.ascontiguousarray(out.reshape(-1, TREES, DEPTH)[:, :, ::-1]).view("<i8")
     return keys.reshape(-1, TREES), some
@@ -208,26 +214,32 @@ def _placed(sketches: DataFrame) -> DataFrame:
     return dense_ids(rooted.join(heads, "root"), ["head", "root", "key", "row"], "pos").select("row", "pos")
 
 
-def _shards(batches: Iterator[pa.RecordBatch], width: int, docs: int) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
-    """Ids, document ids and lengths of one shard after the other."""
+def _shards(batches: Iterator[pa.RecordBatch], width: int, docs: int) -> Iterator[tuple[int, np.ndarray, pa.Array, np.ndarray]]:
+    """Number, ids, document ids and lengths of one shard after the other; one with too many ids comes in parts.
+
+    Rows come in the order of ``pos``, whole shards in one partition.
+    """
     held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
-    rows = tokens = 0
+    shard = tokens = 0
 
     def take():
-        return np.concatenate([x[0] for x in held]), pa.concat_arrays([x[1] for x in held]), np.concatenate([x[2] for x in held])
+        return shard, np.concatenate([x[0] for x in held]), pa.concat_arrays([x[1] for x in held]), np.concatenate([x[2] for x in held])
 
     for batch in batches:
         begin = 0
         ids, counts = _ids(batch, width)
         stop = np.cumsum(counts)
+        places = batch.column("pos").to_numpy()
         while begin < batch.num_rows:
             done = stop[begin - 1] if begin else 0
-            end = min(begin + docs - rows, int(np.searchsorted(stop, done + SHARD_TOKENS - tokens)) + 1, batch.num_rows)
+            shard, row = divmod(int(places[begin]), docs)
+            end = min(begin + docs - row, int(np.searchsorted(stop, done + SHARD_TOKENS - tokens)) + 1, batch.num_rows)
             held.append((ids[done : stop[end - 1]], batch.column("doc_id").slice(begin, end - begin), counts[begin:end]))
-            rows, tokens, begin = rows + end - begin, tokens + int(stop[end - 1] - done), end
-            if rows >= docs or tokens >= SHARD_TOKENS:
+            full = row + end - begin >= docs
+            tokens, begin = tokens + int(stop[end - 1] - done), end
+            if full or tokens >= SHARD_TOKENS:
                 yield take()
-                held, rows, tokens = [], 0, 0
+                held, tokens = [], 0
     if held:
         yield take()
 
