@@ -78,6 +78,8 @@ def decode_events(
     if own:
         logtypes, variables = (d.withColumn("id", wide_id(F.col("segment"), F.col("id"))).drop("segment") for d in (logtypes, variables))
         events = events.withColumn("logtype_id", wide_id(F.col("segment"), F.col("logtype_id")))
+    # Dealt out by event once: the texts found for an event's variables join it where it lies.
+    events = events.repartition("source", "seq")
     spread = F.xxhash64("source", "seq")
     templates = logtypes.withColumns(
         {

@@ -46,6 +46,8 @@ def attach_ids(
         logtypes, variables = (
             d.withColumn("digest", digest(in_segment(F.col("segment"), F.col("value")))) for d in (logtypes, variables)
         )
+    # Dealt out by event once: what is found for an event's variables joins it where it lies.
+    encoded = encoded.repartition("source", "seq")
     references = (
         explode_each(encoded, F.col("vars"), "source", "seq")
         .where(F.col("v.kind") == DICT_KIND)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,9 +38,32 @@ def shared_folder(spark: SparkSession) -> str:
     return java_context.getCheckpointDir().get()
 
 
+_scope = threading.local()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path for one intermediate table."""
-    return f"{shared_folder(spark)}/logarc-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/logarc-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    paths = getattr(_scope, "paths", None)
+    if paths is not None:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables made inside when it ends; no DataFrame made from them may be used after that."""
+    outer, _scope.paths = getattr(_scope, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _scope.paths = _scope.paths, outer
+        for path in paths:
+            _delete(spark, spark._jvm.org.apache.hadoop.fs.Path(path))
+
+
+def _delete(spark: SparkSession, place) -> None:
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -53,5 +79,4 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; call it when no DataFrame made from them is used any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "x")).getParent()
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "x")).getParent())

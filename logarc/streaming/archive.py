@@ -13,7 +13,7 @@ from ..operators.lookup import lookup
 from ..operators.records import RECORD_SCHEMA, assembled_events
 from ..plans.archive import Archive, attach_ids, inline_form
 from ..session import BROADCAST_BYTES, materialize
-from .batches import read_batches, write_batch
+from .batches import read_batches, run_batches, write_batch
 from .dictionary import read_stream_dictionary, upsert_batch
 from .grown import GrownTable, prefixes
 
@@ -95,13 +95,7 @@ def append_archive(encoded: DataFrame, path: str) -> int:
 
 def stream_archive(events: DataFrame, path: str, checkpoint: str, message: str = "msg", mode: str = "standard") -> StreamingQuery:
     """Encode a stream of ``(source, seq, ts, msg)`` into a growing columnar archive until present input is written."""
-    coded = encode(events, message, mode)
-    return (
-        coded.writeStream.foreachBatch(lambda batch, batch_id: append_batch(batch, batch_id, path))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return run_batches(encode(events, message, mode), checkpoint, lambda batch, batch_id: append_batch(batch, batch_id, path))
 
 
 def serve_batch(records: DataFrame, batch_id: int, path: str, broadcast_bytes: int = BROADCAST_BYTES) -> None:
@@ -141,11 +135,7 @@ def stream_records_archive(records: DataFrame, path: str, checkpoint: str) -> St
     literal (:func:`serve_batch`). What is not whole when the input ends stays in
     :func:`open_records` and is completed by a later run over the same checkpoint.
     """
-
-    def serve(batch: DataFrame, batch_id: int) -> None:
-        serve_batch(batch, batch_id, path)
-
-    return records.writeStream.foreachBatch(serve).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return run_batches(records, checkpoint, lambda batch, batch_id: serve_batch(batch, batch_id, path))
 
 
 def open_records(spark: SparkSession, path: str) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from ..session import scratch_scope
 
 
 def no_rows(spark: SparkSession, schema: T.StructType) -> DataFrame:
@@ -38,3 +43,13 @@ def read_batches(
 def write_batch(rows: DataFrame, batch_id: int, path: str) -> None:
     """Write a batch into a folder of its own; a replay overwrites it."""
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def run_batches(rows: DataFrame, checkpoint: str, add: Callable[[DataFrame, int], object]) -> StreamingQuery:
+    """Call ``add`` with each batch and its number until present input is read; its intermediate tables go after each."""
+
+    def once(batch: DataFrame, batch_id: int) -> None:
+        with scratch_scope(batch.sparkSession):
+            add(batch, batch_id)
+
+    return rows.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.digests import digest
 from ..operators.dictionary import distinct_values, number_values
 from ..session import materialize
+from .batches import run_batches
 from .grown import GrownTable, prefixes
 
 ENTRY_SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("value", T.StringType())])
@@ -57,8 +58,4 @@ def upsert_batch(values: DataFrame, batch_id: int, path: str) -> DataFrame:
 
 def stream_dictionary(occurrences: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep the dictionary of a stream of ``(value, first)`` occurrences."""
-
-    def add(batch: DataFrame, batch_id: int) -> None:
-        upsert_batch(batch, batch_id, path)
-
-    return occurrences.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return run_batches(occurrences, checkpoint, lambda batch, batch_id: upsert_batch(batch, batch_id, path))

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..session import materialize
-from .batches import read_batches, write_batch
+from .batches import read_batches, run_batches, write_batch
 from .grown import GrownTable, prefixes
 
 
@@ -62,12 +62,7 @@ def stream_new_literals(records: DataFrame, path: str, checkpoint: str) -> Strea
     Like :func:`stream_literals`, with the table of sent literals in place of
     operator state.
     """
-    return (
-        records.writeStream.foreachBatch(lambda batch, batch_id: send_batch(batch, batch_id, path))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return run_batches(records, checkpoint, lambda batch, batch_id: send_batch(batch, batch_id, path))
 
 
 LAST_SCHEMA = T.StructType(
@@ -112,11 +107,7 @@ def send_expiring_batch(records: DataFrame, batch_id: int, path: str, expiry_ms:
 
 def stream_expiring_literals(records: DataFrame, path: str, checkpoint: str, expiry_ms: int) -> StreamingQuery:
     """Literals of a stream, sent again when they come back after ``expiry_ms`` of event time without them."""
-
-    def send(batch: DataFrame, batch_id: int) -> None:
-        send_expiring_batch(batch, batch_id, path, expiry_ms)
-
-    return records.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return run_batches(records, checkpoint, lambda batch, batch_id: send_expiring_batch(batch, batch_id, path, expiry_ms))
 
 
 def read_expiring_literals(spark: SparkSession, path: str) -> DataFrame:

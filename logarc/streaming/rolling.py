@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.ordering import running_total
 from ..session import materialize
 from ..sources.text_sinks import MEGABYTE
-from .batches import read_batches, write_batch
+from .batches import read_batches, run_batches, write_batch
 
 # One row per source: bytes written so far, and where its last line begins.
 STATE_SCHEMA = T.StructType(
@@ -81,7 +81,7 @@ def stream_rolling_text(
     def add(batch: DataFrame, batch_id: int) -> None:
         roll_batch(batch, batch_id, path, max_bytes, max_files, codec, column)
 
-    return lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return run_batches(lines, checkpoint, add)
 
 
 def read_rolled(spark: SparkSession, path: str) -> DataFrame:

@@ -15,7 +15,7 @@ from ..constants import LINE_HEAD, LINE_TIME_FORMAT
 from ..operators.stitch import LEADING, stitch_events
 from ..session import materialize
 from ..sources.logs import finish_events
-from .batches import read_batches, write_batch
+from .batches import read_batches, run_batches, write_batch
 
 # The log's name, then numbers that order its pieces: "app.log.7" is piece 7 of "app.log".
 PIECE = r"^(.*)\.([0-9]+)$"
@@ -135,7 +135,7 @@ def stream_stitch(lines: DataFrame, path: str, checkpoint: str, pieces: str = PI
     def add(batch: DataFrame, batch_id: int) -> None:
         stitch_batch(batch, batch_id, path, pieces, strip, ts_format)
 
-    return lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return run_batches(lines, checkpoint, add)
 
 
 def read_stitched(spark: SparkSession, path: str, strip: bool = True, ts_format: str = LINE_TIME_FORMAT) -> tuple[DataFrame, DataFrame]:
