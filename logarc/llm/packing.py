@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import dense_ids
-from .bagminhash import components
 from .common import hinted, partitions_for, ranges, stored
 from .encoding import encoded, encoder
 
@@ -26,6 +25,8 @@ PARTITION_BYTES = 64 * 1024 * 1024
 MARKED_DOCS = 128
 # Sorted orders in which documents look for neighbours, min-hashed ids an order sorts by, and rows looked at on each side.
 TREES, DEPTH, NEAR_ROWS = 8, 4, 8
+# Rounds of doubled steps along nearest neighbours.
+FOLLOWED = 5
 
 
 def pack_documents(
@@ -201,16 +202,31 @@ def _nearest(sketches: DataFrame) -> DataFrame:
     return nearest.select("a", F.col("best.b").alias("b"))
 
 
+def _clusters(nearest: DataFrame) -> DataFrame:
+    """``row, root``: rows that come to the same pair of mutual neighbours by following nearest neighbours.
+
+    Steps double in each round, so a path of ``2 ** FOLLOWED`` neighbours is followed; what is
+    further apart begins a cluster of its own, near by in the order of the keys. At most
+    ``4 * TREES * NEAR_ROWS`` rows have one row as their nearest, so no row gathers more than its rounds allow.
+    """
+    first = stored(nearest, "nearest")
+    reached = first
+    for _ in range(FOLLOWED):
+        reached = stored(reached.join(reached.select(F.col("a").alias("b"), F.col("b").alias("further")), "b").select("a", F.col("further").alias("b")), "followed")
+    back = first.select(F.col("a").alias("b"), F.col("b").alias("mate"))
+    return reached.join(back, "b").select(F.col("a").alias("row"), F.least("b", "mate").alias("root"))
+
+
 def _placed(sketches: DataFrame) -> DataFrame:
     """``row, pos``: dense places of all rows, rows connected by nearest neighbours one after the other.
 
     Clusters follow each other by the key of their root, so related clusters are near by
     too; one larger than a shard is cut in the order of its rows' own keys.
     """
-    roots = components(stored(_nearest(sketches), "nearest")).select(F.col("node").alias("row"), "root")
+    roots = _clusters(_nearest(sketches))
     own = sketches.select("row", F.col("keys")[0].alias("key"))
     rooted = stored(own.join(roots, "row", "left").select("row", "key", F.coalesce("root", "row").alias("root")), "clusters")
-    heads = rooted.filter("row = root").select("root", F.col("key").alias("head"))
+    heads = own.select(F.col("row").alias("root"), F.col("key").alias("head"))
     return dense_ids(rooted.join(heads, "root"), ["head", "root", "key", "row"], "pos").select("row", "pos")
 
 

@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from logarc.llm.encoding import WordEncoder, tokenizer_path
-from logarc.llm.packing import _Index, _lay_out, pack_documents
+from logarc.llm.packing import _clusters, _Index, _lay_out, pack_documents
 from logarc.llm.token_counts import context_limits, length_histogram, totals_at
 
 from .fixtures import awkward, doc, empty, frame, prose, words
@@ -84,6 +84,16 @@ def test_copies_of_one_text_fill_many_shards(spark):
     assert found == {p.doc_id: p.doc_tokens for p in pieces} and len(found) == 60
 
 
+def test_clusters_follow_neighbours_and_lose_no_row(spark):
+    near = [(0, 1), (1, 0), (2, 1), (3, 2), (4, 5), (5, 6), (6, 4), (7, 6)]  # a pair with a tail, and a ring with one
+    near += [(100 + i, 101 + i) for i in range(99)] + [(199, 198)]  # longer than what is followed
+    found = {r.row: r.root for r in _clusters(spark.createDataFrame(near, "a long, b long")).collect()}
+    assert set(found) == {a for a, _ in near}
+    assert [found[i] for i in range(4)] == [0] * 4
+    assert {found[i] for i in range(4, 8)} <= {4, 5, 6}
+    assert len({found[100 + i] for i in range(68, 100)}) == 1 and all(found[100 + i] - 100 - i <= 32 for i in range(100))
+
+
 def test_packing_an_empty_table(spark):
     assert pack_documents(empty(spark), tokenizer_path()).collect() == []
 
