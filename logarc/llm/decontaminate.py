@@ -13,8 +13,10 @@ from .common import chunks, hinted, stored, text_key, window_hashes, windows, wo
 
 # Word offsets that count; the others of a seed may be anything.
 SEEDS = [(0, 1, 3, 5, 6), (0, 2, 3, 6, 7), (0, 1, 2, 5, 7), (0, 3, 5, 6, 8)]
-# Items of fewer words can't be told from common phrases and match nothing.
+# Items of fewer words can't be told from common phrases: they are out of scope and match nothing.
 MIN_ITEM_WORDS = 5
+# Shorter items than this are found with any one of their words replaced, which is all that MIN_EQUAL allows them.
+ONE_REPLACED = 8
 # An overlap holds if this many words (or the whole item) lie in one stretch with this share of them equal.
 MIN_OVERLAP = 13
 MIN_EQUAL = 0.8
@@ -22,30 +24,43 @@ MIN_EQUAL = 0.8
 FILTER_BITS = 24
 
 
-def _seed_rows(words, seeds: list[tuple[int, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+Seed = tuple[tuple[int, ...], int | None]
+
+
+def _seed_rows(words, seeds: list[Seed]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each seed: hashes of all its windows and the word they begin at."""
     hashes = words.hashes
-    for offsets in seeds:
+    for offsets, _ in seeds:
         at = windows(words.first, offsets[-1] + 1)
         yield window_hashes(hashes, at, offsets), at
 
 
-def seeds_for(lengths: list[int]) -> list[tuple[int, ...]]:
-    """The spaced seeds, and whole-item seeds for items too short for the longest of them."""
+def seeds_for(lengths: list[int]) -> list[Seed]:
+    """The spaced seeds, and masks of the whole item for the lengths too short for the longest of them.
+
+    Each comes with the number of words of the items it is for (None: all). Items under
+    ``ONE_REPLACED`` words have a mask without each of their words, besides the full one.
+    """
     longest = max(s[-1] + 1 for s in SEEDS)
-    return SEEDS + [tuple(range(n)) for n in sorted(set(lengths)) if MIN_ITEM_WORDS <= n < longest]
+    seeds: list[Seed] = [(offsets, None) for offsets in SEEDS]
+    for n in sorted(set(lengths)):
+        if MIN_ITEM_WORDS <= n < longest:
+            whole = tuple(range(n))
+            seeds.append((whole, n))
+            seeds += [(whole[:k] + whole[k + 1 :], n) for k in range(n) if n < ONE_REPLACED]
+    return seeds
 
 
-def item_seeds(benchmark: DataFrame, seeds: list[tuple[int, ...]], item_id: str, text: str) -> DataFrame:
+def item_seeds(benchmark: DataFrame, seeds: list[Seed], item_id: str, text: str) -> DataFrame:
     """``hash, item_id, at``: all seed hashes of all items."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             words = words_of(batch.column("text"), lower=True)
             size, row = np.diff(words.first), words.row
-            for offsets, (key, at) in zip(seeds, _seed_rows(words, seeds), strict=True):
+            for (_, n), (key, at) in zip(seeds, _seed_rows(words, seeds), strict=True):
                 own = size[row[at]]
-                fits = own >= MIN_ITEM_WORDS if offsets in SEEDS else own == len(offsets)
+                fits = own >= MIN_ITEM_WORDS if n is None else own == n
                 key, at = key[fits], at[fits]
                 items = batch.column("item_id").take(pa.array(row[at]))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), items, pa.array(at - words.first[row[at]])], ["hash", "item_id", "at"])
@@ -59,9 +74,9 @@ def _filter_bits(seeds: DataFrame) -> np.ndarray:
     """Which slots hold an item hash: 2**FILTER_BITS bits, gathered as at most an eighth as many rows."""
     slots = seeds.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("slot"))
     rows = slots.groupBy(F.expr("shiftright(slot, 3)").alias("byte")).agg(F.expr("bit_or(shiftleft(1, int(slot & 7)))").alias("bits"))
+    found = rows.select("byte", F.col("bits").cast("smallint").alias("bits")).toArrow()
     bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
-    for row in rows.collect():
-        bits[row.byte] = row.bits
+    bits[found.column("byte").to_numpy()] = found.column("bits").to_numpy().astype(np.uint8)
     return bits
 
 
@@ -78,8 +93,10 @@ def contaminated_pairs(
     Words are compared in lower case (A-Z). Seed hashes of all items and of all
     documents are joined; each hit gives a diagonal, and on it the longest stretch
     around the hits with a share ``MIN_EQUAL`` of equal words is taken. It counts if it
-    has ``MIN_OVERLAP`` words, or all of a shorter item. Null and empty texts match
-    nothing; rows that repeat give rows that repeat no pair; other columns are ignored.
+    has ``MIN_OVERLAP`` words, or all of a shorter item. Of stretches of one length the first
+    on the smallest diagonal counts, and of overlaps with most equal words the longest. Texts are
+    compared whole, however long. Null and empty texts match nothing; rows that repeat give
+    rows that repeat no pair; other columns are ignored. Empty tables give no rows.
 
     Before the join training hashes pass a bit filter of fixed size, so only those
     near an item hash are shuffled. Hits of one hash in very many documents stay rows
@@ -111,12 +128,13 @@ def contaminated_pairs(
     hits = joined.groupBy("h1", "h2", "item_id", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.lit(1).alias("one"))
     # Diagonals of one text and item: no more than the words of both.
     pairs = stored(hits.groupBy("h1", "h2", "item_id").agg(F.collect_list("diagonal").alias("diagonals")), "seed-pairs")
-    n = pairs.count()
     wording = benchmark.select(benchmark[item_id].alias("of_item"), benchmark[item_text].alias("item_text"))
     with_items = pairs.join(wording, F.col("item_id").eqNullSafe(F.col("of_item"))).drop("of_item")
+    held = F.octet_length("item_text") + F.size("diagonals") * 8 + 96
+    size = with_items.agg(F.coalesce(F.sum(held.cast("long")), F.lit(0)).alias("bytes")).first()["bytes"]
     texts = docs.select(*[k.alias(f"k{i}") for i, k in enumerate(text_key(text))], docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     same = (F.col("h1") == F.col("k0")) & (F.col("h2") == F.col("k1"))
-    candidates = texts.join(hinted(with_items, 600, n), same).select("h1", "h2", "doc_id", "item_id", "diagonals", "text", "item_text")
+    candidates = texts.join(hinted(with_items, 1, size), same).select("h1", "h2", "doc_id", "item_id", "diagonals", "text", "item_text")
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
     return candidates.mapInArrow(
         _verify, f"h1 long, h2 long, doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, n_equal long, n_overlap long, first_word long"

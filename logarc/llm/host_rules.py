@@ -118,7 +118,11 @@ def host_rates(features: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
 
 
 def _prior(docs: int, hosts: int, fails: int, squares: float) -> tuple[float, float]:
-    """Beta parameters with the mean and the spread between hosts; its strength lies between 1 and 1000 documents."""
+    """Beta parameters with the mean and the spread between hosts; its strength lies between 1 and 1000 documents.
+
+    Hosts that differ no more than counting spreads them have no finite strength: the upper
+    bound stands for it. Below 1 the prior would have its mass at the ends instead of its mean.
+    """
     mean = min(max((fails + 0.5) / (docs + 1), 1e-6), 1 - 1e-6)
     spread = squares / docs - (fails / docs) ** 2 if docs else 0.0
     within = mean * (1 - mean) * hosts / docs if docs else 0.0  # what counting alone spreads
@@ -140,6 +144,7 @@ def quality_verdicts(
     A host fails if, for some rule, its shrunk rate is above ``max_rate``; all its
     documents go then. ``host_rate`` is the largest of its rates. Empty and null texts
     have no words and fail the base rule. Repeated rows count each; an empty table gives no rows.
+    Null ids are kept, whole texts are read however long, and other columns are ignored.
     """
     features = stored(document_features(docs, host, text, doc_id), "features")
     rates = stored(host_rates(features, rules), "host-rates")

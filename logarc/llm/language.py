@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, text_bytes
@@ -116,7 +116,9 @@ def fit_languages(
     Document frequencies cover all rows. The centroids come from at most
     ``per_language`` distinct texts of each language that have n-grams, those of smallest
     hash, clustered by cosine on the driver (the bound is that parameter times the number of languages).
-    No rows with a language give a model that answers ``und`` to everything.
+    No rows with a language give a model that answers ``und`` to everything. A text that repeats
+    is sampled once per language; of equal hashes the smaller text comes first. Whole
+    texts are counted, however long. Other columns are ignored.
     """
     rows = labelled.select(labelled[text].alias("text"), labelled[lang].alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     seen, languages = _document_frequencies(rows)
@@ -126,8 +128,9 @@ def fit_languages(
     usable = rows.filter(_usable())
     distinct = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     found, owner, least = [], [], []
+    sampled = _samples(usable, distinct, per_language)
     for number, name in enumerate(names):
-        texts = _sample(usable.filter(F.col("lang") == name), distinct.get(name, 0), per_language)
+        texts = sampled.get(name, [])
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
         parts = [_vectors(_counts(part.column("text")), idf) for part in chunks([batch], "text", rows=FEATURE_ROWS)]
         vectors = np.concatenate(parts) if parts else np.zeros((0, DIMENSIONS), np.float32)
@@ -148,21 +151,29 @@ def _usable(text: str = "text") -> Column:
     return (F.octet_length(text) >= 2) & F.col(text).rlike(r"[A-Za-z]|[^\x00-\x7F]")
 
 
-def _sample(rows: DataFrame, n: int, limit: int) -> list[str]:
-    """At most ``limit`` distinct texts, those of smallest hash; ``n`` is about how many there are.
+def _samples(rows: DataFrame, distinct: dict[str, int], limit: int) -> dict[str, list[str]]:
+    """Of each language at most ``limit`` distinct texts, those of smallest hash, in one pass over all languages.
 
-    A filter on the hash first keeps the sort small; all texts are taken if it leaves too few.
+    ``distinct`` is about how many each has: a cut on the hash lets about twice the limit
+    through, so the texts that are ranked are few however many a language has. A language
+    of which the cut leaves too few is read again, without it.
     """
     key = F.xxhash64("text", F.lit(31))
-
-    def smallest(some: DataFrame) -> list[str]:
-        return [row["text"] for row in some.select("text").distinct().orderBy(key, "text").limit(limit).collect()]
-
-    if n > 2 * limit:
-        found = smallest(rows.filter(key < F.lit(int(-(2**63) + 2 * limit / n * 2**64 * 0.999))))
-        if len(found) == limit:
-            return found
-    return smallest(rows)
+    share = {name: 2 * limit / n if n > 2 * limit else 1.0 for name, n in distinct.items()}
+    cuts = [(name, (1 << 63) - 1 if part == 1.0 else int(-(2**63) + part * 2**64 * 0.999)) for name, part in share.items()]
+    if not cuts:
+        return {}
+    limits = F.broadcast(rows.sparkSession.createDataFrame(cuts, "lang string, cut long"))  # a row per language
+    few = rows.join(limits, "lang").filter(key <= F.col("cut")).select("lang", "text").distinct().withColumn("key", key)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key", "text")).alias("place")
+    out: dict[str, list[str]] = {}
+    for row in few.select("lang", "text", place).filter(F.col("place") <= limit).orderBy("lang", "place").collect():
+        out.setdefault(row["lang"], []).append(row["text"])
+    for name, part in share.items():
+        if part < 1.0 and len(out.get(name, [])) < limit:
+            own = rows.filter(F.col("lang") == name).select("text").distinct().orderBy(key, "text").limit(limit)
+            out[name] = [row["text"] for row in own.collect()]
+    return out
 
 
 def _cluster(vectors: np.ndarray, k: int, random: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -196,7 +207,9 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text",
 
     ``und`` with score 0 if the text is null or has no letter. ``rejected``: that, or
     too far from every centroid to be any of the languages; ``lang_pred`` is the nearest
-    still. A text of fewer than ``REJECT_GRAMS`` n-grams is too short to be far.
+    still. A text of fewer than ``REJECT_GRAMS`` n-grams is too short to be far. Of centroids
+    equally near the first one wins, in the order of the languages' names. Repeated rows are
+    answered each, null ids kept, whole texts read; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -212,7 +225,10 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text",
 
 
 def keep_known_languages(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """The rows that the model doesn't reject, with all their columns; rows pass in place, without a shuffle."""
+    """The rows that the model doesn't reject, with all their columns; rows pass in place, without a shuffle.
+
+    Null texts and texts without a letter are rejected and go; null ids and repeated rows stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

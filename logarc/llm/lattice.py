@@ -224,7 +224,9 @@ def score_texts(
     word frequencies; ``score`` is log10 of the probability of the text as words and
     an end, each word over all its segmentations. Both learn from the rows whose
     crc32(doc_id as text) modulo ``held_out_of`` is not ``held_out`` (a null id
-    counts as empty text). Null text: empty, one end token. Repeated rows count each.
+    counts as empty text). Null text: empty, one end token. Repeated rows count each. A
+    word is scored whole; one of n bytes takes n times the longest piece's length steps.
+    An empty table gives no rows; other columns are ignored.
 
     Texts are dealt into blocks of bounded size; each block's distinct words are
     counted, joined with the corpus counts and sent back to the block, so no frequent

@@ -53,7 +53,8 @@ def pack_documents(
     nothing (the classical idf is not positive) and are not indexed.
 
     Null text: empty, thus one end id. Repeated rows are packed each for itself; a
-    null ``doc_id`` is kept. An empty table gives no rows. Other columns are ignored.
+    null ``doc_id`` is kept. Texts of any length are packed whole. Equally good neighbours go by
+    their order in the shard. An empty table gives no rows. Other columns are ignored.
     """
     coded = encoded(docs, tokenizer, text, doc_id).select("doc_id", "ids", F.monotonically_increasing_id().alias("row"))
     coded = stored(coded, "tokens")

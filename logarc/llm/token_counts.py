@@ -15,6 +15,8 @@ CHUNK = 4096
 def length_histogram(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int | None = None) -> DataFrame:
     """``n_tokens, n_docs``: how many documents have each encoded length. Null text: empty, 0 tokens.
 
+    Repeated rows count each, whole texts are encoded however long, other columns are
+    ignored, and an empty table gives no rows.
     Written once, because the sums over it read it more than once.
     """
     lengths = token_lengths(docs, tokenizer, text, end_id)
