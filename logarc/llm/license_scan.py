@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.explode import explode_each
-from .common import text_key
+from .common import hinted, text_key
 
 # Labels and the wording they are known by, as lower-case words.
 TEMPLATES = [
@@ -40,16 +40,24 @@ def license_words(text: Column) -> Column:
     return F.array_remove(F.split(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", -1), "")
 
 
-def template_positions(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """``gram, template, label, at, grams``: each k-gram of each template by its place. As large as the list above."""
-    rows = []
-    for number, (label, wording) in enumerate(templates):
-        words = wording.split()
-        grams = len(words) - K + 1
-        rows += [(number, label, grams, at, *words[at : at + K]) for at in range(grams)]
-    names = "template int, label string, grams int, at int, " + ", ".join(f"t{i} string" for i in range(K))
-    made = spark.createDataFrame(rows, names)
-    return made.withColumn("gram", F.xxhash64(*[f"t{i}" for i in range(K)]))
+def known_templates(spark: SparkSession) -> DataFrame:
+    """``label, wording`` of the built-in list."""
+    return spark.createDataFrame(TEMPLATES, "label string, wording string")
+
+
+def template_positions(templates: DataFrame) -> DataFrame:
+    """``gram, template, label, at, grams, t0, t1, ...``: each word k-gram of each template by its place.
+
+    ``templates`` is any table of ``label, wording``, with one-line notices or full licence
+    texts. Repeated rows are one template; those of fewer than ``K`` words have no k-gram.
+    """
+    number = F.shiftrightunsigned(F.xxhash64("label", "wording"), 1).alias("template")
+    worded = templates.select("label", "wording").distinct().select(number, "label", license_words(F.col("wording")).alias("words"))
+    worded = worded.filter(F.size("words") >= K).withColumn("grams", F.size("words") - (K - 1))
+    shifted = F.arrays_zip(*[F.slice("words", i + 1, F.col("grams")).alias(f"t{i}") for i in range(K)])
+    rows = explode_each(worded, shifted, "template", "label", "grams", pos="at", item="gram_words")
+    parts = [F.col(f"gram_words.t{i}").alias(f"t{i}") for i in range(K)]
+    return rows.select("template", "label", "grams", "at", *parts).withColumn("gram", F.xxhash64(*[f"t{i}" for i in range(K)]))
 
 
 def _grams(docs: DataFrame, text: str) -> DataFrame:
@@ -69,7 +77,7 @@ def _base(grams: DataFrame) -> DataFrame:
             is_here = is_here & F.col(f"w{i}").eqNullSafe(F.lit(word))
         label = F.when(is_here, F.lit(name)).otherwise(label)
     found = grams.select("h1", "h2", "pos", label.alias("label")).filter(F.col("label").isNotNull())
-    return found.select("h1", "h2", F.lit(-1).alias("template"), "label", F.lit(0).alias("grams"), "pos", F.lit(0).alias("at"))
+    return found.select("h1", "h2", F.lit(-1).cast("long").alias("template"), "label", F.lit(0).alias("grams"), "pos", F.lit(0).alias("at"))
 
 
 def _votes(grams: DataFrame, templates: DataFrame) -> DataFrame:
@@ -78,7 +86,7 @@ def _votes(grams: DataFrame, templates: DataFrame) -> DataFrame:
     equal = F.col("words.gram") == F.col("places.gram")
     for i in range(K):
         equal = equal & (F.col(f"w{i}") == F.col(f"t{i}"))
-    joined = hashed.alias("words").join(F.broadcast(templates.alias("places")), equal)
+    joined = hashed.alias("words").join(hinted(templates, 192).alias("places"), equal)
     return joined.select("h1", "h2", "template", "label", "grams", "pos", "at")
 
 
@@ -106,20 +114,21 @@ def license_spans(votes: DataFrame) -> DataFrame:
     )
 
 
-def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates: DataFrame | None = None) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` of each row.
 
     Base: places where a phrase of ``PHRASES`` stands word for word. ``labels`` adds
     those of templates found by diagonal voting; ``score`` is the best coverage of a
     template, 1 with a base phrase, 0 without any find. Null text: empty; repeated
     rows, null ids and equal texts each keep a row; other columns are ignored.
+    ``templates`` (``label, wording``) takes the place of the built-in list.
 
     Texts are worked on by their 128-bit key, so what is shuffled is the finds alone;
-    the templates are a fixed list, which bounds the broadcast.
+    the templates' positions are broadcast only if their counted number is small.
     """
     grams = _grams(docs, text)
     base = _base(grams)
-    votes = _votes(grams, template_positions(docs.sparkSession))
+    votes = _votes(grams, template_positions(known_templates(docs.sparkSession) if templates is None else templates))
     found = base.unionByName(votes).distinct()  # equal texts give equal rows
     spans = license_spans(found.filter("template >= 0"))
     base_part = found.filter("template < 0").groupBy("h1", "h2").agg(
