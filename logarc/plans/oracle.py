@@ -399,6 +399,7 @@ SELECT source, seq, pos, id FROM vars JOIN variable_dict ON tok = value WHERE ki
     "decode_roundtrip_pages": _plain("pages"),
     "decode_roundtrip_events": _plain("events"),
     "decode_roundtrip_conversations": _plain("conversations"),
+    **{name: f"SELECT *, true AS named FROM ({_plain('documents')})" for name in ("archive_codec_gzip", "archive_level_19", "archive_uncompressed")},
     "inline_roundtrip": _plain("documents"),
     "inline_roundtrip_compact": _plain("events"),
     "decode_encoded": "SELECT 'documents' AS source, doc_id AS seq, text AS msg FROM documents",

@@ -405,6 +405,20 @@ def _archive_round_trip(table: str, mode: str, by_date: bool = False) -> Query:
     return query
 
 
+def _codec_round_trip(codec: str, level: int) -> Query:
+    """Documents through an archive of another codec or level; its file names tell the codec."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        path = scratch_path(spark, f"archive-{codec}-{level}")
+        write_archive(encode(messages(spark, folder, "documents")), path, codec=codec, level=level)
+        archive = read_archive(spark, path)
+        ending = {"gzip": ".gz.parquet", "zstd": ".zstd.parquet", "none": ".parquet"}["none" if level == 0 else codec]
+        named = archive.events.select(F.input_file_name().endswith(ending).alias("named")).agg(F.bool_and("named").alias("named"))
+        return _times_and_text(archive.decode()).withColumn("named", F.lit(named.first()["named"]))
+
+    return query
+
+
 def _inline_round_trip(table: str, mode: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         path = scratch_path(spark, "inline")
@@ -822,6 +836,9 @@ QUERIES: dict[str, Query] = {
     "decode_roundtrip_pages": _archive_round_trip("pages", "compact"),
     "decode_roundtrip_events": _archive_round_trip("events", "standard", by_date=True),
     "decode_roundtrip_conversations": _archive_round_trip("conversations", "int_only"),
+    "archive_codec_gzip": _codec_round_trip("gzip", 3),
+    "archive_level_19": _codec_round_trip("zstd", 19),
+    "archive_uncompressed": _codec_round_trip("zstd", 0),
     "inline_roundtrip": _inline_round_trip("documents", "standard"),
     "inline_roundtrip_compact": _inline_round_trip("events", "compact"),
     "decode_encoded": decode_in_place,
