@@ -19,6 +19,8 @@ BANDS, ROWS = 20, 5
 SMALL_BUCKET = 32
 # Texts that are near no leader are compared by sketches of so many registers, in groups of at most so many texts.
 SKETCH, SKETCH_GROUP = 400, 1000
+# Texts of each side that one task compares at the border of a leader.
+BORDER_BLOCK = 1000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = 2.0**-53
@@ -161,27 +163,23 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 # --- links and classes -------------------------------------------------------
 
 
-def near_links(nodes: DataFrame, texts_of, threshold: float = THRESHOLD) -> DataFrame:
-    """``a, b`` (a < b): verified links between different texts that share a band.
+def near_links(rows: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Verified links ``a, b`` (a < b) between different texts that share a bucket, and ``leader, node, similarity``.
 
+    ``rows`` are ``bucket, node, size, weight``: the bucket's size, and the sizes of all buckets of the node.
     Small buckets are compared in full. In a larger one every text is compared with a
     leader: those similar to it are linked through it and leave. The one to lead is the
     text that meets most others, over all its buckets: the one that near copies were
     made from meets them all, so a group of near copies costs a comparison per text,
     not per pair. Of those left, groups of at most ``SKETCH_GROUP`` are compared by long
     sketches inside a task, which lets through only pairs that may reach the
-    threshold; larger ones go on with leaders, twice as many in each round. Two texts near
-    each other of which just one is near the leader differ from it in the same places;
-    they meet in other, smaller buckets too.
+    threshold; larger ones go on with leaders, twice as many in each round.
+
+    A text that left is not compared with those that stayed. The second table is for
+    the links between them (``_border_links``): all texts compared with a leader, down to
+    the similarity at which one may still be near a text that is near the leader.
     """
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    keyed = banded.select(F.xxhash64("band", "key").alias("bucket"), "node")
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    met = stored(keyed.join(sizes, "bucket"), "met")
-    weights = met.groupBy("node").agg(F.sum("size").alias("weight"))
-    rows = stored(met.join(weights, "node"), "buckets")
-    texts = stored(texts_of(weights.select("node")), "bucket-texts")
-    links, checked, leaders_each = None, None, 1
+    links, checked, leads, leaders_each = None, None, None, 1
     while True:
         most = SKETCH_GROUP if checked is not None else SMALL_BUCKET
         small, large = rows.filter(F.col("size") <= most), rows.filter(F.col("size") > most)
@@ -196,19 +194,112 @@ def near_links(nodes: DataFrame, texts_of, threshold: float = THRESHOLD) -> Data
         ends = [F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")]
         wanted = inside.unionByName(led.select(*ends)).distinct()
         if checked is not None:
-            wanted = wanted.join(checked, ["a", "b"], "left_anti")
+            wanted = wanted.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         fresh = stored(_similar(wanted, texts), "similarities")
-        near, pairs = fresh.filter(F.col("similarity") >= threshold).select("a", "b"), fresh.select("a", "b")
-        links, checked = (near, pairs) if links is None else (links.unionByName(near), checked.unionByName(pairs))
+        checked = fresh if checked is None else checked.unionByName(fresh)
+        links = checked.filter(F.col("similarity") >= threshold).select("a", "b")
+        pairs = led.select("leader", "node").distinct()
+        leads = pairs if leads is None else leads.unionByName(pairs)
         if not leaders.take(1):
-            return links
+            leads = leads.distinct().select("leader", "node", *ends).join(checked, ["a", "b"])
+            return links, leads.filter(F.col("similarity") >= _border(threshold)).select("leader", "node", "similarity")
         rows = stored(_still_open(led, leaders, links), "buckets")
         leaders_each *= 2
 
 
-def _sketched_pairs(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of a bucket whose sketches agree in all but five standard errors of the threshold, or more."""
-    least = threshold - 5 * (threshold * (1 - threshold) / SKETCH) ** 0.5
+def near_roots(nodes: DataFrame, texts_of, threshold: float = THRESHOLD) -> DataFrame:
+    """``node, root`` of every node of ``nodes`` (``node, bands``) that is linked: the smallest node of its class.
+
+    ``texts_of`` gives ``node, text`` of a table of nodes. Classes come from the links of
+    ``near_links``; then the texts at the border of a leader that are in another class are
+    compared with the texts near it, and classes that such a link connects are one.
+    """
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    keyed = banded.select(F.xxhash64("band", "key").alias("bucket"), "node")
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    met = stored(keyed.join(sizes, "bucket"), "met")
+    weights = met.groupBy("node").agg(F.sum("size").alias("weight"))
+    rows = stored(met.join(weights, "node"), "buckets")
+    texts = stored(texts_of(weights.select("node")), "bucket-texts")
+    links, leads = near_links(rows, texts, threshold)
+    roots = stored(components(links), "roots")
+    more = stored(_border_links(leads, roots, texts, threshold), "border-links")
+    if not more.take(1):
+        return roots
+    joined = stored(components(more), "joined").select(F.col("node").alias("root"), F.col("root").alias("to"))
+    alone = joined.select(F.col("root").alias("node"), "root").join(roots.select("node"), "node", "left_anti")
+    return roots.unionByName(alone).join(joined, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+
+
+def _border(threshold: float) -> float:
+    """The least similarity with a leader at which a text may be near one that is near the leader (less a rounding)."""
+    return 2 * threshold - 1 - 1e-9
+
+
+def _border_links(leads: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: roots of classes that are linked by a text near a leader and one that is not.
+
+    One less the weighted Jaccard similarity is a metric, so a text y near a text x that is
+    near the leader L has a similarity of at least ``2 * threshold - 1`` with L, and those of
+    x and y with L differ by at most ``1 - threshold``. What is in the class of L already
+    needs no comparison, which leaves few texts y. They and the texts x near L are cut into blocks
+    of about ``BORDER_BLOCK`` by hash; a task compares the sketches of a pair of blocks,
+    and pairs within five standard errors of the threshold are verified.
+    """
+    reach = 1 - threshold + 1e-9
+    rooted = leads.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    heads = leads.select(F.col("leader").alias("node")).distinct().join(roots, "node", "left")
+    heads = stored(heads.select(F.col("node").alias("leader"), F.coalesce("root", "node").alias("head")), "heads")
+    rooted = stored(rooted.join(hinted(heads, 24), "leader"), "rooted-leads")
+    outside = rooted.filter((F.col("similarity") < threshold) & (F.col("root") != F.col("head")))
+    count = F.ceil(F.count("*") / BORDER_BLOCK).cast("int")
+    fringe = stored(outside.groupBy("leader").agg(F.max("similarity").alias("most"), count.alias("outer")), "fringes")
+    if not fringe.take(1):
+        return fringe.select(F.col("leader").alias("a"), F.col("leader").alias("b"))
+    near = rooted.filter(F.col("similarity") >= threshold).join(hinted(fringe, 24), "leader")
+    near = stored(near.filter(F.col("similarity") <= F.col("most") + reach), "near-leaders")
+    sizes = fringe.join(near.groupBy("leader").agg(count.alias("inner")), "leader").select("leader", "inner", "outer")
+    sizes = stored(sizes, "border-sizes")
+    x = near.select("leader", "node", "similarity", "root").join(hinted(sizes, 16), "leader")
+    y = outside.select("leader", "node", "similarity", "root").join(hinted(sizes, 16), "leader")
+
+    def blocks(rows: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("node"), F.col(own)).cast("int").alias(own)
+        return rows.select("leader", "node", "similarity", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+
+    members = stored(blocks(x, "inner", "outer").unionByName(blocks(y, "outer", "inner")), "border-blocks")
+    sketches = _sketches(texts, members.select("node").distinct())
+    least = _least_agreement(threshold)
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("similarity")
+        node, to_leader = group.column("node").to_numpy(), group.column("similarity").to_numpy()
+        made = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u4").reshape(-1, SKETCH)
+        first = int(np.searchsorted(to_leader, threshold))  # those before are outside, the others near the leader
+        stop = np.searchsorted(to_leader, to_leader[:first] + reach, side="right")
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(first):
+            near = first + np.flatnonzero((made[first : stop[i]] == made[i]).mean(axis=1) >= least)
+            a.append(np.minimum(node[i], node[near]))
+            b.append(np.maximum(node[i], node[near]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    pairs = members.join(sketches, "node").groupBy("leader", "inner", "outer").applyInArrow(compare, "a long, b long").distinct()
+    links = _similar(stored(pairs, "border-pairs"), texts).filter(F.col("similarity") >= threshold)
+    ends = stored(links.select("a", "b"), "border-ends")
+    of_a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
+    of_b = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+    named = ends.join(of_a, "a", "left").join(of_b, "b", "left")
+    return named.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a != b").distinct()
+
+
+def _least_agreement(threshold: float) -> float:
+    """Share of equal registers five standard errors below the threshold."""
+    return threshold - 5 * (threshold * (1 - threshold) / SKETCH) ** 0.5
+
+
+def _sketches(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, sketch`` of the wanted nodes: long signatures, 32 bits of each register."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -217,6 +308,13 @@ def _sketched_pairs(rows: DataFrame, texts: DataFrame, threshold: float) -> Data
             parts = pa.array([x.tobytes() for x in made], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("node"), parts], ["node", "sketch"])
 
+    return stored(texts.join(wanted, "node").select("node", "text").mapInArrow(sketch, "node long, sketch binary"), "sketches")
+
+
+def _sketched_pairs(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a bucket whose sketches agree in all but five standard errors of the threshold, or more."""
+    least = _least_agreement(threshold)
+
     def compare(group: pa.Table) -> pa.Table:
         node = group.column("node").to_numpy()
         made = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u4").reshape(-1, SKETCH)
@@ -228,8 +326,7 @@ def _sketched_pairs(rows: DataFrame, texts: DataFrame, threshold: float) -> Data
         none = [np.zeros(0, np.int64)]
         return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
 
-    wanted = rows.select("node").distinct()
-    sketches = stored(texts.join(wanted, "node").select("node", "text").mapInArrow(sketch, "node long, sketch binary"), "sketches")
+    sketches = _sketches(texts, rows.select("node").distinct())
     return rows.select("bucket", "node").join(sketches, "node").groupBy("bucket").applyInArrow(compare, "a long, b long")
 
 
@@ -298,7 +395,7 @@ def _classes(docs: DataFrame, text: str, threshold: float) -> DataFrame:
         keys = nodes.select("node", "h1", "h2").join(wanted, "node")
         return texts.join(hinted(stored(keys, "wanted"), 24), ["h1", "h2"]).select("node", "text").dropDuplicates(["node"])
 
-    roots = components(near_links(nodes, texts_of, threshold))
+    roots = near_roots(nodes, texts_of, threshold)
     return stored(
         nodes.select("node", "h1", "h2").join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root")), "classes"
     )

@@ -2,9 +2,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from logarc.llm import bagminhash
-from logarc.llm.bagminhash import components, keep_one_of_each, near_duplicates, shingle_bags, signatures, weighted_jaccard
+from logarc.llm.bagminhash import components, keep_one_of_each, near_duplicates, near_roots, shingle_bags, signatures, weighted_jaccard
 
 from .fixtures import awkward, doc, empty, frame, words
 
@@ -76,6 +77,36 @@ def test_large_buckets_go_on_with_new_leaders(spark, monkeypatch):
     assert got == brute_classes(rows)
 
 
+def one_bucket(spark, texts):
+    """Classes of texts that all lie in one bucket, led by the first of them."""
+    nodes = spark.createDataFrame([(i, [7]) for i in range(len(texts))], "node long, bands array<long>")
+    table = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    found = {r.node: r.root for r in near_roots(nodes, lambda wanted: table.join(wanted, "node")).collect()}
+    return [found.get(i, i) for i in range(len(texts))]
+
+
+def test_a_text_near_one_that_left_with_its_leader(spark, monkeypatch):
+    monkeypatch.setattr(bagminhash, "SMALL_BUCKET", 2)
+    base = words(77, 200)
+    texts = [" ".join(base), edited(base, 20, 60, 100), edited(base, 20, 60, 100, 140, 180), " ".join(words(78, 200))]
+    assert jaccard(texts[0], texts[2]) < 0.8 <= min(jaccard(texts[0], texts[1]), jaccard(texts[1], texts[2]))
+    assert one_bucket(spark, texts) == [0, 0, 0, 3]
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_links_at_the_border_of_leaders(spark, monkeypatch, block):
+    monkeypatch.setattr(bagminhash, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(bagminhash, "BORDER_BLOCK", block)
+    random = np.random.default_rng(3)
+    base, texts = words(79, 120), []
+    for _ in range(90):  # edits at 12 places, so that some sets of them are close and most are not
+        texts.append(edited(base, *random.choice(12, random.integers(0, 6), replace=False) * 10))
+    texts = list(dict.fromkeys(texts))
+    wanted = {d: c for d, c, _ in brute_classes(list(enumerate(texts)))}
+    assert len(set(wanted.values())) > 3
+    assert one_bucket(spark, texts) == [wanted[i] for i in range(len(texts))]
+
+
 def test_one_of_each_class_stays(spark):
     rows = corpus()
     wanted = {c for _, c, _ in brute_classes([r for r in rows if bag(r[1])])}
