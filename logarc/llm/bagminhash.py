@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, hinted, mix, ranges, stored, text_key, window_hashes, windows, words_of
+from .common import CHUNK_BYTES, chunks, hinted, mix, ranges, stored, text_key, window_hashes, windows, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -19,7 +19,7 @@ BANDS, ROWS = 20, 5
 SMALL_BUCKET = 32
 # Texts that are near no leader are compared by sketches of so many registers, in groups of at most so many texts.
 SKETCH, SKETCH_GROUP = 400, 1000
-# Texts of each side that one task compares at the border of a leader.
+# Texts of each side, roughly, that are compared at once at the border of a leader.
 BORDER_BLOCK = 1000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -243,63 +243,60 @@ def _border_links(leads: DataFrame, roots: DataFrame, texts: DataFrame, threshol
     near the leader L has a similarity of at least ``2 * threshold - 1`` with L, and those of
     x and y with L differ by at most ``1 - threshold``. What is in the class of L already
     needs no comparison, which leaves few texts y. They and the texts x near L are cut into blocks
-    of about ``BORDER_BLOCK`` by hash; a task compares the sketches of a pair of blocks,
-    and pairs within five standard errors of the threshold are verified.
+    by hash; a task compares a pair of blocks exactly. The texts x are one class, so each
+    y gives one row at most, whether it is near one of them or all.
     """
-    reach = 1 - threshold + 1e-9
     rooted = leads.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = leads.select(F.col("leader").alias("node")).distinct().join(roots, "node", "left")
     heads = stored(heads.select(F.col("node").alias("leader"), F.coalesce("root", "node").alias("head")), "heads")
     rooted = stored(rooted.join(hinted(heads, 24), "leader"), "rooted-leads")
     outside = rooted.filter((F.col("similarity") < threshold) & (F.col("root") != F.col("head")))
-    count = F.ceil(F.count("*") / BORDER_BLOCK).cast("int")
-    fringe = stored(outside.groupBy("leader").agg(F.max("similarity").alias("most"), count.alias("outer")), "fringes")
+    fringe = stored(outside.groupBy("leader").agg(F.max("similarity").alias("most")), "fringes")
     if not fringe.take(1):
         return fringe.select(F.col("leader").alias("a"), F.col("leader").alias("b"))
     near = rooted.filter(F.col("similarity") >= threshold).join(hinted(fringe, 24), "leader")
-    near = stored(near.filter(F.col("similarity") <= F.col("most") + reach), "near-leaders")
-    sizes = fringe.join(near.groupBy("leader").agg(count.alias("inner")), "leader").select("leader", "inner", "outer")
-    sizes = stored(sizes, "border-sizes")
-    x = near.select("leader", "node", "similarity", "root").join(hinted(sizes, 16), "leader")
-    y = outside.select("leader", "node", "similarity", "root").join(hinted(sizes, 16), "leader")
+    near = near.filter(F.col("similarity") <= F.col("most") + 1 - threshold + 1e-9).select(*rooted.columns)
+    members = stored(outside.unionByName(near).join(texts, "node"), "border")
+    is_near = F.col("similarity") >= threshold
 
-    def blocks(rows: DataFrame, own: str, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64("node"), F.col(own)).cast("int").alias(own)
-        return rows.select("leader", "node", "similarity", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+    def blocks(side: Column) -> Column:
+        count, size = F.count(F.when(side, 1)), F.sum(F.when(side, F.octet_length("text")))
+        return F.ceil(F.greatest(count / BORDER_BLOCK, size / CHUNK_BYTES)).cast("int")
 
-    members = stored(blocks(x, "inner", "outer").unionByName(blocks(y, "outer", "inner")), "border-blocks")
-    sketches = _sketches(texts, members.select("node").distinct())
-    least = _least_agreement(threshold)
+    sizes = members.groupBy("leader").agg(blocks(is_near).alias("inners"), blocks(~is_near).alias("outers"))
+    sizes = stored(sizes.filter("inners > 0 AND outers > 0"), "border-sizes")
+    own = F.pmod(F.xxhash64("node"), F.when(is_near, F.col("inners")).otherwise(F.col("outers"))).cast("int").alias("own")
+    others = F.explode(F.sequence(F.lit(0), F.when(is_near, F.col("outers")).otherwise(F.col("inners")) - 1)).alias("other")
+    dealt = members.join(hinted(sizes, 16), "leader").select("leader", "similarity", "root", "head", "text", own, others)
+    inner, outer = (F.when(is_near, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("own", "other", "inner"), ("other", "own", "outer")))
 
     def compare(group: pa.Table) -> pa.Table:
-        group = group.sort_by("similarity")
-        node, to_leader = group.column("node").to_numpy(), group.column("similarity").to_numpy()
-        made = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u4").reshape(-1, SKETCH)
-        first = int(np.searchsorted(to_leader, threshold))  # those before are outside, the others near the leader
-        stop = np.searchsorted(to_leader, to_leader[:first] + reach, side="right")
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in range(first):
-            near = first + np.flatnonzero((made[first : stop[i]] == made[i]).mean(axis=1) >= least)
-            a.append(np.minimum(node[i], node[near]))
-            b.append(np.maximum(node[i], node[near]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    pairs = members.join(sketches, "node").groupBy("leader", "inner", "outer").applyInArrow(compare, "a long, b long").distinct()
-    links = _similar(stored(pairs, "border-pairs"), texts).filter(F.col("similarity") >= threshold)
-    ends = stored(links.select("a", "b"), "border-ends")
-    of_a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
-    of_b = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-    named = ends.join(of_a, "a", "left").join(of_b, "b", "left")
-    return named.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a != b").distinct()
+        similarity = group.column("similarity").to_numpy()
+        row, key, weight = shingle_bags(group.column("text"))
+        n = group.num_rows
+        total, first = np.bincount(row, weight, minlength=n), np.searchsorted(row, np.arange(n + 1))
+        at = np.flatnonzero(similarity[row] >= threshold)
+        at = at[np.argsort(key[at], kind="stable")]
+        keys, owner, counts = key[at], row[at], weight[at]
+        found = []
+        for i in np.flatnonzero(similarity < threshold):
+            mine = slice(first[i], first[i + 1])
+            begin = np.searchsorted(keys, key[mine])
+            size = np.searchsorted(keys, key[mine], side="right") - begin
+            met = np.repeat(begin, size) + ranges(size)
+            both = np.bincount(owner[met], np.minimum(counts[met], np.repeat(weight[mine], size)), minlength=n)
+            if (both / np.maximum(total + total[i] - both, 1) >= threshold).any():
+                found.append(i)
+        ends = group.select(["head", "root"]).take(pa.array(found, pa.int64()))
+        return ends.rename_columns(["a", "b"])
+
+    grouped = dealt.select("leader", inner, outer, "similarity", "root", "head", "text").groupBy("leader", "inner", "outer")
+    return grouped.applyInArrow(compare, "a long, b long").distinct()
 
 
-def _least_agreement(threshold: float) -> float:
-    """Share of equal registers five standard errors below the threshold."""
-    return threshold - 5 * (threshold * (1 - threshold) / SKETCH) ** 0.5
-
-
-def _sketches(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, sketch`` of the wanted nodes: long signatures, 32 bits of each register."""
+def _sketched_pairs(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a bucket whose sketches agree in all but five standard errors of the threshold, or more."""
+    least = threshold - 5 * (threshold * (1 - threshold) / SKETCH) ** 0.5
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -308,13 +305,6 @@ def _sketches(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             parts = pa.array([x.tobytes() for x in made], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("node"), parts], ["node", "sketch"])
 
-    return stored(texts.join(wanted, "node").select("node", "text").mapInArrow(sketch, "node long, sketch binary"), "sketches")
-
-
-def _sketched_pairs(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of a bucket whose sketches agree in all but five standard errors of the threshold, or more."""
-    least = _least_agreement(threshold)
-
     def compare(group: pa.Table) -> pa.Table:
         node = group.column("node").to_numpy()
         made = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u4").reshape(-1, SKETCH)
@@ -326,7 +316,8 @@ def _sketched_pairs(rows: DataFrame, texts: DataFrame, threshold: float) -> Data
         none = [np.zeros(0, np.int64)]
         return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
 
-    sketches = _sketches(texts, rows.select("node").distinct())
+    wanted = rows.select("node").distinct()
+    sketches = stored(texts.join(wanted, "node").select("node", "text").mapInArrow(sketch, "node long, sketch binary"), "sketches")
     return rows.select("bucket", "node").join(sketches, "node").groupBy("bucket").applyInArrow(compare, "a long, b long")
 
 
