@@ -71,32 +71,34 @@ def with_segments(encoded: DataFrame, variables: int = SEGMENT_VARIABLES, broadc
     return joined.withColumn("segment", F.array_max(begun)["_segment"]).drop("_chunk", "_mid", "_marks")
 
 
-def segment_dictionary(occurrences: DataFrame, name: str) -> DataFrame:
+def segment_dictionary(occurrences: DataFrame, name: str, long_entries: bool = False) -> DataFrame:
     """``(segment, id, digest, value, n)`` of occurrences ``(segment, value, first)``; ids by first occurrence in the segment.
 
     A segment that needs more ids than there are, which takes one event with more
-    different variables than that, raises an error, and so does an entry of over 65,535 bytes.
+    different variables than that, raises an error, and so does an entry of over 65,535 bytes
+    unless ``long_entries`` are allowed: only the exported form has 16-bit lengths.
     """
     distinct = occurrences.groupBy("segment", "value").agg(F.min("first").alias("first"), F.count("*").alias("n"))
     # A segment has a bounded number of entries, so this window is bounded too.
     number = F.row_number().over(Window.partitionBy("segment").orderBy("first", "value")) - 1
     many = F.raise_error(F.lit(f"{name}: more than {COMPACT_MAX_ID + 1} entries in one segment")).cast("int")
     long = F.raise_error(F.concat(F.lit(f"{name}: an entry is over {ENTRY_MAX_BYTES} bytes: "), F.left("value", F.lit(40)))).cast("int")
-    fits = F.when(F.octet_length("value") > ENTRY_MAX_BYTES, long).when(F.col("_number") > COMPACT_MAX_ID, many).otherwise(F.col("_number"))
+    fits = F.when(F.col("_number") > COMPACT_MAX_ID, many).otherwise(F.col("_number"))
+    if not long_entries:
+        fits = F.when(F.octet_length("value") > ENTRY_MAX_BYTES, long).otherwise(fits)
     return distinct.withColumn("_number", number).select(
         "segment", fits.cast("bigint").alias("id"), digest(F.col("value")).alias("digest"), "value", "n"
     )
 
 
-def segment_logtypes(encoded: DataFrame) -> DataFrame:
+def segment_logtypes(encoded: DataFrame, long_entries: bool = False) -> DataFrame:
     """Dictionary of the templates of each segment."""
     found = encoded.select("segment", F.col("logtype").alias("value"), first_seen(F.col("seq"), F.lit(0)).alias("first"))
-    return segment_dictionary(found.where("value IS NOT NULL"), "logtypes")
+    return segment_dictionary(found.where("value IS NOT NULL"), "logtypes", long_entries)
 
 
-def segment_variables(encoded: DataFrame) -> DataFrame:
+def segment_variables(encoded: DataFrame, long_entries: bool = False) -> DataFrame:
     """Dictionary of the variables of each segment."""
     found = explode_each(encoded, F.col("vars"), "segment", "seq").where(F.col("v.kind") == DICT_KIND)
-    return segment_dictionary(
-        found.select("segment", F.col("v.text").alias("value"), first_seen(F.col("seq"), F.col("pos")).alias("first")), "variables"
-    )
+    values = found.select("segment", F.col("v.text").alias("value"), first_seen(F.col("seq"), F.col("pos")).alias("first"))
+    return segment_dictionary(values, "variables", long_entries)

@@ -82,16 +82,19 @@ def inline_form(encoded: DataFrame) -> DataFrame:
     return encoded.withColumn("vars", slim)
 
 
-def build_archive(encoded: DataFrame, compact: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> Archive:
+def build_archive(
+    encoded: DataFrame, compact: bool = False, broadcast_bytes: int = BROADCAST_BYTES, long_entries: bool = False
+) -> Archive:
     """Columnar form of encoded events.
 
     The encoded events are written once and read three times: for each
-    dictionary only its own column, and once for the ids.
+    dictionary only its own column, and once for the ids. ``long_entries`` lets the compact form
+    hold entries of over 65,535 bytes, which :func:`export_dictionary` cannot write.
     """
-    return _with_dictionaries(inline_form(encoded), lambda df, name: materialize(df, name), compact, broadcast_bytes)
+    return _with_dictionaries(inline_form(encoded), lambda df, name: materialize(df, name), compact, broadcast_bytes, long_entries)
 
 
-def _with_dictionaries(encoded: DataFrame, keep, compact: bool, broadcast_bytes: int) -> Archive:
+def _with_dictionaries(encoded: DataFrame, keep, compact: bool, broadcast_bytes: int, long_entries: bool) -> Archive:
     """Ids of the whole archive, or in the compact form those of each segment."""
     if not compact:
         base = materialize(encoded, "encoded")
@@ -99,7 +102,8 @@ def _with_dictionaries(encoded: DataFrame, keep, compact: bool, broadcast_bytes:
         variables = keep(variable_dictionary(base), "variables")
         return Archive(attach_ids(base, logtypes, variables, broadcast_bytes), logtypes, variables)
     base = materialize(with_segments(encoded, broadcast_bytes=broadcast_bytes), "segmented")
-    logtypes, variables = keep(segment_logtypes(base), "logtypes"), keep(segment_variables(base), "variables")
+    logtypes = keep(segment_logtypes(base, long_entries), "logtypes")
+    variables = keep(segment_variables(base, long_entries), "variables")
     events = attach_ids(base, logtypes, variables, broadcast_bytes)
     return Archive(events.withColumn("vars", F.col("vars").cast("array<int>")), logtypes, variables, compact)
 
@@ -112,20 +116,21 @@ def write_archive(
     level: int = 3,
     by_date: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
+    long_entries: bool = False,
 ) -> Archive:
     """Write encoded events as a columnar Parquet archive and open it.
 
     Level 0 writes uncompressed files. The dictionaries are written first and
     joined from there; the ``info`` table comes last and marks the archive
     whole. Events are range partitioned by ``(source, seq)``, so a source that
-    holds most events still spreads out.
+    holds most events still spreads out. ``long_entries``: see :func:`build_archive`.
     """
     spark, options = encoded.sparkSession, codec_options(codec, level)
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         return _keep_dictionary(df, f"{path}/{name}", options)
 
-    archive = _with_dictionaries(inline_form(encoded), keep, compact, broadcast_bytes)
+    archive = _with_dictionaries(inline_form(encoded), keep, compact, broadcast_bytes, long_entries)
     events, order = archive.events, ["source", "seq"]
     if by_date:
         events, order = events.withColumn("date", F.to_date("ts")), ["date", "source", "seq"]

@@ -398,7 +398,7 @@ def _archive_round_trip(table: str, mode: str, by_date: bool = False) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         path = scratch_path(spark, "archive")
         encoded = encode(messages(spark, folder, table), mode=mode)
-        write_archive(encoded, path, compact=mode == "compact", by_date=by_date)
+        write_archive(encoded, path, compact=mode == "compact", by_date=by_date, long_entries=True)
         decoded = read_archive(spark, path).decode()
         return decoded.select("source", "seq", F.unix_millis("ts").alias("ts_ms"), "msg")
 
@@ -459,7 +459,8 @@ def row_major_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 def row_major_text_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Text of a row-major archive, from its own files alone."""
     path = scratch_path(spark, "row-major-text")
-    write_row_major(build_archive(encode(messages(spark, folder, "pages"), mode="compact"), compact=True), path, id_bytes=2)
+    encoded = encode(messages(spark, folder, "pages"), mode="compact")
+    write_row_major(build_archive(encoded, compact=True, long_entries=True), path, id_bytes=2)
     return _times_and_text(read_row_major(spark, path).decode())
 
 

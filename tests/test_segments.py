@@ -97,6 +97,16 @@ def test_an_event_too_wide_for_any_segment_raises(spark):
         build_archive(encode(one, mode="compact"), compact=True)
 
 
+def test_long_entries_come_back_where_they_are_allowed(spark, tmp_path):
+    rows = [("s", 0, "<p>" * 30_000 + " id=7x"), ("s", 1, "job=" + "w" * 70_000), ("s", 2, "job=w 3")]
+    plain = spark.createDataFrame(rows, "source string, seq bigint, msg string").withColumn("ts", F.timestamp_seconds("seq"))
+    coded, path = encode(plain, mode="compact"), str(tmp_path / "long")
+    written = write_archive(coded, path, compact=True, long_entries=True)
+    write_row_major(build_archive(coded, compact=True, long_entries=True), f"{path}-rows", id_bytes=2)
+    for archive in (written, read_row_major(spark, f"{path}-rows")):
+        assert sorted((r.source, r.seq, r.msg) for r in archive.decode().collect()) == rows
+
+
 def test_no_events(spark):
     none = events(spark).limit(0)
     assert build_archive(encode(none, mode="compact"), compact=True).decode().collect() == []
