@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,11 +141,41 @@ def dedup_records(records: DataFrame, mode: str = "separate") -> DataFrame:
         .withColumn("first", F.when(F.col("digest").isNotNull(), F.col("_first").isNotNull()))
         .drop("place", "_first")
     )
+    return _as_sent(seen, mode).select(records.columns)
+
+
+def ordered_records(records: DataFrame, mode: str = "separate", files: int | None = None) -> DataFrame:
+    """:func:`dedup_records` in stream order: ranges of whole events, each sorted.
+
+    The first places go into the range partitioning as rows of their own, which meet their records in
+    the sorted range; so the stream is shuffled and sorted once, and a content in most records gathers nowhere.
+    """
+    order, count = ["source", "seq"], [] if files is None else [files]
+    if mode not in DEDUP_MODES or mode == "none":
+        stream = dedup_records(records, mode).repartitionByRange(*count, *order)
+        return stream.sortWithinPartitions(*RECORD_KEY)
+    kinds = [] if mode == "shared" else ["op"]
+    place = first_seen(F.col("seq"), F.col("pos"))
+    firsts = materialize(
+        records.where("digest is not null").groupBy("source", *kinds, "digest").agg(F.min(place).alias("place")).select("source", "place"),
+        "first-places",
+    )
+    step = F.lit(1 << 31).cast("decimal(10,0)")
+    seq = F.floor(F.col("place") / step)
+    marks = firsts.select(
+        "source", seq.cast("bigint").alias("seq"), (F.col("place") - seq * step).cast("int").alias("pos"), F.lit(True).alias("_mark")
+    )
+    met = records.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    at_place = Window.partitionBy(*RECORD_KEY)
+    ranged = met.repartitionByRange(*count, *order).withColumn("_first", F.max("_mark").over(at_place)).where("NOT _mark")
+    seen = ranged.withColumn("first", F.when(F.col("digest").isNotNull(), F.col("_first")))
+    return _as_sent(seen, mode).select(records.columns)
+
+
+def _as_sent(seen: DataFrame, mode: str) -> DataFrame:
     if mode == "marked":
-        out = seen.withColumn("digest", F.lit(None).cast("binary"))
-    else:
-        out = seen.withColumn("literal", F.when(F.col("first"), F.col("literal")))
-    return out.select(records.columns)
+        return seen.withColumn("digest", F.lit(None).cast("binary"))
+    return seen.withColumn("literal", F.when(F.col("first"), F.col("literal")))
 
 
 def record_marker(mode: str) -> Column:

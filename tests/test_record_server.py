@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logarc.constants import DEDUP_MODES
 from logarc.functions.digests import digest
 from logarc.operators.encode import encode
-from logarc.operators.records import RECORD_SCHEMA, dedup_records, to_records
+from logarc.operators.records import RECORD_SCHEMA, dedup_records, ordered_records, to_records
 from logarc.plans.archive import build_archive
 from logarc.sources.records import read_records, stream_records, write_records
 from logarc.streaming.archive import (
@@ -175,3 +175,12 @@ def test_records_read_back(spark, tmp_path):
     path = str(tmp_path / "records")
     write_records(to_records(encode(events(spark, 5))), path, "none")
     assert read_records(spark, path).schema == RECORD_SCHEMA
+
+
+@pytest.mark.parametrize("mode", ["shared", "separate", "marked"])
+def test_written_records_are_shuffled_once(spark, mode):
+    records = to_records(encode(events(spark, 40))).localCheckpoint()
+    ordered = ordered_records(records, mode)
+    plan = ordered._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, ordered.collect())) == sorted(map(str, dedup_records(records, mode).collect()))
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
