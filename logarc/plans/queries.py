@@ -37,7 +37,7 @@ from ..operators.report import ir_compressed_report, ir_size_report, logtype_sta
 from ..operators.stitch import split_timestamp, stitch_events, strip_trailing
 from ..session import materialize, scratch_path
 from ..sources.logs import parse_lines_fixed, parse_logs
-from ..sources.records import RECORD_SCHEMA, read_records, stream_records, write_records
+from ..sources.records import read_records, stream_records, write_records
 from ..sources.synthetic import synthetic_columns, synthetic_logs
 from ..sources.text_sinks import read_text, read_zstd_column, rolling_files, write_rolling_text, write_text, write_zstd_column
 from ..streaming.archive import append_archive, read_stream_archive, stream_archive, stream_records_archive
@@ -597,20 +597,11 @@ def format_sizes(spark: SparkSession, folder: str) -> DataFrame:
 # --- streams -----------------------------------------------------------------
 
 
-def _event_stream(spark: SparkSession, folder: str, batches: int = 1) -> DataFrame:
-    """The events as a stream; with several batches, of files written in the order of their ids."""
+def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as a stream."""
     events = read_table(spark, folder, "events")
-    source, name = folder, "events.parquet"
-    if batches > 1:
-        source, name = scratch_path(spark, "event-files"), "*.parquet"
-        last = events.agg(F.max("event_id").alias("last")).first().last or 0
-        for k in range(batches):
-            part = events.where(F.floor(F.col("event_id") * batches / (last + 1)) == k)
-            part.write.mode("append").parquet(source)
-    files = spark.readStream.schema(events.schema).option("pathGlobFilter", name)
-    if batches > 1:
-        files = files.option("maxFilesPerTrigger", 1)
-    return event_logs(files.parquet(source)).select("source", "seq", "ts", "msg")
+    files = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet")
+    return event_logs(files.parquet(folder)).select("source", "seq", "ts", "msg")
 
 
 def streamed_encode(spark: SparkSession, folder: str) -> DataFrame:
@@ -645,8 +636,11 @@ def streamed_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def streamed_dictionary(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "stream-dictionary")
-    uses = variable_occurrences(encode(_event_stream(spark, folder, batches=3)))
-    stream_dictionary(uses, path, f"{path}-progress").awaitTermination()
+
+    def run(events: DataFrame) -> None:
+        stream_dictionary(variable_occurrences(encode(events)), path, f"{path}-progress").awaitTermination()
+
+    _in_three_runs(spark, folder, run)
     return read_stream_dictionary(spark, path).select("id", "value", "n")
 
 
@@ -714,40 +708,50 @@ def streamed_literals(spark: SparkSession, folder: str) -> DataFrame:
 def streamed_new_literals(spark: SparkSession, folder: str) -> DataFrame:
     """The same, told apart batch by batch against the literals already sent."""
     path = scratch_path(spark, "stream-new")
-    records = to_records(encode(_event_stream(spark, folder, batches=3)))
-    stream_new_literals(records, path, f"{path}-progress").awaitTermination()
+
+    def run(events: DataFrame) -> None:
+        stream_new_literals(to_records(encode(events)), path, f"{path}-progress").awaitTermination()
+
+    _in_three_runs(spark, folder, run)
     return read_sent_literals(spark, path).select("source", _long("op"), _hex("digest"), "literal")
 
 
 def streamed_archive(spark: SparkSession, folder: str) -> DataFrame:
     """Events appended to a columnar archive in three batches, decoded."""
     path = scratch_path(spark, "stream-archive")
-    stream_archive(_event_stream(spark, folder, batches=3), path, f"{path}-progress").awaitTermination()
+    _in_three_runs(spark, folder, lambda events: stream_archive(events, path, f"{path}-progress").awaitTermination())
     return _times_and_text(read_stream_archive(spark, path).decode())
 
 
 def streamed_archive_columns(spark: SparkSession, folder: str) -> DataFrame:
     """Records of the events, written batch by batch and turned into an archive as they come."""
     path = scratch_path(spark, "stream-record-archive")
-    records = to_records(encode(_event_stream(spark, folder, batches=3)))
-    write_stream(records, f"{path}-records", f"{path}-sent").awaitTermination()
-    arriving = spark.readStream.schema(RECORD_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{path}-records")
-    stream_records_archive(arriving, path, f"{path}-progress").awaitTermination()
+
+    def run(events: DataFrame) -> None:
+        write_stream(to_records(encode(events)), f"{path}-records", f"{path}-sent").awaitTermination()
+        stream_records_archive(stream_records(spark, f"{path}-records"), path, f"{path}-progress").awaitTermination()
+
+    _in_three_runs(spark, folder, run)
     return _times_and_text(read_stream_archive(spark, path).decode())
 
 
+# Files that the records of each event are dealt out to.
+_CUT_FILES = 96
+
+
 def _served_archive(mode: str, cut: bool = False) -> Query:
-    """A written record stream, taken in a file a batch; ``cut`` deals the records of each event out to all files."""
+    """A written record stream, taken in three batches of files; ``cut`` deals the records of each event out to all files."""
 
     def query(spark: SparkSession, folder: str) -> DataFrame:
         path = scratch_path(spark, "served")
         records = to_records(encode(messages(spark, folder, "events")))
         if cut:
-            dealt = dedup_records(materialize(records, "records"), mode).repartition(3, "source", "seq", "pos")
-            dealt.write.parquet(f"{path}-records")
+            dealt = dedup_records(materialize(records, "records"), mode)
+            dealt.repartition(_CUT_FILES, "source", "seq", "pos").write.parquet(f"{path}-records")
         else:
-            write_records(records, f"{path}-records", mode, files=3)
-        arriving = stream_records(spark, f"{path}-records", files_per_batch=1)
+            write_records(records, f"{path}-records", mode)
+        files = len(read_records(spark, f"{path}-records").inputFiles())
+        arriving = stream_records(spark, f"{path}-records", files_per_batch=-(-files // 3) or 1)
         stream_records_archive(arriving, path, f"{path}-progress").awaitTermination()
         return _times_and_text(read_stream_archive(spark, path).decode())
 

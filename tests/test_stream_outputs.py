@@ -92,3 +92,23 @@ def test_stored_bytes_are_those_of_the_files(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "a.bin").write_bytes(b"12345")
     assert stored_bytes(spark, str(tmp_path / "x")) == 5
+
+
+def test_a_table_of_many_files_comes_in_three_batches_in_the_order_of_its_ids(spark, tmp_path, monkeypatch):
+    """Four files, whose parts would be batches of their own: ids are those of one dictionary of all events."""
+    from logarc.operators.dictionary import variable_dictionary
+    from logarc.operators.encode import encode
+    from logarc.plans import queries
+    from logarc.plans.tables import messages
+
+    made = spark.range(400).selectExpr(
+        "id AS event_id", "timestamp_seconds(id) AS ts", "pmod(id * 37, 400) AS user_id", "'view' AS event_type", "0.5D AS value", "'{}' AS props"
+    )
+    folder = str(tmp_path)
+    made.repartition(4).write.parquet(f"{folder}/events.parquet")
+    monkeypatch.setattr(queries, "scratch_path", lambda spark, label: f"{folder}/{label}")
+    found = {r.value: r.id for r in queries.streamed_dictionary(spark, folder).collect()}
+    wanted = variable_dictionary(encode(messages(spark, folder, "events")))
+    assert found == {r.value: r.id for r in wanted.collect()}
+    queries.streamed_new_literals(spark, folder)
+    assert sorted(p.name for p in (tmp_path / "stream-new").glob("batch=*")) == ["batch=0", "batch=1", "batch=2"]
