@@ -47,7 +47,9 @@ def upsert_batch(values: DataFrame, batch_id: int, path: str) -> DataFrame:
     counted = materialize(distinct_values(values).withColumn("digest", digest(F.col("value"))), "batch-values")
     wanted = prefixes(counted)
     known = entries.read(before, wanted).select(digest(F.col("value")).alias("digest"), "id")
-    placed = materialize(counted.join(known, "digest", "left"), "batch-known")
+    placed = counted.join(known, "digest", "left")
+    if before.next_id:  # of a table without entries nothing is known, and the values are stored already
+        placed = materialize(placed, "batch-known")
     fresh = number_values(placed.where("id IS NULL").drop("id"), before.next_id)
     added = placed.where("id IS NULL").count()
     entries.append(fresh.select("id", "value"), added, batch_id, before, before.next_id + added)

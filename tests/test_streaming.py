@@ -99,3 +99,15 @@ def test_growing_archive_appends_and_replays(spark, tmp_path):
     assert events == [(0, "job=abc 1"), (1, "job=xyz 2"), (10, "job=xyz 0.5"), (11, "job=new 7"), (12, "plain")]
     append_batch(coded(*second, start=10), 1, path)
     assert state() == (entries, events)
+
+
+def test_values_of_a_first_batch_are_stored_once(spark, tmp_path, monkeypatch):
+    from logarc.streaming import dictionary
+
+    labels, store = [], dictionary.materialize
+    monkeypatch.setattr(dictionary, "materialize", lambda df, label: labels.append(label) or store(df, label))
+    rows = spark.createDataFrame([("cy", 1), ("bob", 0)], "value string, first bigint").withColumn("first", F.col("first").cast("decimal(38,0)"))
+    for batch_id in (0, 1):
+        upsert_batch(rows, batch_id, str(tmp_path / "dict"))
+    assert labels == ["batch-values", "batch-values", "batch-known"]
+    assert {r.value: (r.id, r.n) for r in read_stream_dictionary(spark, str(tmp_path / "dict")).collect()} == {"bob": (0, 2), "cy": (1, 2)}
