@@ -39,17 +39,32 @@ def encode_int32(token: Column) -> Column:
     return F.when(_canonical(token, 10), F.when(value.between(*_INT32), value))
 
 
-def _encode_decimal(token: Column, layout: dict) -> Column:
-    most, bits, limit = layout["max_digits"], layout["field_bits"], layout["digit_limit"]
+def _pack_decimal(token: Column, layout: dict) -> Column:
+    """Packed form of a token that is known to fit the layout."""
+    bits = layout["field_bits"]
     digits = F.translate(token, "-.", "")
-    amount = digits.cast("bigint")
     after_point = F.length(token) - F.instr(token, ".")
     packed = (
-        F.shiftleft(amount, 2 * bits)
+        F.shiftleft(digits.cast("bigint"), 2 * bits)
         .bitwiseOR(F.shiftleft((F.length(digits) - 1).cast("bigint"), bits))
         .bitwiseOR((after_point - 1).cast("bigint"))
     )
-    signed = F.when(token.startswith("-"), packed.bitwiseOR(F.lit(layout["sign"]).cast("bigint"))).otherwise(packed)
+    return F.when(token.startswith("-"), packed.bitwiseOR(F.lit(layout["sign"]).cast("bigint"))).otherwise(packed)
+
+
+def pack_decimal64(token: Column) -> Column:
+    return _pack_decimal(token, DECIMAL64)
+
+
+def pack_decimal32(token: Column) -> Column:
+    return _pack_decimal(token, DECIMAL32)
+
+
+def _encode_decimal(token: Column, layout: dict) -> Column:
+    most, limit = layout["max_digits"], layout["digit_limit"]
+    digits = F.translate(token, "-.", "")
+    amount = digits.cast("bigint")
+    signed = _pack_decimal(token, layout)
     # The length test comes first: it is cheap and keeps the cast below in range.
     fits = (
         token.contains(".")

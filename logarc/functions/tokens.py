@@ -1,14 +1,16 @@
 """Tokenizing and classifying: which parts of a message are variables.
 
-One regular-expression pass marks every variable in the text. The marked text
-is cut at the marks with a plain split, so a message is scanned once however
-many variables it holds. Lambdas only ever see one array element: a computed
-array is handed over as an argument and never named inside a lambda, because
-an inlined array would be computed again for every element.
+One regular-expression pass marks every variable in the text, by its kind, so a
+message is scanned a fixed number of times however many variables it holds.
+Lambdas only ever see one array element: a computed array is handed over as an
+argument and never named inside a lambda, because an inlined array would be
+computed again for every element.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,7 +26,16 @@ from ..constants import (
     RAW_MARK,
     TOKEN_PUNCTUATION,
 )
-from .numbers import encode_decimal32, encode_decimal64, encode_int32, encode_int64
+from .numbers import (
+    DECIMAL32,
+    DECIMAL64,
+    encode_decimal32,
+    encode_decimal64,
+    encode_int32,
+    encode_int64,
+    pack_decimal32,
+    pack_decimal64,
+)
 
 _TOKEN = TOKEN_PUNCTUATION + LETTERS + DIGITS
 _NOT_DIGIT = TOKEN_PUNCTUATION + LETTERS
@@ -38,9 +49,11 @@ _AFTER_EQUALS = f"(?<==)[{TOKEN_PUNCTUATION}]*+[{LETTERS}][{_TOKEN}]*+"
 # A variable together with the one delimiter in front of it. Starting on the
 # delimiter makes the matcher drop every character inside a word with a single
 # table lookup; the text gets one delimiter put in front so this always holds.
-VARIABLE_REGEX = f"([^{_TOKEN}])({_HAS_DIGIT}|{_HEX_WORD}|{_AFTER_EQUALS})"
+_VARIABLE = f"{_HAS_DIGIT}|{_HEX_WORD}|{_AFTER_EQUALS}"
+VARIABLE_REGEX = f"([^{_TOKEN}])({_VARIABLE})"
 
-_BEGIN, _END = chr(DICT_KIND), chr(DECIMAL_KIND)
+_INT, _DICT, _DECIMAL = chr(INT_KIND), chr(DICT_KIND), chr(DECIMAL_KIND)
+_MARKS = _INT + _DICT + _DECIMAL
 
 
 def tokenize(text: Column) -> Column:
@@ -118,63 +131,76 @@ def _encoders(mode: str):
     }[mode]
 
 
-def message_parts(text: Column, mode: str = "standard") -> Column:
-    """The message cut before each variable.
+def _at_most(limit: int, first: int = 0, gap: str = "") -> str:
+    """Pattern of the numbers of as many digits as ``limit`` that are not above it; ``gap`` may stand before each digit."""
+    digits = [f"{gap}{d}" for d in str(limit)]
+    rest = [f"(?:{gap}[0-9]){{{len(digits) - 1 - i}}}" for i in range(len(digits))]
+    below = [
+        "".join(digits[:i]) + f"{gap}[{low}-{int(d) - 1}]" + rest[i]
+        for i, d in enumerate(str(limit))
+        if (low := 0 if i else first) < int(d)
+    ]
+    return "|".join([*below, "".join(digits)])
 
-    ``ARRAY<STRUCT<text, tail, enc>>``: the first element has no variable and
-    holds the constant text in front; each later one is a variable, the constant
-    text that follows it and its number, if it has one.
-    """
-    number, decimal = _encoders(mode)
 
-    def encoded(token: Column) -> Column:
-        return number(token) if decimal is None else F.coalesce(number(token), decimal(token))
-
-    marked = F.regexp_replace(F.concat(F.lit("\n"), as_text(text)), VARIABLE_REGEX, f"$1{_BEGIN}$2{_END}")
-    pieces = F.split(F.substr(marked, F.lit(2)), _BEGIN)
-    cut = F.transform(
-        pieces,
-        lambda piece, i: F.struct(
-            F.when(i > 0, F.substring_index(piece, _END, 1)).alias("text"),
-            F.substring_index(piece, _END, -1).alias("tail"),
-        ),
-    )
-    return F.transform(
-        cut,
-        lambda p: F.struct(p["text"].alias("text"), p["tail"].alias("tail"), encoded(p["text"]).alias("enc")),
-    )
+def _int_regex(bits: int) -> str:
+    """Integer tokens without plus sign and zero padding that fit in so many bits; no ``-0``."""
+    most = (1 << (bits - 1)) - 1
+    return f"(?:0|-?[1-9][0-9]{{0,{len(str(most)) - 2}}}|-?(?:{_at_most(most, first=1)})|-{most + 1})(?![{_TOKEN}])"
 
 
-def _kind(part: Column) -> Column:
-    """Kind of an encoded variable: of the two numeric ones, only a decimal has a point."""
-    return (
-        F.when(part["enc"].isNull(), F.lit(DICT_KIND))
-        .when(part["text"].contains("."), F.lit(DECIMAL_KIND))
-        .otherwise(F.lit(INT_KIND))
-    )
+def _decimal_regex(layout: dict) -> str:
+    """Decimal tokens with digits behind the one point, as many in all as the layout holds."""
+    most, limit = layout["max_digits"], layout["digit_limit"]
+    point = rf"[0-9]*+\.[0-9]++(?![{_TOKEN}])"
+    if limit is None:
+        return rf"-?(?=[0-9.]{{2,{most + 1}}}(?![{_TOKEN}])){point}"
+    within = _at_most(limit - 1, gap=r"\.?")
+    return rf"-?(?={point})(?:[0-9.]{{2,{most}}}|{within})(?![{_TOKEN}])"
 
 
-def parts_logtype(parts: Column) -> Column:
-    """Template text of :func:`message_parts`."""
-    mark = {kind: F.lit(chr(kind)) for kind in (INT_KIND, DICT_KIND, DECIMAL_KIND)}
-    pieces = F.transform(
-        parts,
-        lambda p: F.when(p["text"].isNull(), p["tail"])
-        .when(p["enc"].isNull(), F.concat(mark[DICT_KIND], p["tail"]))
-        .when(p["text"].contains("."), F.concat(mark[DECIMAL_KIND], p["tail"]))
-        .otherwise(F.concat(mark[INT_KIND], p["tail"])),
-    )
-    return F.array_join(pieces, "")
+_NEVER = "(?!)"
+_INTEGERS = {"int_only": _int_regex(64), "standard": _int_regex(64), "compact": _int_regex(32)}
+_DECIMALS = {"int_only": _NEVER, "standard": _decimal_regex(DECIMAL64), "compact": _decimal_regex(DECIMAL32)}
+# Fields of a variable in a marked message: number, decimal, entry. Marks of empty fields stand together, so
+# what is in front of a variable tells its kind. In a message 0x10 is only followed by 0x14 to 0x18, so _END is not in it.
+_AS_INT, _AS_DECIMAL, _AS_ENTRY, _END = _INT, _INT + _DECIMAL, _INT + _DECIMAL + _DICT, "\x10e"
 
 
-def parts_variables(parts: Column) -> Column:
-    """``ARRAY<STRUCT<kind, text, enc>>`` of :func:`message_parts`."""
-    return F.transform(
-        F.slice(parts, 2, F.size(parts)),
-        lambda p: F.struct(_kind(p).cast("tinyint").alias("kind"), p["text"].alias("text"), p["enc"].alias("enc")),
-    )
+def marked_message(text: Column, mode: str = "standard") -> Column:
+    """The message after one line break, each variable in that one of three marked fields that is its kind's."""
+    if mode not in ENCODE_MODES:
+        raise ValueError(f"mode must be one of {ENCODE_MODES}, not {mode!r}")
+    regex = f"([^{_TOKEN}])(?:({_INTEGERS[mode]})|({_DECIMALS[mode]})|({_VARIABLE}))"
+    return F.regexp_replace(F.concat(F.lit("\n"), as_text(text)), regex, f"$1{_INT}$2{_DECIMAL}$3{_DICT}$4{_END}")
+
+
+def marked_logtype(marked: Column) -> Column:
+    """Template text of :func:`marked_message`."""
+    constant = rf"(?:\A\n|[{_MARKS}]*+{_END})([^{_MARKS}]*+[{_MARKS}]*+)"
+    template = F.array_join(F.regexp_extract_all(marked, F.lit(constant), F.lit(1)), "")
+    return F.replace(F.replace(template, F.lit(_AS_ENTRY), F.lit(_DICT)), F.lit(_AS_DECIMAL), F.lit(_DECIMAL))
+
+
+def marked_variables(marked: Column, mode: str = "standard") -> Column:
+    """``ARRAY<STRUCT<kind, text, enc>>`` of :func:`marked_message`."""
+    pack = pack_decimal32 if mode == "compact" else pack_decimal64
+
+    def variable(piece: Column) -> Column:
+        def of(kind: int, marks: str, enc: Callable[[Column], Column]) -> Column:
+            text = F.substr(piece, F.lit(len(marks) + 1))
+            return F.struct(F.lit(kind).cast("tinyint").alias("kind"), text.alias("text"), enc(text).alias("enc"))
+
+        entry = of(DICT_KIND, _AS_ENTRY, lambda text: F.lit(None).cast("bigint"))
+        return (
+            F.when(piece.startswith(_AS_ENTRY), entry)
+            .when(piece.startswith(_AS_DECIMAL), of(DECIMAL_KIND, _AS_DECIMAL, pack))
+            .otherwise(of(INT_KIND, _AS_INT, lambda text: text.cast("bigint")))
+        )
+
+    return F.transform(F.regexp_extract_all(marked, F.lit(f"[{_MARKS}]++[{_TOKEN}]++"), F.lit(0)), variable)
 
 
 def logtype(text: Column, mode: str = "standard") -> Column:
     """Template of a message: constant text with one placeholder per variable."""
-    return parts_logtype(message_parts(text, mode))
+    return marked_logtype(marked_message(text, mode))

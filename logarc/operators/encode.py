@@ -6,19 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import LEVELS
-from ..functions.tokens import message_parts, parts_logtype, parts_variables
+from ..functions.tokens import marked_logtype, marked_message, marked_variables
 
 
 def encode(df: DataFrame, message: str = "msg", mode: str = "standard", keep_message: bool = False) -> DataFrame:
     """Replace a message column by ``logtype`` and ``vars``.
 
-    A narrow projection: no shuffle, no Python. ``_parts`` is named twice above
+    A narrow projection: no shuffle, no Python. ``_marked`` is named twice above
     it, so Catalyst keeps it as its own projection and computes it once.
     """
     coded = (
-        df.withColumn("_parts", message_parts(F.col(message), mode))
-        .withColumns({"logtype": parts_logtype(F.col("_parts")), "vars": parts_variables(F.col("_parts"))})
-        .drop("_parts")
+        df.withColumn("_marked", marked_message(F.col(message), mode))
+        .withColumns({"logtype": marked_logtype(F.col("_marked")), "vars": marked_variables(F.col("_marked"), mode)})
+        .drop("_marked")
     )
     return coded if keep_message else coded.drop(message)
 
