@@ -37,11 +37,13 @@ def with_segments(encoded: DataFrame, variables: int = SEGMENT_VARIABLES, broadc
     """Encoded events, stored, with the number of their ``segment``.
 
     Events count as many as they have dictionary variables, at least one, and a segment ends
-    with the event that fills it. Rows are range partitioned and written once. Their
+    with the event that fills it. Rows are stored, range partitioned and stored again. Their
     running total is made of narrow rows: in stretches of 1,024 rows, over the stretches of
     a partition, and over partitions. One row per stretch then tells where segments begin.
     """
     keys = ["source", "seq"]
+    # The range sampling reads its input a second time, so what made it must not run again.
+    encoded = materialize(encoded, "encoded")
     ranged = encoded.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_mid", F.monotonically_increasing_id())
     rows = materialize(ranged, "ordered-events").withColumn("_chunk", F.shiftright("_mid", _CHUNK_BITS))
     size = F.greatest(F.size(F.filter("vars", lambda v: v["kind"] == DICT_KIND)), F.lit(1)).cast("bigint")
