@@ -46,8 +46,8 @@ RECORD_SCHEMA = T.StructType(
 )
 
 
-def to_records(encoded: DataFrame, compact: bool = False) -> DataFrame:
-    """Typed record rows of encoded events; every literal is present."""
+def to_records(encoded: DataFrame, compact: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Typed record rows of encoded events; every literal is present. Columns ``keep`` of the event come last."""
     encoded_op = OP_ENCODED32 if compact else OP_ENCODED64
 
     def record(op: Column | int, literal: Column, value: Column) -> Column:
@@ -70,7 +70,7 @@ def to_records(encoded: DataFrame, compact: bool = False) -> DataFrame:
     tail = F.array(
         record(OP_LOGTYPE, F.col("logtype"), nothing), record(OP_TIMESTAMP, nothing, F.unix_millis("ts"))
     )
-    rows = explode_each(encoded, F.concat(of_variable, tail), "source", "seq", "ts", item="rec")
+    rows = explode_each(encoded, F.concat(of_variable, tail), "source", "seq", "ts", *keep, item="rec")
     return rows.select(
         *RECORD_KEY,
         "rec.op",
@@ -79,6 +79,7 @@ def to_records(encoded: DataFrame, compact: bool = False) -> DataFrame:
         F.lit(None).cast("boolean").alias("first"),
         "rec.value",
         "ts",
+        *keep,
     )
 
 
@@ -154,6 +155,16 @@ def ordered_records(records: DataFrame, mode: str = "separate", files: int | Non
     if mode not in DEDUP_MODES or mode == "none":
         stream = dedup_records(records, mode).repartitionByRange(*count, *order)
         return stream.sortWithinPartitions(*RECORD_KEY)
+    marks = _first_places(records, mode).withColumn("_mark", F.lit(True))
+    met = records.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    at_place = Window.partitionBy(*RECORD_KEY)
+    ranged = met.repartitionByRange(*count, *order).withColumn("_first", F.max("_mark").over(at_place)).where("NOT _mark")
+    seen = ranged.withColumn("first", F.when(F.col("digest").isNotNull(), F.col("_first")))
+    return _as_sent(seen, mode).select(records.columns)
+
+
+def _first_places(records: DataFrame, mode: str) -> DataFrame:
+    """``(source, seq, pos)`` of the first record of each content, stored."""
     kinds = [] if mode == "shared" else ["op"]
     place = first_seen(F.col("seq"), F.col("pos"))
     firsts = materialize(
@@ -162,14 +173,30 @@ def ordered_records(records: DataFrame, mode: str = "separate", files: int | Non
     )
     step = F.lit(1 << 31).cast("decimal(10,0)")
     seq = F.floor(F.col("place") / step)
-    marks = firsts.select(
-        "source", seq.cast("bigint").alias("seq"), (F.col("place") - seq * step).cast("int").alias("pos"), F.lit(True).alias("_mark")
-    )
-    met = records.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
-    at_place = Window.partitionBy(*RECORD_KEY)
-    ranged = met.repartitionByRange(*count, *order).withColumn("_first", F.max("_mark").over(at_place)).where("NOT _mark")
-    seen = ranged.withColumn("first", F.when(F.col("digest").isNotNull(), F.col("_first")))
-    return _as_sent(seen, mode).select(records.columns)
+    return firsts.select("source", seq.cast("bigint").alias("seq"), (F.col("place") - seq * step).cast("int").alias("pos"))
+
+
+def ordered_event_records(encoded: DataFrame, mode: str = "separate", files: int | None = None, compact: bool = False) -> DataFrame:
+    """:func:`ordered_records` of :func:`to_records` of encoded events, which are read two or three times: pass a written table.
+
+    Events are shuffled and sorted whole, one row each with the places of its first contents, and
+    are taken apart into records where they lie; so digests and copies of keys are never shuffled.
+    """
+    if mode not in DEDUP_MODES:
+        raise ValueError(f"mode must be one of {DEDUP_MODES}, not {mode!r}")
+    order, count = ["source", "seq"], [] if files is None else [files]
+    if mode == "none":
+        return dedup_records(to_records(encoded.repartitionByRange(*count, *order).sortWithinPartitions(*order), compact), mode)
+    firsts = _first_places(to_records(encoded, compact), mode)
+    # Group size is at most the number of records of one event.
+    marks = firsts.groupBy(*order).agg(F.collect_list("pos").alias("_marks")).withColumn("_event", F.lit(False))
+    met = encoded.withColumn("_event", F.lit(True)).unionByName(marks, allowMissingColumns=True)
+    of_event = F.first("_marks", ignorenulls=True).over(Window.partitionBy(*order))
+    ranged = met.repartitionByRange(*count, *order).withColumn("_marks", of_event).where("_event")
+    records = to_records(ranged, compact, keep=("_marks",))
+    is_first = F.coalesce(F.array_contains("_marks", F.col("pos")), F.lit(False))
+    seen = records.withColumn("first", F.when(F.col("literal").isNotNull(), is_first)).drop("_marks")
+    return _as_sent(seen, mode)
 
 
 def _as_sent(seen: DataFrame, mode: str) -> DataFrame:

@@ -37,7 +37,7 @@ from ..operators.report import ir_compressed_report, ir_size_report, logtype_sta
 from ..operators.stitch import split_timestamp, stitch_events, strip_trailing
 from ..session import materialize, scratch_path
 from ..sources.logs import parse_lines_fixed, parse_logs
-from ..sources.records import read_records, stream_records, write_records
+from ..sources.records import read_records, stream_records, write_event_records, write_records
 from ..sources.synthetic import synthetic_columns, synthetic_logs
 from ..sources.text_sinks import read_text, read_zstd_column, rolling_files, write_rolling_text, write_text, write_zstd_column
 from ..streaming.archive import append_archive, read_stream_archive, stream_archive, stream_records_archive
@@ -533,9 +533,8 @@ def record_markers(spark: SparkSession, folder: str) -> DataFrame:
 
 def _records_archive(mode: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        records = to_records(encode(messages(spark, folder, "events")))
         path = scratch_path(spark, "records")
-        write_records(records, path, mode)
+        write_event_records(materialize(encode(messages(spark, folder, "events")), "encoded"), path, mode)
         events, _, _ = records_to_archive(read_records(spark, path))
         return _event_columns(events)
 
@@ -744,12 +743,12 @@ def _served_archive(mode: str, cut: bool = False) -> Query:
 
     def query(spark: SparkSession, folder: str) -> DataFrame:
         path = scratch_path(spark, "served")
-        records = to_records(encode(messages(spark, folder, "events")))
+        encoded = encode(messages(spark, folder, "events"))
         if cut:
-            dealt = dedup_records(materialize(records, "records"), mode)
+            dealt = dedup_records(materialize(to_records(encoded), "records"), mode)
             dealt.repartition(_CUT_FILES, "source", "seq", "pos").write.parquet(f"{path}-records")
         else:
-            write_records(records, f"{path}-records", mode)
+            write_event_records(materialize(encoded, "encoded"), f"{path}-records", mode)
         files = len(read_records(spark, f"{path}-records").inputFiles())
         arriving = stream_records(spark, f"{path}-records", files_per_batch=-(-files // 3) or 1)
         stream_records_archive(arriving, path, f"{path}-progress").awaitTermination()

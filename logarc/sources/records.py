@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.records import RECORD_SCHEMA, ordered_records
+from ..operators.records import RECORD_SCHEMA, ordered_event_records, ordered_records
 from ..plans.archive import codec_options
 from ..session import materialize
 
@@ -23,6 +23,13 @@ def write_records(
     ordered_records(records, mode, files).write.options(**codec_options(codec, level)).parquet(path)
 
 
+def write_event_records(
+    encoded: DataFrame, path: str, mode: str = "separate", codec: str = "zstd", level: int = 3, files: int | None = None
+) -> None:
+    """:func:`write_records` of the records of encoded events, by shuffling events. Pass a written table."""
+    ordered_event_records(encoded, mode, files).write.options(**codec_options(codec, level)).parquet(path)
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """A written record stream, as a batch."""
     return spark.read.schema(RECORD_SCHEMA).parquet(path)
