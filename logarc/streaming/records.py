@@ -87,10 +87,11 @@ def send_expiring_batch(records: DataFrame, batch_id: int, path: str, expiry_ms:
     keys = ["source", "op", "digest"]
     spark = records.sparkSession
     time = F.coalesce(F.unix_millis("ts"), F.lit(0).cast("bigint"))
+    # The literal is a key beside its digest: as an aggregate, a text would make all records be sorted before they combine.
     spans = (
         records.where("literal IS NOT NULL")
-        .groupBy(*keys, F.floor(time / expiry_ms).alias("span"))
-        .agg(F.min(time).alias("low"), F.max(time).alias("high"), F.min("literal").alias("literal"))
+        .groupBy(*keys, "literal", F.floor(time / expiry_ms).alias("span"))
+        .agg(F.min(time).alias("low"), F.max(time).alias("high"))
     )
     spans = materialize(spans, "spans")
     table = GrownTable(spark, f"{path}/last", LAST_SCHEMA, F.col("digest"), lambda rows: rows.groupBy(*keys).agg(F.max("last").alias("last")))
