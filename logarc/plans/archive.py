@@ -134,6 +134,8 @@ def write_archive(
     events, order = archive.events, ["source", "seq"]
     if by_date:
         events, order = events.withColumn("date", F.to_date("ts")), ["date", "source", "seq"]
+    # The range sampling reads its input a second time, so the ids must not be joined again for it.
+    events = materialize(events, "events")
     writer = events.repartitionByRange(*order).sortWithinPartitions(*order).write.options(**options)
     (writer.partitionBy("date") if by_date else writer).parquet(f"{path}/events")
     info = spark.range(1).select(F.lit(ARCHIVE_VERSION).alias("version"), F.lit(compact).alias("compact"))
