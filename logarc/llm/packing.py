@@ -25,6 +25,8 @@ PARTITION_BYTES = 64 * 1024 * 1024
 MARKED_DOCS = 128
 # Sorted orders in which documents look for neighbours, min-hashed ids an order sorts by, and rows looked at on each side.
 TREES, DEPTH, NEAR_ROWS = 8, 4, 8
+# Lists of at least one in so many documents of a shard are kept as rows of weights, the longest first, up to so many weights.
+DENSE_SHARE, DENSE_WEIGHTS = 8, 1 << 21
 # Rounds of doubled steps along nearest neighbours.
 FOLLOWED = 5
 
@@ -262,7 +264,11 @@ def _shards(batches: Iterator[pa.RecordBatch], width: int, docs: int) -> Iterato
 
 
 class _Index:
-    """Inverted lists of one shard: for each id, the documents that hold it and their BM25 weights."""
+    """Inverted lists of one shard: for each id, the documents that hold it and their BM25 weights.
+
+    A long list is a row with a weight for each document, zero where it lacks the id: adding
+    rows costs a fraction of gathering lists, and equal documents still get equal sums.
+    """
 
     def __init__(self, ids: np.ndarray, doc: np.ndarray, counts: np.ndarray, idf: np.ndarray, mean: float, k1: float, b: float):
         self.n = len(counts)
@@ -277,12 +283,21 @@ class _Index:
         order = np.argsort(self.doc, kind="stable")
         self.terms = posting[order]  # of each document, one after the other
         self.first = np.searchsorted(self.doc[order], np.arange(self.n + 1))
+        long = np.argsort(-self.size, kind="stable")[: DENSE_WEIGHTS // max(1, self.n)]
+        long = long[self.size[long] * DENSE_SHARE >= self.n]
+        self.row = np.full(len(opens), -1)
+        self.row[long] = np.arange(len(long))
+        self.dense = np.zeros((len(long), self.n))
+        own = self.row[posting]
+        self.dense[own[own >= 0], self.doc[own >= 0]] = self.weight[own >= 0]
 
     def scores(self, seed: int) -> np.ndarray:
         lists = self.terms[self.first[seed] : self.first[seed + 1]]
+        row = self.row[lists]
+        lists = lists[row < 0]
         size = self.size[lists]
         at = np.repeat(self.begin[lists], size) + ranges(size)
-        return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
+        return np.bincount(self.doc[at], self.weight[at], minlength=self.n) + self.dense[row[row >= 0]].sum(axis=0)
 
 
 def _pack_shard(ids, counts, window, idf, mean, k1, b, number) -> tuple[list[tuple[int, int, int, int, int]], int]:

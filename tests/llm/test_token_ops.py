@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from logarc.llm.common import ranges
 from logarc.llm.encoding import WordEncoder, tokenizer_path
 from logarc.llm.packing import _clusters, _Index, _lay_out, pack_documents
 from logarc.llm.token_counts import context_limits, length_histogram, totals_at
@@ -110,6 +111,25 @@ def test_bm25_scores_are_those_of_the_formula():
             assert abs(index.scores(seed)[other] - wanted) < 1e-5
 
 
+def test_long_lists_are_added_as_rows(monkeypatch):
+    rng = np.random.default_rng(5)
+    docs = [np.concatenate([np.flatnonzero(rng.random(20) < 0.5), rng.integers(20, 2000, 3)]) for _ in range(200)]
+    docs[150] = docs[50]
+    ids, counts = np.concatenate(docs), np.array([len(d) for d in docs])
+    doc = np.repeat(np.arange(200), counts)
+    index = _Index(ids, doc, counts, np.ones(2000, np.float32), counts.mean(), 1.2, 0.75)
+    gathered = []
+    monkeypatch.setattr("logarc.llm.packing.ranges", lambda n: gathered.append(int(n.sum())) or ranges(n))
+    for seed in range(200):
+        wanted = np.zeros(200)
+        for t in np.unique(docs[seed]):
+            tf = np.array([(d == t).sum() for d in docs])
+            wanted += tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * counts / counts.mean()))
+        score = index.scores(seed)
+        assert np.allclose(score, wanted) and score[50] == score[150]
+    assert max(gathered) < 100  # the ids of half of all documents alone have about 1,000 places a seed
+
+
 def test_last_window_is_cut_at_powers_of_two():
     pieces = []
     assert _lay_out([(0, 0, 5), (1, 3, 6)], 16, pieces, 7) == 10
