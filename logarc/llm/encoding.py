@@ -100,7 +100,7 @@ class WordEncoder:
         """Ids of all rows one after the other, and the number of ids of each row."""
         raw, place = text_bytes(column)
         if b"<|" not in raw.tobytes():  # else upper case tells a special token from plain text
-            raw = LOWER[raw]
+            raw = _lowered(raw)
         start, end = _cut(raw, place)
         if not len(start):
             return np.zeros(0, self.dtype), np.zeros(len(place) - 1, np.int64)
@@ -152,6 +152,14 @@ class WordEncoder:
         return size, ids
 
 
+def _lowered(raw: np.ndarray) -> np.ndarray:
+    """A-Z lower-cased, but for a letter before a combining mark: what the two compose to can depend on its case."""
+    low = LOWER[raw]
+    marks = np.flatnonzero((raw[1:] == 0xCC) | (raw[1:] == 0xCD))
+    low[marks] = raw[marks]
+    return low
+
+
 def _cut(raw: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte spans of words, cut also between Latin letters and punctuation."""
     kind = _CLASS[raw]

@@ -29,6 +29,13 @@ def test_words_encode_as_whole_texts(whole):
     assert [ids[b - n : b].tolist() for b, n in zip(stop, count, strict=True)] == [whole(t) for t in texts]
 
 
+def test_letters_before_combining_marks_keep_their_case(whole):
+    texts = ["H\u0331x T\u0308 J\u030c W\u030a Y\u030a", "h\u0331 H\u0323\u0331 \u00c9\u0331 K\u0323 E\u0301 \u00c9\u00c0h", "BH", "\u0331H"]
+    ids, count = WordEncoder(tokenizer_path()).encode(pa.array(texts))
+    stop = np.cumsum(count)
+    assert [ids[b - n : b].tolist() for b, n in zip(stop, count, strict=True)] == [whole(t) for t in texts]
+
+
 @pytest.mark.parametrize("shard", [4, 1000])
 def test_packing_places_each_id_once(spark, whole, shard):
     rows = awkward() + [doc(100 + i, prose(100 + i, 40 * (i % 60))) for i in range(90)]
