@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,14 +21,24 @@ JOINED_WORDS = 256
 SIGN = "~"
 
 # Byte classes for cutting: 0 blank, 1 other, 2 Latin letter, 3 plain punctuation. This
-# vocabulary's pattern always begins a new token between letters and punctuation.
+# vocabulary's pattern always begins a new token between letters and punctuation, but for
+# the apostrophe; <, | and > are part of special tokens.
 _CLASS = np.ones(256, np.uint8)
 _CLASS[BLANK] = 0
 _CLASS[65:91] = _CLASS[97:123] = 2
-_CLASS[list(b".,;:!?")] = 3
+_CLASS[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}")] = 3
 _SECOND = np.zeros(256, bool)  # second bytes of U+00C0-U+00FF, but for the two signs among them
 _SECOND[0x80:0xC0] = True
 _SECOND[[0x97, 0xB7]] = False
+_LOWER_SECOND = np.arange(256, dtype=np.uint8)
+_LOWER_SECOND[0x80:0x9F] += 0x20
+_LOWER_SECOND[0x97] = 0x97
+
+# Words that normalizing and splitting leave as they are, and the characters that stand for their bytes in a vocabulary of bytes.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_SIGNS = np.arange(256, dtype="<u4")
+_HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_SIGNS[_HIDDEN] = 256 + np.arange(len(_HIDDEN))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -91,6 +102,9 @@ class WordEncoder:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known = _Known(CACHE_WORDS, self.dtype)
         sign = self._ids(SIGN)
+        letters = [chr(x) for x in range(256) if _PLAIN.fullmatch(chr(x))]
+        probe = [*letters, "".join(letters), "".join(letters[::-1])]
+        self.plain = all(self._encode_plain([w])[1].tolist() == self._ids(w) for w in probe)
         self.sign = sign[0] if len(sign) == 1 and self._ids(f"a {SIGN} a") == [*self._ids("a"), *sign, *self._ids("a")] else None
 
     def _ids(self, text: str) -> list[int]:
@@ -123,10 +137,24 @@ class WordEncoder:
         if len(new):
             data = raw.tobytes()
             words = [data[s:e].decode() for s, e in zip(start[new].tolist(), end[new].tolist(), strict=True)]
-            self.known.add(keys[new], *self._encode_words(words))
+            plain = np.fromiter(map(bool, map(_PLAIN.fullmatch, words)), bool, len(words)) & self.plain
+            for some, encode in ((plain, self._encode_plain), (~plain, self._encode_words)):
+                if some.any():
+                    self.known.add(keys[new[some]], *encode([words[i] for i in np.flatnonzero(some).tolist()]))
             entry = self.known.find(keys)
         return entry
 
+    def _encode_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of ``_PLAIN``, which go to the tokenizer's model without normalizing and splitting."""
+        model = self.tokenizer.model
+        data = np.frombuffer("\n".join(words).encode(), np.uint8)
+        size, ids = [], []
+        for word in _SIGNS[data].tobytes().decode("utf-32-le").split(chr(_SIGNS[0x0A])):
+            pieces = model.tokenize(word)
+            size.append(len(pieces))
+            ids += [piece.id for piece in pieces]
+        return np.array(size, np.int64), np.array(ids, self.dtype)
+
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each word, and the ids of all.
 
@@ -153,8 +181,10 @@ class WordEncoder:
 
 
 def _lowered(raw: np.ndarray) -> np.ndarray:
-    """A-Z lower-cased, but for a letter before a combining mark: what the two compose to can depend on its case."""
+    """A-Z and U+00C0-U+00DE lower-cased, but for a letter before a combining mark: what the two compose to can depend on its case."""
     low = LOWER[raw]
+    second = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    low[second] = _LOWER_SECOND[raw[second]]
     marks = np.flatnonzero((raw[1:] == 0xCC) | (raw[1:] == 0xCD))
     low[marks] = raw[marks]
     return low
@@ -170,10 +200,10 @@ def _cut(raw: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.zeros(len(raw), bool)
     edge[place[place < len(raw)]] = True
     opens = (kind > 0) & (edge | (before == 0) | (before + kind == 5))
-    start = np.flatnonzero(opens)
-    stop = np.flatnonzero(opens | (kind == 0) | edge)
-    stop = np.append(stop, len(raw))
-    return start, stop[np.searchsorted(stop, start, side="right")]
+    end = np.flatnonzero((before > 0) & (opens | (kind == 0)))
+    if len(raw) and kind[-1]:
+        end = np.append(end, len(raw))
+    return np.flatnonzero(opens), end
 
 
 @lru_cache(maxsize=2)

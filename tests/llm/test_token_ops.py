@@ -36,6 +36,31 @@ def test_letters_before_combining_marks_keep_their_case(whole):
     assert [ids[b - n : b].tolist() for b, n in zip(stop, count, strict=True)] == [whole(t) for t in texts]
 
 
+def test_words_are_known_without_their_case_and_signs(whole):
+    texts = ["été Été ÉTÉ été%%% ÉTÉ*** (été) été-été d'été", "x's%'s %s's ''s a<|b _a_ <a>~b~ ×É÷ straSSe ß-ẞ `e ^e e^ e\u0302", "été"]
+    coder = WordEncoder(tokenizer_path())
+    asked = []
+    plain = coder._encode_plain
+    coder._encode_plain = lambda words: asked.extend(words) or plain(words)
+    ids, count = coder.encode(pa.array([t.replace("<|", "<") for t in texts]))
+    stop = np.cumsum(count)
+    assert [ids[b - n : b].tolist() for b, n in zip(stop, count, strict=True)] == [whole(t.replace("<|", "<")) for t in texts]
+    assert asked.count("été") == 1 and not any("É" in w or "%" in w for w in asked)
+    ids, count = coder.encode(pa.array(texts))  # upper case stays where a special token could stand
+    stop = np.cumsum(count)
+    assert [ids[b - n : b].tolist() for b, n in zip(stop, count, strict=True)] == [whole(t) for t in texts]
+
+
+def test_every_pair_of_signs_encodes_as_a_whole_text(whole):
+    signs = [*map(chr, range(0x20, 0x7F)), *"ÀÉÞßàþÿ×÷ª\u0301\u0331\u0338ẞ٣"]
+    texts = [f"{before}{a}{b}{after}" for a in signs for b in signs for before, after in (("", ""), ("a", "s"), ("É", "'s"))]
+    coder = WordEncoder(tokenizer_path())
+    ids, count = coder.encode(pa.array([t for t in texts if "<|" not in t]))
+    stop = np.cumsum(count)
+    assert coder.plain
+    assert [ids[b - n : b].tolist() for b, n in zip(stop, count, strict=True)] == [whole(t) for t in texts if "<|" not in t]
+
+
 @pytest.mark.parametrize("shard", [4, 1000])
 def test_packing_places_each_id_once(spark, whole, shard):
     rows = awkward() + [doc(100 + i, prose(100 + i, 40 * (i % 60))) for i in range(90)]
